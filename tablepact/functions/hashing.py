@@ -46,8 +46,9 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Identity of the data whatever its order or partitioning, in one pass.
+def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None,
+                        by: list[str] | None = None) -> DataFrame:
+    """Identity of the data (or of each group) whatever its order or partitioning, in one pass.
 
     Three 20-bit slices of each row's digest are summed apart, which stays inside
     BIGINT up to 8e12 rows; duplicates count, unlike with XOR.
@@ -57,7 +58,8 @@ def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None) -> Data
         F.sum(F.conv(F.substring(digest, start, 5), 16, 10).cast("bigint")).alias(f"part_{i}")
         for i, start in enumerate((1, 6, 11), 1)
     ]
-    sums = df.agg(F.count(F.lit(1)).alias("row_count"), *slices)
+    by = by or []
+    sums = df.groupBy(*[named(b) for b in by]).agg(F.count(F.lit(1)).alias("row_count"), *slices)
     parts = [F.coalesce(F.col(f"part_{i}"), F.lit(0)).cast("string") for i in (1, 2, 3)]
     text = F.concat_ws(":", F.col("row_count").cast("string"), *parts)
-    return sums.select("row_count", F.sha2(text, 256).alias("data_fingerprint"))
+    return sums.select(*[named(b) for b in by], "row_count", F.sha2(text, 256).alias("data_fingerprint"))

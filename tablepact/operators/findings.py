@@ -6,29 +6,19 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablepact.contract import SEVERITY_RANK
 from tablepact.functions.hashing import finding_id
+from tablepact.functions.schemas import flat_schema
 
 SAMPLE_LIMIT = 10  # fixed value: example rows kept per finding
 FINDING_LIMIT = 10_000  # fixed value: default evidence limit of a run
 
-FINDING_SCHEMA = T.StructType([
-    T.StructField("finding_id", T.StringType()),
-    T.StructField("rule_id", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("column", T.StringType()),
-    T.StructField("affected_rows", T.LongType()),
-    T.StructField("sample_rows", T.ArrayType(T.LongType())),
-    T.StructField("expected", T.StringType()),
-    T.StructField("observed", T.StringType()),
-    T.StructField("remediation", T.StringType()),
-])
+FINDING_SCHEMA = flat_schema(
+    "finding_id string, rule_id string, severity string, category string, title string, "
+    "message string, column string, affected_rows bigint, sample_rows array<bigint>, "
+    "expected string, observed string, remediation string")
 FINDING_COLUMNS = FINDING_SCHEMA.names
 
 
@@ -101,26 +91,25 @@ def rank_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*finding_order())
 
 
-def cap_findings(findings: DataFrame, limit: int = FINDING_LIMIT) -> DataFrame:
-    """At most ``limit`` rows of evidence: beyond it the last one marks the cut.
+def cap_findings(findings: DataFrame, limit: int = FINDING_LIMIT,
+                 by: list[str] | None = None) -> DataFrame:
+    """At most ``limit`` rows of evidence per run: beyond it the last one marks the cut.
 
-    The best ``limit - 1`` are taken by a top-k over all partitions; the count runs
-    over everything, so the marker states how many there really were.
+    A run's findings are as many as its contract has rules, so ranking them in one window
+    is bounded by the contract, never by the data; the scan behind them runs once.
     """
-    total = findings.agg(F.count(F.lit(1)).alias("total"))
-    top = findings.orderBy(*finding_order()).limit(limit)
-    # at most `limit` rows remain, so one partition for the ranking is bounded
-    ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(*finding_order())))
-    marker = total.where(F.col("total") > limit).select(
-        F.explode(F.array(finding_row(
-            rule_id="runtime.finding_limit", severity="critical", category="runtime",
-            title="More findings than the evidence limit",
-            message=f"{{total}} findings were produced, evidence stops at {limit}: partial result.",
-            expected=f"<= {limit} findings", observed="{total} findings", total=F.col("total"),
-        ))).alias("f")
-    ).select("f.*")
-    kept = ranked.where((F.col("_rank") < limit) | (total.scalar() <= limit))
-    return kept.select(*findings.columns).unionByName(marker, allowMissingColumns=True)
+    run = Window.partitionBy(*(by or [F.lit(1)]))
+    ranked = findings.withColumn("_rank", F.row_number().over(run.orderBy(*finding_order()))) \
+        .withColumn("_total", F.count(F.lit(1)).over(run))
+    marker = finding_row(
+        rule_id="runtime.finding_limit", severity="critical", category="runtime",
+        title="More findings than the evidence limit",
+        message=f"{{total}} findings were produced, evidence stops at {limit}: partial result.",
+        expected=f"<= {limit} findings", observed="{total} findings", total=F.col("_total"))
+    cut = (F.col("_rank") == limit) & (F.col("_total") > limit)
+    own = F.struct(*[F.col(f"`{c}`") for c in FINDING_COLUMNS])
+    return ranked.where(F.col("_rank") <= limit) \
+        .select(*(by or []), F.when(cut, marker).otherwise(own).alias("f")).select(*(by or []), "f.*")
 
 
 def severity_counts(prefix: str = "severity") -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
@@ -23,6 +24,7 @@ NAME_PATTERNS = {
     "account_identifier": r"(^|_)(account_?id|customer_?id|member_?id)($|_)",
 }
 # Whole-cell patterns, card length, signal thresholds and sample size.
+VALUE_CATEGORIES = ("email", "government_id", "phone", "payment_card", "ip_address")
 GOVERNMENT_ID = r"\d{3}-?\d{2}-?\d{4}"
 PHONE = r"\+?[\d\s().-]{10,20}"
 PHONE_DIGITS = 10
@@ -67,6 +69,19 @@ def value_detectors(text: Column) -> dict[str, Column]:
     }
 
 
+def possible_categories(dtype: T.DataType) -> tuple[str, ...]:
+    """Value categories a column of this type can hold at all; the others need no test."""
+    if isinstance(dtype, (T.BooleanType, T.DateType)):
+        return ()
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return ("payment_card",)
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return ("government_id", "phone", "payment_card")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return ("phone", "payment_card")
+    return VALUE_CATEGORIES
+
+
 def name_categories(column_name: Column) -> Column:
     """Array of the categories a column name points to."""
     hits = [F.when(column_name.rlike("(?i)" + p), F.lit(c)) for c, p in NAME_PATTERNS.items()]
@@ -85,11 +100,13 @@ def _whole_counts(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         col = named(f.name)
         aggs.append(F.count_if(~missing(col, f.dataType)).alias(f"s{i}"))
-        hits = value_detectors(as_text(col, f.dataType))
-        aggs += [F.count_if(hit).alias(f"{category}{i}") for category, hit in hits.items()]
+        possible = possible_categories(f.dataType)
+        hits = value_detectors(as_text(col, f.dataType)) if possible else {}
+        aggs += [F.count_if(hits[category]).alias(f"{category}{i}") for category in possible]
         rows.append(F.struct(
             F.lit(f.name).alias("column"), F.col(f"s{i}").alias("sampled_values"),
-            *[F.col(f"{category}{i}").alias(category) for category in hits]))
+            *[(F.col(f"{category}{i}") if category in possible else F.lit(0).cast("bigint"))
+              .alias(category) for category in VALUE_CATEGORIES]))
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -114,12 +131,11 @@ def pii_signals(df: DataFrame, row_key: str | None = None,
     if sample_limit is not None and row_key is None:
         raise ValueError("sampling needs a row_key that defines which values come first")
     counts = _whole_counts(df) if sample_limit is None else _sampled_counts(df, row_key, sample_limit)
-    by_value = ("email", "government_id", "phone", "payment_card", "ip_address")
     candidates = [
         F.struct(
             F.lit(category).alias("category"),
             F.col("column").rlike("(?i)" + pattern).alias("name_signal"),
-            (F.col(category) if category in by_value else F.lit(0).cast("bigint")).alias("matching_values"))
+            (F.col(category) if category in VALUE_CATEGORIES else F.lit(0).cast("bigint")).alias("matching_values"))
         for category, pattern in NAME_PATTERNS.items()
     ]
     rows = counts.select("column", "sampled_values", F.explode(F.array(*candidates)).alias("c")) \

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablepact.operators.findings import FINDING_SCHEMA
+from tablepact.functions.hashing import dataset_fingerprint
+from tablepact.functions.schemas import flat_schema
+from tablepact.operators.findings import FINDING_SCHEMA, summarize
 
 PARTITIONS = ["dataset_name", "run_id"]
 
@@ -17,15 +19,15 @@ HISTORY_LIMITS = (1, 500)
 TREND_LIMITS = (2, 500)
 DRIFT_PER_RUN = 20
 
-DRIFT_SCHEMA = T.StructType.fromDDL(
+DRIFT_SCHEMA = flat_schema(
     "change_type string, column string, before string, after string, severity string")
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = flat_schema(
     "contract_id string, contract_version string, started_at timestamp, completed_at timestamp, "
     "duration_ms bigint, status string, passed boolean, fail_on string, findings_total bigint, "
     "info bigint, warnings bigint, errors bigint, critical bigint, row_count bigint, "
     "column_count bigint, contract_fingerprint string, data_fingerprint string")
-PROFILE_SCHEMA = T.StructType.fromDDL(
+PROFILE_SCHEMA = flat_schema(
     "column string, observed_type string, row_count bigint, null_count bigint, null_ratio double, "
     "distinct_count bigint, duplicate_count bigint, distinct_count_exact boolean, "
     "duplicate_count_exact boolean, minimum string, maximum string, mean double")
@@ -95,6 +97,22 @@ class RunHistory:
         return self.findings().where(F.col("run_id") == run_id)
 
 
+def runs_of_groups(df: DataFrame, findings: DataFrame, by: list[str],
+                   fingerprint_columns: list[str] | None = None, fail_on: str = "error") -> DataFrame:
+    """One run row per group of a table, clean groups included.
+
+    ``findings`` come from ``validate_groups`` with the same ``by``; both sides are
+    aggregated to one row per group before they are joined.
+    """
+    counts = dataset_fingerprint(df, fingerprint_columns, by)
+    verdicts = summarize(findings, by, fail_on)
+    zero = ("findings_total", "info", "warnings", "errors", "critical")
+    return counts.join(verdicts, by, "left").select(
+        *by, *[F.coalesce(c, F.lit(0)).alias(c) for c in zero],
+        F.coalesce("passed", F.lit(True)).alias("passed"),
+        F.coalesce("status", F.lit("passed")).alias("status"), "row_count", "data_fingerprint")
+
+
 def latest_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     """Newest first: a top-k, never a full sort."""
     return runs.orderBy(F.col("started_at").desc(), "run_id").limit(_clamp(limit, HISTORY_LIMITS))
@@ -148,6 +166,14 @@ def compare_findings(older: DataFrame, newer: DataFrame, by: list[str] | None =
         F.coalesce("_new_column", "_old_column").alias("column"))
 
 
+def compare_run_findings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """New, resolved and persistent findings for every (older, newer) pair of runs."""
+    by = ["older_run_id", "newer_run_id"]
+    older = findings.join(pairs, findings["run_id"] == pairs["older_run_id"]).drop("run_id")
+    newer = findings.join(pairs, findings["run_id"] == pairs["newer_run_id"]).drop("run_id")
+    return compare_findings(older, newer, by)
+
+
 def compare_runs(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Deltas for each (older_run_id, newer_run_id) pair; any number of pairs at once."""
     kept = ("run_id", "dataset_name", "status", "row_count", "findings_total",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablepact.functions.schemas import flat_schema
 from tablepact.contract import SEVERITY_RANK, Contract
 
 # Change classes with ranks, and the limits an audit checks.
@@ -35,15 +36,15 @@ PHYSICAL_TYPES = {
     "uuid": "uuid", "email": "email",
 }
 
-HEADER_SCHEMA = T.StructType.fromDDL(
+HEADER_SCHEMA = flat_schema(
     "contract string, version string, dataset_name string, contract_id string, description string, "
     "owner string, required_columns array<string>")
-COLUMN_SCHEMA = T.StructType.fromDDL(
+COLUMN_SCHEMA = flat_schema(
     "contract string, version string, column string, type string, nullable boolean, unique boolean, "
     "strict_type boolean, minimum double, maximum double, min_length bigint, max_length bigint, "
     "pattern string, allowed_values array<string>, maximum_age_hours double, severity string, "
     "description string, classification string")
-RULE_SCHEMA = T.StructType.fromDDL(
+RULE_SCHEMA = flat_schema(
     "contract string, version string, ordinal bigint, name string, type string, severity string, "
     "description string, columns array<string>, column string, minimum double, maximum double, "
     "max_ratio double, when_column string, when_equals string, then_column string, "

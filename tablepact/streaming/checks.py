@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tablepact.contract import Contract
 from tablepact.functions.coercion import missing, named
 from tablepact.functions.sizing import fits_broadcast
+from tablepact.functions.schemas import flat_schema
 from tablepact.operators import predicates, profile, samples
 from tablepact.operators.findings import FINDING_SCHEMA, merge_findings
 from tablepact.operators.keys import with_keys
@@ -158,7 +159,7 @@ def stream_reference_misses(stream: DataFrame, column: str, reference: DataFrame
     """How many rows lack their reference over everything available, as one row."""
     absent = unmatched_rows(stream.select(named(column)), column, reference, reference_column)
     sink = drain(absent, folder, each=lambda b: b.agg(F.count(F.lit(1)).alias("n")))
-    done = batch_results(stream.sparkSession, sink, T.StructType.fromDDL("n bigint"))
+    done = batch_results(stream.sparkSession, sink, flat_schema("n bigint"))
     return done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("affected"))
 
 

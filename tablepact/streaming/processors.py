@@ -8,8 +8,10 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = T.StructType.fromDDL("key string, row bigint")
-_STATE = T.StructType.fromDDL("seen bigint, first_row bigint")
+from tablepact.functions.schemas import flat_schema
+
+OUTPUT = flat_schema("key string, row bigint")
+_STATE = flat_schema("seen bigint, first_row bigint")
 
 
 class FirstRowState(StatefulProcessor):
