@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from tablepact.functions.hashing import dataset_fingerprint
 from tablepact.functions.schemas import flat_schema
 from tablepact.operators.findings import FINDING_SCHEMA, summarize
+from tablepact.plans.registry import contract_fingerprint
+from tablepact.plans.validate import Validation
 
 PARTITIONS = ["dataset_name", "run_id"]
 
@@ -62,17 +65,30 @@ class RunHistory:
         folder = f"dataset_name={_escaped(dataset)}/run_id={_escaped(run_id)}"
         df.drop(*PARTITIONS).write.mode("overwrite").parquet(f"{self.root}/{table}/{folder}")
 
-    def publish(self, run_row: DataFrame, findings: DataFrame, profile: DataFrame | None = None,
-                drift: DataFrame | None = None) -> str:
-        head = run_row.first()
-        dataset, run_id = head["dataset_name"], head["run_id"]
-        self._write(findings, "findings", dataset, run_id)
-        if profile is not None:
-            self._write(profile, "profiles", dataset, run_id)
-        if drift is not None:
-            self._write(drift, "drift", dataset, run_id)
-        run = self.spark.createDataFrame([head], run_row.schema)
-        self._write(run, "runs", dataset, run_id)
+    def record(self, made: Validation, started_at: datetime,
+               completed_at: datetime | None = None) -> str:
+        """Write a validation. Its findings are computed once: the counts of the run row
+        are taken from what was written."""
+        name, run_id = made.contract.dataset.name, made.run_id
+        self._write(made.findings, "findings", name, run_id)
+        if made.profile is not None:
+            self._write(made.profile, "profiles", name, run_id)
+        if made.drift is not None:
+            self._write(made.drift, "drift", name, run_id)
+        counts = summarize(self.run(run_id), fail_on=made.fail_on).first()
+        data = dataset_fingerprint(made.source).first()
+        done = completed_at or max(datetime.now(), started_at)
+        row = {
+            **counts.asDict(), **data.asDict(),
+            "contract_id": made.contract.dataset.contract_id,
+            "contract_version": made.contract.contract_version,
+            "started_at": started_at, "completed_at": done,
+            "duration_ms": int((done - started_at).total_seconds() * 1000),
+            "column_count": len(made.source.columns),
+            "contract_fingerprint": contract_fingerprint(made.contract),
+        }
+        run = self.spark.createDataFrame([tuple(row[c] for c in RUN_SCHEMA.names)], RUN_SCHEMA)
+        self._write(run, "runs", name, run_id)
         return run_id
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:

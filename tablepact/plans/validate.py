@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.contract import Contract
-from tablepact.functions.hashing import dataset_fingerprint
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples
 from tablepact.operators.schema_checks import schema_findings
 
@@ -43,26 +42,6 @@ class Validation:
         """One row: counts per severity over all findings, and the verdict."""
         return findings.summarize(self.findings, fail_on=self.fail_on)
 
-    def run_row(self, started_at: datetime, completed_at: datetime,
-                contract_fingerprint: str) -> DataFrame:
-        """The run as one row of the history table."""
-        counts = self.summary()
-        data = dataset_fingerprint(self.source)
-        stamp = F.lit(completed_at).cast("timestamp")
-        started = F.lit(started_at).cast("timestamp")
-        millis = int((completed_at - started_at).total_seconds() * 1000)
-        head = self.contract.dataset
-        # both sides are one-row aggregates, matched on a constant
-        return counts.withColumn("_one", F.lit(1)).join(data.withColumn("_one", F.lit(1)), "_one").select(
-            F.lit(self.run_id).alias("run_id"), F.lit(head.name).alias("dataset_name"),
-            F.lit(head.contract_id).cast("string").alias("contract_id"),
-            F.lit(self.contract.contract_version).alias("contract_version"),
-            started.alias("started_at"), stamp.alias("completed_at"),
-            F.lit(millis).cast("bigint").alias("duration_ms"), "status", "passed", "fail_on",
-            "findings_total", "info", "warnings", "errors", "critical", "row_count",
-            F.lit(len(self.source.columns)).cast("bigint").alias("column_count"),
-            F.lit(contract_fingerprint).alias("contract_fingerprint"), "data_fingerprint")
-
 
 def validate(
     df: DataFrame,

@@ -130,14 +130,16 @@ def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, form
 
 
 def reject_counts(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """One row: records read and records that did not fit.
+    """One row: records read, records that did not fit, and cells that hold a value.
 
-    Every declared column takes part, because a parser that skips the columns nobody
-    asks for would not notice their bad values.
+    Counting the cells makes every declared column take part: a parser skips the columns
+    nobody asks for and would not notice their bad values.
     """
-    parsed = F.struct(*[named(f.name) for f in schema.fields])
-    return df.select(CORRUPT, parsed.alias("_parsed")).agg(
-        F.count(F.col("_parsed")).alias("records"), F.count(CORRUPT).alias("corrupt_records"))
+    filled = F.lit(0)
+    for f in schema.fields:
+        filled = filled + F.when(named(f.name).isNotNull(), 1).otherwise(0)
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count(CORRUPT).alias("corrupt_records"),
+                  F.coalesce(F.sum(filled), F.lit(0)).alias("filled_cells"))
 
 
 def shape_budget(df: DataFrame, budget: dict[str, int] | None = None) -> DataFrame:
