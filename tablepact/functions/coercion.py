@@ -32,6 +32,7 @@ DATE_LAYOUTS = {
     r"^[A-Za-z]{3,9} ": ("MMMM d yyyy", "MMMM d, yyyy"),
     r"^\d{1,2} [A-Za-z]{3,9} ": ("d MMM yyyy", "d MMMM yyyy"),
 }
+ANY_DATE = "^(?:" + "|".join(shape.lstrip("^") for shape in DATE_LAYOUTS) + ")"
 
 _COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
@@ -93,6 +94,8 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
         return F.lit(None).cast("timestamp")
     v = strip(col)
     parsed = F.when(v.rlike(r"^\d{4}([^\d/]|$)"), v.try_cast("timestamp"))
+    # most text is no date at all: one look turns it away before the layouts are tried
+    parsed = parsed.when(~v.rlike(ANY_DATE), F.lit(None).cast("timestamp"))
     for shape, layouts in DATE_LAYOUTS.items():
         tries = [F.try_to_timestamp(v, F.lit(layout)) for layout in layouts]
         parsed = parsed.when(v.rlike(shape), F.coalesce(*tries))

@@ -168,9 +168,12 @@ def _reference_of(references: dict[str, DataFrame], rule) -> DataFrame:
 
 
 def key_findings(df: DataFrame, contract: Contract, references: dict[str, DataFrame] | None = None,
-                 row_key: str | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+                 row_key: str | None = None, counted: DataFrame | None = None
+                 ) -> tuple[list[DataFrame], list[DataFrame]]:
     """Findings of all key rules and, with a row key, their example rows.
 
+    ``counted`` holds duplicate counts per column where a profile has them already.
+
     One lazy DataFrame per rule: each reads only its own key columns, so a columnar
     source is scanned once in total. Count and examples share one aggregate.
     """
@@ -181,8 +184,12 @@ def key_findings(df: DataFrame, contract: Contract, references: dict[str, DataFr
                            F.lit(column).cast("string").alias("column"), "sample_rows")
 
     for rule_id, column, keys, texts in key_rules(df, contract):
-        found.append(_as_findings(
-            duplicate_rows(df, keys, row_key), rule_id=rule_id, column=column, **texts))
+        if counted is not None and column is not None:
+            rows = counted.where(F.col("column") == column) \
+                .select(F.col("duplicate_count").alias("affected"))
+        else:
+            rows = duplicate_rows(df, keys, row_key)
+        found.append(_as_findings(rows, rule_id=rule_id, column=column, **texts))
         if row_key:
             samples.append(tagged(duplicate_samples(df, keys, row_key), rule_id, column))
     for name, rule in reference_rules(df, contract):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
 from tablepact.operators.findings import FINDING_COLUMNS, finding_row
-from tablepact.operators.profile import head_values
+from tablepact.operators.profile import head_values, text_totals
 
 # Name patterns per category (case-insensitive, matched anywhere).
 NAME_PATTERNS = {
@@ -44,7 +46,8 @@ _V6 = "|".join([
     rf"(?:{_H}:){{1,7}}:",
     "::",
 ])
-IP_ADDRESS = rf"(?:{_V4}|(?:{_V6})(?:%[^\s%/]+)?)"
+# the lookahead turns most other text away at its second character
+IP_ADDRESS = rf"(?=[0-9a-fA-F:.]+(?:%|\z))(?:{_V4}|(?:{_V6})(?:%[^\s%/]+)?)"
 
 
 def _full(value: Column, pattern: str) -> Column:
@@ -60,12 +63,14 @@ def value_detectors(text: Column) -> dict[str, Column]:
     size = F.length(v)
     digits = F.regexp_replace(v, r"\D+", "")
     low, high = CARD_DIGITS
+    # possessive, so counting digits in long prose stays linear and allocates nothing
+    card_length = v.rlike(rf"\A\D*+(?:\d\D*+){{{low},{high}}}+\z")
     return {
         "email": v.contains("@") & _full(v, EMAIL),
         "government_id": size.between(9, 11) & _full(v, GOVERNMENT_ID),
         "phone": size.between(10, 21) & _full(v, PHONE) & (F.length(digits) >= PHONE_DIGITS),
-        "payment_card": (size >= low) & F.length(digits).between(low, high) & F.call_function("luhn_check", digits),
-        "ip_address": (v.contains(".") | v.contains(":")) & v.rlike(r"\A(?:" + IP_ADDRESS + r")\z"),
+        "payment_card": (size >= low) & card_length & F.call_function("luhn_check", digits),
+        "ip_address": (v.contains(".") | v.contains(":")) & v.rlike(r"\A" + IP_ADDRESS + r"\z"),
     }
 
 
@@ -93,21 +98,42 @@ def name_signals(columns: DataFrame, column: str = "column") -> DataFrame:
     return columns.withColumn("category", F.explode(name_categories(named(column))))
 
 
+def column_hits(i: int, f: T.StructField) -> tuple[list[Column], Column]:
+    """Aggregates of one typed column's value tests, and the counts as a struct."""
+    possible = possible_categories(f.dataType)
+    hits = value_detectors(as_text(named(f.name), f.dataType)) if possible else {}
+    aggs = [F.count_if(~missing(named(f.name), f.dataType)).alias(f"s{i}")]
+    aggs += [F.count_if(hits[category]).alias(f"{category}{i}") for category in possible]
+    return aggs, F.struct(
+        F.lit(f.name).alias("column"), F.col(f"s{i}").alias("sampled_values"),
+        *[(F.col(f"{category}{i}") if category in possible else F.lit(0).cast("bigint"))
+          .alias(category) for category in VALUE_CATEGORIES])
+
+
+def text_like_columns(df: DataFrame) -> dict[int, str]:
+    """Columns that may hold any category: text, and nested values read as JSON."""
+    return {i: f.name for i, f in enumerate(df.schema.fields)
+            if possible_categories(f.dataType) == VALUE_CATEGORIES}
+
+
+def text_hit_aggregates() -> list[Column]:
+    return [F.count_if(hit).alias(c) for c, hit in value_detectors(F.col("value")).items()]
+
+
+def text_counts(totals: DataFrame) -> DataFrame:
+    """Match counts from ``text_totals``."""
+    return totals.select("column", (F.col("total") - F.col("null")).alias("sampled_values"), *VALUE_CATEGORIES)
+
+
 def _whole_counts(df: DataFrame) -> DataFrame:
-    """(column, sampled, matches per category) over every value, in one aggregate."""
-    fields = df.schema.fields
-    aggs, rows = [], []
-    for i, f in enumerate(fields):
-        col = named(f.name)
-        aggs.append(F.count_if(~missing(col, f.dataType)).alias(f"s{i}"))
-        possible = possible_categories(f.dataType)
-        hits = value_detectors(as_text(col, f.dataType)) if possible else {}
-        aggs += [F.count_if(hits[category]).alias(f"{category}{i}") for category in possible]
-        rows.append(F.struct(
-            F.lit(f.name).alias("column"), F.col(f"s{i}").alias("sampled_values"),
-            *[(F.col(f"{category}{i}") if category in possible else F.lit(0).cast("bigint"))
-              .alias(category) for category in VALUE_CATEGORIES]))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """(column, sampled, matches per category) over every value."""
+    texts = text_like_columns(df)
+    parts = [text_counts(text_totals(df, texts, text_hit_aggregates()))] if texts else []
+    pairs = [column_hits(i, f) for i, f in enumerate(df.schema.fields) if i not in texts]
+    if pairs:
+        totals = df.agg(*[a for aggs, _ in pairs for a in aggs])
+        parts.append(totals.select(F.explode(F.array(*[r for _, r in pairs])).alias("r")).select("r.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _sampled_counts(df: DataFrame, row_key: str, limit: int) -> DataFrame:
@@ -130,7 +156,12 @@ def pii_signals(df: DataFrame, row_key: str | None = None,
     """
     if sample_limit is not None and row_key is None:
         raise ValueError("sampling needs a row_key that defines which values come first")
-    counts = _whole_counts(df) if sample_limit is None else _sampled_counts(df, row_key, sample_limit)
+    return signals_of_counts(
+        _whole_counts(df) if sample_limit is None else _sampled_counts(df, row_key, sample_limit))
+
+
+def signals_of_counts(counts: DataFrame) -> DataFrame:
+    """Signals from one row of match counts per column."""
     candidates = [
         F.struct(
             F.lit(category).alias("category"),

@@ -1,8 +1,9 @@
 """Validation of one dataset against one contract.
 
-Everything stays lazy: ``validate`` returns DataFrames, and one action on
-``findings`` runs the row-rule scan, the key aggregates and the joins as stages of a
-single job.
+``validate`` makes one pass over the data for all row rules, personal-data tests and
+column statistics. Key rules and references add one aggregate of their key columns
+each, and example rows are looked up only for rules that were found broken, so clean
+data is scanned once.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from tablepact.contract import Contract
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples
 from tablepact.operators.schema_checks import schema_findings
+from tablepact.plans.scan import Scan, taken
 
 
 @dataclass
 class Validation:
-    """Lazy results of a run. ``profile``, ``pii_signals`` and ``drift`` may be None."""
+    """Results of a run as DataFrames. ``profile``, ``pii_signals`` and ``drift`` may be None."""
 
     contract: Contract
     source: DataFrame
@@ -66,36 +68,43 @@ def validate(
     if isinstance(contract, dict):
         contract = Contract.from_dict(contract)
     checks = predicates.row_checks(df.schema, contract, as_of)
-    families: list[DataFrame] = []
-    schema = schema_findings(df, contract)
-    if schema is not None:
-        families.append(schema)
-    if checks:
-        families.append(predicates.row_findings(df, checks))
-    key_found, key_samples = keys.key_findings(df, contract, references, row_key)
+    want_profile = baseline is not None or distinct != "none"
+    sampled = pii_sample is not None and contract.privacy.detect_pii
+
+    scan = Scan(df)
+    scan.add_checks(checks)
+    if contract.privacy.detect_pii and not sampled:
+        scan.add_pii()
+    if want_profile:
+        scan.add_statistics(approx_distinct=distinct == "approx")
+    scan.run()
+
+    counted = taken(profile.distinct_counts(df)) if distinct == "exact" else None
+    families = [schema_findings(df, contract), scan.findings()]
+    key_found, key_samples = keys.key_findings(df, contract, references, row_key, counted)
     families += key_found
 
     columns, signals, changes = None, None, None
-    if baseline is not None or distinct != "none":
-        columns = profile.profile(df, distinct)
+    if want_profile:
+        columns = profile.assemble(scan.statistics(), counted)
     if contract.privacy.detect_pii:
-        signals = pii.pii_signals(df, row_key, pii_sample)
+        signals = pii.pii_signals(df, row_key, pii_sample) if sampled else scan.signals()
         families.append(pii.privacy_findings(signals, contract))
     if baseline is not None:
         changes = drift.compare_snapshots(baseline, drift.snapshot(columns))
         families.append(drift.drift_findings(changes))
 
+    families = [f for f in families if f is not None]
     found = reduce(DataFrame.unionByName, families) if families else findings.no_findings(df)
     if row_key is not None:
-        row_level = [c for c in checks if c.violated is not None]
-        parts = list(key_samples)
-        if row_level:
-            broken = predicates.violating_rows(df, row_level, [row_key])
-            parts.append(samples.sample_rows(broken, row_key))
-        if parts:
-            found = samples.attach_samples(found, reduce(DataFrame.unionByName, parts))
+        broken = [c for i, c in enumerate(checks) if scan.count(f"n{i}")]
+        if broken:
+            rows = predicates.violating_rows(df, broken, [row_key])
+            key_samples.append(samples.sample_rows(rows, row_key))
+        if key_samples:
+            found = samples.attach_samples(found, reduce(DataFrame.unionByName, key_samples))
     return Validation(contract, df, run_id or uuid.uuid4().hex, found, fail_on,
-                      columns, signals, changes, pii_sample is not None)
+                      columns, signals, changes, sampled)
 
 
 def validate_groups(df: DataFrame, contract: Contract | dict, by: list[str],
