@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.operators.findings import FINDING_COLUMNS, finding_row
+from tablepact.operators.findings import Sql, finding_rows, finding_sql
 
 # Severity of each kind of change.
 DRIFT_SEVERITY = {
@@ -54,12 +54,9 @@ def compare_snapshots(before: DataFrame, after: DataFrame, by: list[str] | None
 
 
 def drift_findings(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    row = finding_row(
-        rule_id=F.concat(F.lit("drift."), F.col("change_type")), severity=F.col("severity"),
-        category="drift",
-        title=F.concat(F.lit("Schema drift: "), F.translate("change_type", "_", " ")),
-        message=F.concat(F.lit("Column '"), F.col("column"), F.lit("' differs from the baseline.")),
-        column=F.col("column"), expected=F.col("before"), observed=F.col("after"),
-        remediation="Review the change and approve a new baseline if it is meant.")
-    return changes.select(*(by or []), F.explode(F.array(row)).alias("f")) \
-        .select(*(by or []), "f.*").select(*(by or []), *FINDING_COLUMNS)
+    return finding_rows(changes, finding_sql(
+        rule_id=Sql("concat('drift.', change_type)"), severity=Sql("severity"), category="drift",
+        title=Sql("concat('Schema drift: ', translate(change_type, '_', ' '))"), column=Sql("`column`"),
+        message="Column '{name}' differs from the baseline.", name="`column`",
+        expected=Sql("before"), observed=Sql("after"),
+        remediation="Review the change and approve a new baseline if it is meant."), keep=by)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablepact.contract import SEVERITY_RANK
-from tablepact.functions.hashing import finding_id
+from tablepact.functions.hashing import FINDING_ID_LENGTH, finding_id
 from tablepact.functions.schemas import flat_schema
 
 SAMPLE_LIMIT = 10  # fixed value: example rows kept per finding
@@ -22,50 +22,70 @@ FINDING_SCHEMA = flat_schema(
 FINDING_COLUMNS = FINDING_SCHEMA.names
 
 
-def fill(template: str | Column | None, **values: Column) -> Column:
-    """Text with ``{name}`` places filled from columns, as one concat expression."""
-    if template is None:
-        return F.lit(None).cast("string")
-    if isinstance(template, Column):
-        return template
+class Sql(str):
+    """A SQL fragment where a plain string would be taken as text."""
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _text(value: str | Sql | None, places: dict[str, str]) -> str:
+    """SQL for a text whose ``{name}`` places are filled from SQL fragments."""
+    if value is None:
+        return "cast(null as string)"
+    if isinstance(value, Sql):
+        return f"cast({value} as string)"
     parts = [
-        values[piece[1:-1]].cast("string") if piece[1:-1] in values and piece[0] == "{" else F.lit(piece)
-        for piece in re.split(r"(\{\w+\})", template) if piece
+        f"cast({places[piece[1:-1]]} as string)" if piece[0] == "{" and piece[1:-1] in places else quoted(piece)
+        for piece in re.split(r"(\{\w+\})", value) if piece
     ]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def percent(ratio: Column) -> Column:
-    return F.format_string("%.2f%%", ratio * 100)
-
-
-def finding_row(
-    *, rule_id, severity, category, title, message, column=None, affected=None,
-    expected=None, observed=None, remediation=None, **values: Column,
-) -> Column:
-    """One finding as a struct; texts may hold ``{n}`` for the affected row count."""
-    n = F.lit(0).cast("bigint") if affected is None else affected
-    values["n"] = n
-
-    def text(value):
-        return value.cast("string") if isinstance(value, Column) else F.lit(value).cast("string")
-
-    said = fill(message, **values)
-    col = text(column)
-    return F.struct(
-        finding_id(text(rule_id), col, said).alias("finding_id"),
-        text(rule_id).alias("rule_id"),
-        text(severity).alias("severity"),
-        text(category).alias("category"),
-        text(title).alias("title"),
-        said.alias("message"),
-        col.alias("column"),
-        n.alias("affected_rows"),
-        F.array().cast("array<bigint>").alias("sample_rows"),
-        fill(expected, **values).alias("expected"),
-        fill(observed, **values).alias("observed"),
-        text(remediation).alias("remediation"),
-    )
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else (parts or ["''"])[0]
+
+
+def percent(ratio: str) -> str:
+    return f"format_string('%.2f%%', ({ratio}) * 100)"
+
+
+def finding_sql(
+    *, rule_id, severity, category, title, message, column=None, affected: str = "0L",
+    expected=None, observed=None, remediation=None, **places: str,
+) -> str:
+    """One finding as a SQL struct; ``{n}`` in a text stands for the affected rows.
+
+    SQL rather than Column calls: a contract has many rules, and one parsed expression is
+    far cheaper to build from Python than hundreds of column objects.
+    """
+    places["n"] = affected
+    rule, col, said = _text(rule_id, {}), _text(column, {}), _text(message, places)
+    values = {
+        "finding_id": f"substring(sha2(concat({rule}, '|', coalesce({col}, ''), '|', {said}), 256), "
+                      f"1, {FINDING_ID_LENGTH})",
+        "rule_id": rule,
+        "severity": _text(severity, {}),
+        "category": _text(category, {}),
+        "title": _text(title, {}),
+        "message": said,
+        "column": col,
+        "affected_rows": f"cast({affected} as bigint)",
+        "sample_rows": "cast(array() as array<bigint>)",
+        "expected": _text(expected, places),
+        "observed": _text(observed, places),
+        "remediation": _text(remediation, {}),
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
+
+
+def finding_row(**texts) -> Column:
+    return F.expr(finding_sql(**texts))
+
+
+def finding_rows(df: DataFrame, *structs: str, keep: list[str] | None = None) -> DataFrame:
+    """The findings that the SQL structs give for each row of ``df``; NULL ones are left out."""
+    kept = [F.col(f"`{k}`") for k in keep or []]
+    rows = F.expr(f"explode(array_compact(array({', '.join(structs)})))").alias("f")
+    return df.select(*kept, rows).select(*kept, "f.*").select(*kept, *FINDING_COLUMNS)
 
 
 def no_findings(df: DataFrame) -> DataFrame:
@@ -105,7 +125,7 @@ def cap_findings(findings: DataFrame, limit: int = FINDING_LIMIT,
         rule_id="runtime.finding_limit", severity="critical", category="runtime",
         title="More findings than the evidence limit",
         message=f"{{total}} findings were produced, evidence stops at {limit}: partial result.",
-        expected=f"<= {limit} findings", observed="{total} findings", total=F.col("_total"))
+        expected=f"<= {limit} findings", observed="{total} findings", total="_total")
     cut = (F.col("_rank") == limit) & (F.col("_total") > limit)
     own = F.struct(*[F.col(f"`{c}`") for c in FINDING_COLUMNS])
     return ranked.where(F.col("_rank") <= limit) \

@@ -9,42 +9,52 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.contract import Contract, ContractError
 from tablepact.functions.coercion import as_text, is_text, missing, named
 from tablepact.functions.hashing import compact_key
 from tablepact.functions.sizing import BROADCAST_BYTES, fits_broadcast
-from tablepact.operators.findings import FINDING_COLUMNS, SAMPLE_LIMIT, finding_row
+from tablepact.operators.findings import SAMPLE_LIMIT, finding_rows, finding_sql
 
 
-def _key_columns(df: DataFrame, columns: list[str]):
-    """Grouping columns: text is compacted, nested values go by their JSON, NaN is NULL."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    keys = []
-    for i, c in enumerate(columns):
-        dtype, col = types[c], named(c)
-        simple = not hasattr(dtype, "fields") and dtype.typeName() not in ("array", "map", "variant")
-        value = compact_key(as_text(col, dtype)) if is_text(dtype) or not simple else col
-        keys.append(F.when(~missing(col, dtype), value).alias(f"k{i}"))
-    return keys
+def _key_value(df: DataFrame, column: str) -> Column:
+    """A grouping value: text is compacted, nested values go by their JSON, NaN is NULL."""
+    dtype, col = df.schema[column].dataType, named(column)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nanvl(col, F.lit(None).cast(dtype))
+    if is_text(dtype) or isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return compact_key(as_text(col, dtype))
+    return col
 
 
 def with_keys(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """Rows as k0..kn (plus kept columns); rows whose whole key is missing have no key."""
-    keys = _key_columns(df, columns)
-    rows = df.select(*[named(k) for k in (keep or [])], *keys)
-    return rows.where(F.coalesce(*[F.col(f"k{i}").cast("string") for i in range(len(columns))])
-                      .isNotNull())
+    filled = reduce(lambda a, b: a | b, [~missing(named(c), df.schema[c].dataType) for c in columns])
+    keys = [_key_value(df, c).alias(f"k{i}") for i, c in enumerate(columns)]
+    return df.where(filled).select(*[named(k) for k in (keep or [])], *keys)
 
 
 def key_counts(df: DataFrame, columns: list[str], row_key: str | None = None) -> DataFrame:
     """(k0..kn, n) and, with a row key, the smallest row of each group."""
     names = [f"k{i}" for i in range(len(columns))]
-    first = [] if row_key is None else [F.min(named(row_key).cast("bigint")).alias("first_row")]
-    return with_keys(df, columns, [row_key] if row_key else None) \
-        .groupBy(*names).agg(F.count(F.lit(1)).alias("n"), *first)
+    row = None if row_key is None else named(row_key).cast("bigint")
+    return with_keys(df, columns, [row_key] if row_key else None).groupBy(*names).agg(*_group_counts(row))
+
+
+def _group_counts(row: Column | None) -> list[Column]:
+    """n and, with row keys, first_row.
+
+    n then also reads first_row (adding nothing): counts and examples keep the very same
+    aggregate, so Spark shuffles the keys once and reuses that exchange for both.
+    """
+    n = F.count(F.lit(1))
+    if row is None:
+        return [n.alias("n")]
+    zero = F.lit(0).cast("bigint")
+    return [(n + F.coalesce(F.min(row), zero).bitwiseAND(zero)).alias("n"), F.min(row).alias("first_row")]
 
 
 def duplicate_rows(df: DataFrame, columns: list[str], row_key: str | None = None) -> DataFrame:
@@ -88,8 +98,7 @@ def missing_references(df: DataFrame, column: str, reference: DataFrame, referen
     """
     ref = _reference_keys(reference, reference_column)
     rows = _source_keys(df, column, ref, row_key)
-    first = [] if row_key is None else [F.min("_row").alias("first_row")]
-    counts = [F.count(F.lit(1)).alias("n"), *first]
+    counts = _group_counts(None if row_key is None else F.col("_row"))
     if fits_broadcast(ref, ["ref_key"], broadcast_bytes):
         absent = rows.join(F.broadcast(ref.distinct()), F.col("key") == F.col("ref_key"), "left_anti")
         return absent.groupBy("key").agg(*counts)
@@ -101,7 +110,8 @@ def reference_samples(df: DataFrame, column: str, absent: DataFrame, reference:
                       reference_column: str, row_key: str, limit: int = SAMPLE_LIMIT) -> DataFrame:
     """Smallest row keys among the rows whose key the reference lacks."""
     rows = _source_keys(df, column, _reference_keys(reference, reference_column), row_key)
-    return _smallest_rows(rows, ["key"], absent, limit)
+    # every group has rows; asking for n keeps the aggregate the one that was counted
+    return _smallest_rows(rows, ["key"], absent.where("n > 0"), limit)
 
 
 def _source_keys(df: DataFrame, column: str, ref: DataFrame, row_key: str | None) -> DataFrame:
@@ -129,9 +139,7 @@ def _typed_key(df: DataFrame, column: str, ref: DataFrame):
 
 def _as_findings(count: DataFrame, **texts) -> DataFrame:
     """A one-row count becomes a finding, or nothing when it is zero."""
-    return count.where(F.col("affected") > 0) \
-        .select(F.explode(F.array(finding_row(affected=F.col("affected"), **texts))).alias("f")) \
-        .select("f.*").select(*FINDING_COLUMNS)
+    return finding_rows(count.where(F.col("affected") > 0), finding_sql(affected="affected", **texts))
 
 
 def key_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str | None, list[str], dict]]:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
-from tablepact.operators.findings import FINDING_COLUMNS, finding_row
+from tablepact.operators.findings import Sql, finding_rows, finding_sql
 from tablepact.operators.profile import head_values, text_totals
 
 # Name patterns per category (case-insensitive, matched anywhere).
@@ -190,14 +190,12 @@ def unapproved_signals(signals: DataFrame, privacy: Privacy) -> DataFrame:
 
 def privacy_findings(signals: DataFrame, contract: Contract) -> DataFrame:
     privacy = contract.privacy
-    said = F.concat(F.col("confidence"), F.lit("-confidence "), F.col("category"), F.lit(" signal"))
-    message = F.concat(F.lit("Column '"), F.col("column"), F.lit("': "), said, F.lit("."))
-    row = finding_row(
+    said = "{confidence}-confidence {kind} signal"
+    return finding_rows(unapproved_signals(signals, privacy), finding_sql(
         rule_id="privacy.unapproved_pii_signal",
         severity="error" if privacy.fail_on_unapproved else privacy.severity, category="privacy",
-        title="Unapproved personal-data signal", message=message, column=F.col("column"),
+        title="Unapproved personal-data signal", column=Sql("`column`"),
+        message="Column '{name}': " + said + ".",
         expected="approved category or reviewed false positive", observed=said,
-        remediation="Review the column: allow the category, mask it or drop it.")
-    return unapproved_signals(signals, privacy) \
-        .select(F.explode(F.array(row)).alias("f")).select("f.*").select(*FINDING_COLUMNS)
-
+        remediation="Review the column: allow the category, mask it or drop it.",
+        name="`column`", confidence="confidence", kind="category"))

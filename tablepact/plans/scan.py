@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.operators import pii, profile
-from tablepact.operators.findings import FINDING_COLUMNS
+from tablepact.operators.findings import finding_rows
 from tablepact.operators.predicates import RowCheck, check_finding, check_total
 
 AGGREGATES_PER_PASS = 200  # wider contracts are split; columnar sources are still read once
@@ -26,14 +26,14 @@ class Scan:
 
     def __init__(self, df: DataFrame):
         self.df = df
-        self._parts: list[tuple[list[Column], dict[str, list[Column]]]] = []
-        self._totals: list[tuple[Row, DataFrame, dict[str, list[Column]]]] = []
+        self._parts: list[tuple[list[Column], dict[str, list]]] = []
+        self._totals: list[tuple[dict, DataFrame, dict[str, list]]] = []
         self._texts: dict[int, str] = {}
         self._text_aggregates: list[Column] = []
         self._text_rows: DataFrame | None = None
         self._with_pii = self._with_statistics = False
 
-    def _add(self, kind: str, aggregates: list[Column], row: Column) -> None:
+    def _add(self, kind: str, aggregates: list[Column], row: Column | str) -> None:
         if not self._parts or len(self._parts[-1][0]) + len(aggregates) > AGGREGATES_PER_PASS:
             self._parts.append(([], {}))
         taken, rows = self._parts[-1]
@@ -66,15 +66,14 @@ class Scan:
         """One job for the totals, one for the text cells; results are contract-sized."""
         for aggregates, rows in self._parts:
             totals = self.df.agg(F.count(F.lit(1)).alias("total"), *aggregates)
-            row = totals.first()
-            local = self.df.sparkSession.createDataFrame([row], totals.schema)
-            self._totals.append((row, local, rows))
+            local = taken(totals)
+            self._totals.append((local.first().asDict(), local, rows))
         if self._texts:
             self._text_rows = taken(profile.text_totals(self.df, self._texts, self._text_aggregates))
 
     def count(self, name: str) -> int:
         """An aggregate by its alias; 0 if it was not taken."""
-        return next((row[name] for row, _, _ in self._totals if name in row.asDict()), 0)
+        return next((row[name] for row, _, _ in self._totals if name in row), 0)
 
     def _rows(self, kind: str) -> list[DataFrame]:
         return [
@@ -83,8 +82,8 @@ class Scan:
         ]
 
     def findings(self) -> DataFrame | None:
-        parts = self._rows("finding")
-        return reduce(DataFrame.unionByName, parts).select(*FINDING_COLUMNS) if parts else None
+        parts = [finding_rows(local, *rows["finding"]) for _, local, rows in self._totals if "finding" in rows]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def signals(self) -> DataFrame | None:
         parts = self._rows("pii")
@@ -103,4 +102,4 @@ class Scan:
 
 def taken(rows: DataFrame) -> DataFrame:
     """A result no longer than the list of columns, computed once and then local."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return rows.sparkSession.createDataFrame(rows.toArrow())
