@@ -79,3 +79,44 @@ def test_redaction(spark):
     assert row["t"] == "api_key=[REDACTED] password=[REDACTED] host=[IP_REDACTED]"
     assert row["j"] == '{"password":"[REDACTED]","note":"token=[REDACTED] ip [IP_REDACTED]","n":"5"}'
     assert (row["cut"], row["whole"]) == (20000, 30000)
+
+
+def test_head_values_are_the_first_ones(spark):
+    """The filtered head and the whole-table path give the first filled values in key order."""
+    rows = [(i, f"a{i}", None if i < 2500 and i % 400 else f"b{i}", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row long, dense string, sparse string, empty string").repartition(6)
+    got: dict = {}
+    for r in profile.head_values(df, "row", 5, ["dense", "sparse", "empty"]).collect():
+        got.setdefault(r["column"], set()).add(r["value"])
+    want = {"dense": {r[1] for r in rows[:5]}, "sparse": set([r[2] for r in rows if r[2]][:5])}
+    assert got == want
+
+
+def test_profile_of_text_and_typed_columns(spark):
+    rows = [("1", "1.5", "true", "2024-01-01", "x", 1, None), ("2", "2", "False", "01/02/2024", None, 3, None)]
+    df = spark.createDataFrame(rows, "i string, n string, b string, d string, s string, t long, e string")
+    got = {r["column"]: r for r in profile.profile(df, "approx").collect()}
+    assert {c: r["observed_type"] for c, r in got.items()} == {
+        "i": "integer", "n": "number", "b": "boolean", "d": "datetime", "s": "string", "t": "integer", "e": "unknown"}
+    assert [r["column"] for r in profile.profile(df).collect()] == df.columns
+    assert (got["n"]["minimum"], got["n"]["maximum"], got["n"]["mean"]) == ("1.5", "2.0", 1.75)
+    assert (got["t"]["minimum"], got["t"]["distinct_count"], got["s"]["null_ratio"]) == ("1", 2, 0.5)
+    # the streaming form, one expression set per column, says the same
+    plain = {r["column"]: r["observed_type"] for r in profile.column_stats(df).collect()}
+    assert plain == {c: r["observed_type"] for c, r in got.items()}
+
+
+def test_distinct_counts_match_brute_force(spark):
+    long = "z" * 500
+    rows = [(0.0, "a", long), (-0.0, "b", long), (float("nan"), "a", long + "!"), (None, None, None)]
+    df = spark.createDataFrame(rows, "d double, s string, t string")
+    got = {r["column"]: (r["distinct_count"], r["duplicate_count"]) for r in profile.distinct_counts(df).collect()}
+    assert got == {"d": (1, 2), "s": (2, 2), "t": (2, 2)}
+
+
+def test_validation_uses_profile_counts_for_uniqueness(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "row long, k string")
+    contract = {"dataset": {"name": "u"}, "rules": {"k": {"unique": True}}, "privacy": {"detect_pii": False}}
+    for distinct in ("none", "exact", "approx"):
+        (found,) = validate(df, contract, row_key="row", distinct=distinct).findings.collect()
+        assert (found["affected_rows"], found["sample_rows"]) == (2, [1, 2])
