@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.operators.findings import Sql, finding_rows, finding_sql
+from tablepact.functions.sqltext import Sql
+from tablepact.operators.findings import finding_rows, finding_sql
 
 # Severity of each kind of change.
 DRIFT_SEVERITY = {

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tablepact.contract import SEVERITY_RANK
 from tablepact.functions.hashing import FINDING_ID_LENGTH, finding_id
 from tablepact.functions.schemas import flat_schema
+from tablepact.functions.sqltext import Sql, quoted
 
 SAMPLE_LIMIT = 10  # fixed value: example rows kept per finding
 FINDING_LIMIT = 10_000  # fixed value: default evidence limit of a run
@@ -22,15 +23,6 @@ FINDING_SCHEMA = flat_schema(
 FINDING_COLUMNS = FINDING_SCHEMA.names
 
 
-class Sql(str):
-    """A SQL fragment where a plain string would be taken as text."""
-
-
-def quoted(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _text(value: str | Sql | None, places: dict[str, str]) -> str:
     """SQL for a text whose ``{name}`` places are filled from SQL fragments."""
     if value is None:

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
-from tablepact.operators.findings import Sql, finding_rows, finding_sql
+from tablepact.functions.sqltext import Sql
+from tablepact.operators.findings import finding_rows, finding_sql
 from tablepact.operators.profile import head_values, text_totals
 
 # Name patterns per category (case-insensitive, matched anywhere).

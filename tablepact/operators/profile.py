@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablepact.functions import coercion as C
 from tablepact.functions.hashing import compact_key
+from tablepact.functions.sqltext import quoted
 from tablepact.operators.samples import smallest_per_group
 
 DATETIME_SHARE = 0.95  # fixed value: share of text values that must parse as dates
@@ -148,7 +149,8 @@ def text_totals(df: DataFrame, columns: dict[int, str], aggregates: list[Column]
     per_column = cells.groupBy("position").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("value").isNull()).alias("null"), *aggregates)
     # a list of column names: an empty table still has its columns
-    names = df.sparkSession.createDataFrame(list(columns.items()), "position int, column string")
+    listed = ", ".join(f"named_struct('position', {i}, 'column', {quoted(c)})" for i, c in columns.items())
+    names = df.sparkSession.range(0, 1, 1, 1).select(F.expr(f"inline(array({listed}))"))
     counts = [f.name for f in per_column.schema.fields if isinstance(f.dataType, T.LongType)]
     return names.join(per_column, "position", "left").na.fill(0, counts)
 

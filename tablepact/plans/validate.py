@@ -16,10 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.contract import Contract
+from tablepact.contract import Contract, ContractError
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples
 from tablepact.operators.schema_checks import schema_findings
 from tablepact.plans.scan import Scan, taken
+from tablepact.sources.readers import shape_budget
 
 
 @dataclass
@@ -57,16 +58,23 @@ def validate(
     pii_sample: int | None = None,
     fail_on: str = "error",
     run_id: str | None = None,
+    budget: dict[str, int] | None = None,
 ) -> Validation:
     """Check ``df`` against ``contract``.
 
     ``row_key`` names a whole-number column that identifies rows: with it, findings
     carry the ten smallest row keys as examples. ``references`` maps the names used by
     ``reference_exists`` rules to DataFrames; ``baseline`` is a schema snapshot to detect
-    drift from. ``distinct`` sets how the profile counts distinct values.
+    drift from. ``distinct`` sets how the profile counts distinct values. A dataset whose
+    shape exceeds the ``budget`` is refused before any rule runs.
     """
     if isinstance(contract, dict):
         contract = Contract.from_dict(contract)
+    if budget is not None:
+        over = shape_budget(df, budget).where("not within").first()
+        if over is not None:
+            raise ContractError(
+                f"{over['measure']} is {over['observed']}, allowed {over['allowed']}")
     checks = predicates.row_checks(df.schema, contract, as_of)
     want_profile = baseline is not None or distinct != "none"
     sampled = pii_sample is not None and contract.privacy.detect_pii

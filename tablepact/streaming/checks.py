@@ -8,6 +8,7 @@ profiles) lives in Spark's state store as mergeable aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BATCH = "batch_id"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Key state outgrows executor heaps, so it goes to RocksDB; before the query starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB: key state outgrows executor heaps."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet",
@@ -121,7 +129,8 @@ def stream_duplicate_rows(stream: DataFrame, columns: list[str], folder: str) ->
     """
     names = [f"k{i}" for i in range(len(columns))]
     counts = with_keys(stream, columns).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    sink = drain(counts, folder, mode="update")
+    with state_on_disk(stream.sparkSession):
+        sink = drain(counts, folder, mode="update")
     final = batch_results(stream.sparkSession, sink, counts.schema).groupBy(*names).agg(F.max("n").alias("n"))
     return final.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("affected"))
 
@@ -130,7 +139,7 @@ def newly_affected_rows(stream: DataFrame, columns: list[str], row_key: str) ->
     """A stream of the rows that became duplicates, each exactly once.
 
     State per key is the number of rows and the first row, whatever the number of rows;
-    needs the RocksDB state store (``keep_state_on_disk``).
+    start it inside ``state_on_disk``.
     """
     from tablepact.streaming.processors import FirstRowState, OUTPUT
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from tablepact import Contract, validate
+from tablepact import Contract, ContractError, validate
 from tablepact.functions.schemas import flat_schema
 from tablepact.session import shared_dir
 from tablepact.sources import readers, sinks
@@ -79,6 +79,13 @@ def test_shape_budget(spark):
                    "max_field_length": (6, True)}
 
 
+def test_budget_is_checked_before_validating(spark):
+    contract = {"dataset": {"name": "b"}, "rules": {"id": {"minimum": 5}}}
+    with pytest.raises(ContractError, match="max_rows is 3, allowed 1"):
+        validate(spark.range(3), contract, budget={"max_rows": 1})
+    assert validate(spark.range(3), contract, budget={"max_rows": 3}).findings.count() == 1
+
+
 def test_evidence_formats(spark, tmp_path):
     df = spark.createDataFrame([(None,)], "a long")
     found = validate(df, {"dataset": {"name": "e"}, "rules": {"a": {"nullable": False}}}).findings
@@ -119,15 +126,11 @@ def test_stream_unique_across_batches(spark, batches):
 
 def test_stream_newly_affected_rows(spark, batches):
     stream, _ = batches
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    checks.keep_state_on_disk(spark)
-    try:
+    with checks.state_on_disk(spark):
         rows = checks.newly_affected_rows(stream(), ["order_id"], "row")
         sink = checks.drain(rows, shared_dir(spark, "t"))
-        got = checks.batch_results(spark, sink, rows.schema)
-        assert sorted(r["row"] for r in got.collect()) == [1, 2, 4, 6]
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = checks.batch_results(spark, sink, rows.schema)
+    assert sorted(r["row"] for r in got.collect()) == [1, 2, 4, 6]
 
 
 def test_stream_references_and_totals(spark, batches):
