@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 from tablepact.functions import coercion as C
 from tablepact.functions.hashing import compact_key
 from tablepact.functions.sqltext import quoted
-from tablepact.operators.samples import smallest_per_group
+from tablepact.operators.samples import HEAD_ROWS, head_rows, smallest_per_group
 
 DATETIME_SHARE = 0.95  # fixed value: share of text values that must parse as dates
-HEAD_ROWS = 1000  # fixed value: rows a sample is first looked for in
 TYPE_SAMPLE = 200  # fixed value: values looked at per text column
 BOOLEAN_TEXT = ("True", "False", "TRUE", "FALSE", "true", "false")  # fixed values
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
@@ -39,18 +38,48 @@ def long_values(df: DataFrame, keep: list[str] | None = None,
         .select(*(keep or []), "c.column", "c.value").where(F.col("value").isNotNull())
 
 
+def _value_family(dtype: T.DataType) -> T.DataType:
+    """The type in which values of this type are compared and shuffled."""
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    if C.is_time(dtype) or isinstance(dtype, (T.BooleanType, T.DecimalType)):
+        return dtype
+    return T.StringType()
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct values and rows in duplicates, for all columns in one shuffle.
+    """Exact distinct values and rows in duplicates for all columns, one shuffle per type.
 
-    Cells are folded to (column, value, n) in each task before the exchange; long texts
-    travel as digests. A value that fills a third of a column is one row per task.
+    Columns of one type share a scan: their cells are folded to (column, value, n) in
+    each task before the exchange, numbers travel as numbers and long texts as digests. A
+    value that fills a third of a column is one row per task.
     """
-    cells = long_values(df, columns=columns)
-    per_value = cells.groupBy("column", compact_key(F.col("value")).alias("value")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    return per_value.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_count"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_count"))
+    families: dict[T.DataType, list[tuple[int, T.StructField]]] = {}
+    for i, f in enumerate(df.schema.fields):
+        if columns is None or f.name in columns:
+            families.setdefault(_value_family(f.dataType), []).append((i, f))
+    parts = []
+    for family, members in families.items():
+        cells = []
+        for i, f in members:
+            col = C.named(f.name)
+            if isinstance(family, T.DoubleType):
+                value = F.nanvl(col.cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
+            elif isinstance(family, T.StringType):
+                value = compact_key(C.as_text(col, f.dataType))
+            else:
+                value = col.cast(family)
+            cells.append(F.struct(F.lit(i).alias("position"), value.alias("value")))
+        filled = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null")
+        parts.append(filled.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+                     .groupBy("position").agg(
+                         F.count(F.lit(1)).alias("distinct_count"),
+                         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_count")))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return reduce(DataFrame.unionByName, parts).select(
+        F.get(names, F.col("position")).alias("column"), "distinct_count", "duplicate_count")
 
 
 def typed_kind(dtype: T.DataType) -> str | None:
@@ -224,17 +253,13 @@ def head_values(df: DataFrame, row_key: str, limit: int, columns: list[str] | No
                 rows: int = HEAD_ROWS) -> DataFrame:
     """(column, value): the first ``limit`` filled values of each column in row-key order.
 
-    The key of row ``rows`` comes from a top-k over the key column alone; the filter on it
-    reaches the scan, so the sample reads a few row groups. Only columns too empty for
-    that go through the whole table.
+    The head of the table serves the columns that are filled enough there; only the others
+    go through the whole table.
     """
-    key = C.named(row_key)
     wanted = columns or df.columns
-    cut = df.select(key.alias("k")).where(F.col("k").isNotNull()).orderBy("k").limit(rows) \
-        .agg(F.max("k").alias("last"), F.count("k").alias("n")).first()
-    if cut["n"] < rows:
+    head = head_rows(df, row_key, rows)
+    if head is None:
         return _first_cells(df, row_key, limit, wanted)
-    head = df.where(key <= F.lit(cut["last"]))
     types = {f.name: f.dataType for f in df.schema.fields}
     filled = head.agg(*[F.count_if(~C.missing(C.named(c), types[c])).alias(f"c{i}")
                         for i, c in enumerate(wanted)]).first()

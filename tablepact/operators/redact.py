@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a secret, the masks and the text limit.
-SECRET_TEXT = r"(?iU)(api[_-]?key|token|password|secret|authorization)\s*[:=]\s*[^\s,;]+"
+SECRET_TEXT = r"(?iU)(?=[apts])(api[_-]?key|token|password|secret|authorization)\s*[:=]\s*[^\s,;]+"
 SECRET_NAME = r"(?i)^(api[_-]?key|token|password|secret|authorization)$"
 IPV4_TEXT = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 SECRET_MASK = "[REDACTED]"

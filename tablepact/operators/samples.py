@@ -8,6 +8,22 @@ from pyspark.sql.window import Window
 
 from tablepact.functions.coercion import named
 from tablepact.operators.findings import SAMPLE_LIMIT
+from tablepact.operators.predicates import RowCheck, violating_rows
+
+HEAD_ROWS = 1000  # fixed value: rows that samples are first looked for in
+OFTEN = 50  # a rule broken by one row in this many finds its examples in the head
+
+
+def head_rows(df: DataFrame, row_key: str, rows: int = HEAD_ROWS) -> DataFrame | None:
+    """The first ``rows`` rows in key order (and ties), or None if the table has fewer.
+
+    The last key comes from a top-k over the key column alone, and the filter on it reaches
+    the scan: on a table ordered by key only a few row groups are read.
+    """
+    key = named(row_key)
+    cut = df.select(key.alias("k")).where(F.col("k").isNotNull()).orderBy("k").limit(rows) \
+        .agg(F.max("k").alias("last"), F.count("k").alias("n")).first()
+    return None if cut["n"] < rows else df.where(key <= F.lit(cut["last"]))
 
 
 def smallest_per_group(rows: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
@@ -29,6 +45,27 @@ def sample_rows(violations: DataFrame, row_key: str, keys: list[str] | None = No
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("sample_rows"))
 
 
+def check_samples(df: DataFrame, broken: list[tuple[RowCheck, int]], total: int, row_key: str,
+                  limit: int = SAMPLE_LIMIT) -> list[DataFrame]:
+    """Example rows of broken row checks, given how many rows break each.
+
+    A rule that many rows break has its smallest examples in the head of the table, which
+    spares sorting a large part of it. Rules that find fewer than ``limit`` rows there, and
+    rarely broken ones, are looked up in the whole table, where few rows match.
+    """
+    often = [check for check, n in broken if n * OFTEN >= total]
+    early: list[RowCheck] = []
+    head = head_rows(df, row_key) if often else None
+    if head is not None:
+        hits = head.agg(*[F.count_if(c.violated).alias(f"h{i}") for i, c in enumerate(often)]).first()
+        early = [c for i, c in enumerate(often) if hits[f"h{i}"] >= limit]
+    rest = [check for check, _ in broken if check not in early]
+    return [
+        sample_rows(violating_rows(source, checks, [row_key]), row_key, limit=limit)
+        for source, checks in ((head, early), (df, rest)) if checks
+    ]
+
+
 def attach_samples(findings: DataFrame, samples: DataFrame) -> DataFrame:
     """Fill ``sample_rows``; both sides hold one row per broken rule."""
     s = samples.select(

@@ -105,10 +105,8 @@ def validate(
     families = [f for f in families if f is not None]
     found = reduce(DataFrame.unionByName, families) if families else findings.no_findings(df)
     if row_key is not None:
-        broken = [c for i, c in enumerate(checks) if scan.count(f"n{i}")]
-        if broken:
-            rows = predicates.violating_rows(df, broken, [row_key])
-            key_samples.append(samples.sample_rows(rows, row_key))
+        broken = [(c, scan.count(f"n{i}")) for i, c in enumerate(checks) if scan.count(f"n{i}")]
+        key_samples += samples.check_samples(df, broken, scan.count("total"), row_key)
         if key_samples:
             found = samples.attach_samples(found, reduce(DataFrame.unionByName, key_samples))
     return Validation(contract, df, run_id or uuid.uuid4().hex, found, fail_on,

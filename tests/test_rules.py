@@ -281,3 +281,14 @@ def test_column_with_rule_is_required(spark):
     df = spark.createDataFrame([(1,)], "a long")
     made = validate(df, contract)
     assert [(r["rule_id"], r["column"]) for r in made.findings.collect()] == [("schema.required_column", "b")]
+
+
+def test_examples_from_the_head_and_from_the_whole(spark):
+    """Often, rarely and late broken rules give the smallest rows whichever way they are found."""
+    df = spark.range(5000).repartition(6).select(
+        "id", (F.col("id") % 3).alias("often"), F.when(F.col("id") > 4000, 9).otherwise(0).alias("late"),
+        F.when(F.col("id").isin(7, 4444), 9).otherwise(0).alias("rare"))
+    contract = {"dataset": {"name": "h"}, "rules": {
+        "often": {"maximum": 1}, "late": {"maximum": 1}, "rare": {"maximum": 1}}, "privacy": {"detect_pii": False}}
+    found = {r["column"]: r["sample_rows"] for r in validate(df, contract, row_key="id").findings.collect()}
+    assert found == {"often": [2 + 3 * i for i in range(10)], "late": list(range(4001, 4011)), "rare": [7, 4444]}
