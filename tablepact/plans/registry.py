@@ -12,7 +12,6 @@ from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablepact.functions.schemas import flat_schema
 from tablepact.contract import SEVERITY_RANK, Contract

@@ -14,7 +14,6 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tablepact.contract import Contract, ContractError
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Row
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablepact.functions.schemas import flat_schema

@@ -15,6 +15,7 @@ from tablepact.operators import keys
 
 NOW = datetime(2024, 6, 1, 12)
 
+# The example contract the expectations belong to.
 ORDERS = {
     "dataset": {
         "name": "customer_orders", "owner": "Data Operations",
