@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, compact, query, row_rule_sql, table
-from catalog.rules import contract_of
+from catalog.rules import KEY_SQL, ORDERS, ROW_SQL, SCHEMA_SQL, contract_of
 from tablepact import Contract
 from tablepact.operators import predicates
 from tablepact.session import shared_dir
 from tablepact.streaming import checks
+from tablepact.streaming.validate import StreamValidation
 
 
 def stream_of(spark, sf_dir, name):
@@ -91,3 +92,13 @@ def stream_windowed_quality(spark, sf_dir):
     done = checks.batch_results(spark, sink, windows.schema)
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
                        "rule_id", "column", "rows", "affected_rows")
+
+
+@query("stream_validation", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT * EXCLUDE (sample_rows) FROM ({sql})" for sql in [*ROW_SQL, *KEY_SQL, SCHEMA_SQL]) + ")")
+def stream_validation(spark, sf_dir):
+    """A whole contract on a stream: row rules, keys and references merged over all batches."""
+    run = StreamValidation(stream_of(spark, sf_dir, "orders"), ORDERS, shared_dir(spark, "stream"), as_of=AS_OF,
+                           references={"lineitem": table(spark, sf_dir, "lineitem")})
+    run.start().awaitTermination()
+    return run.findings().select("rule_id", "severity", "category", "column", "affected_rows")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablepact.contract import Contract, ContractError
+from tablepact.contract import Contract, ContractError, DatasetRule
 from tablepact.functions.coercion import as_text, is_text, missing, named
 from tablepact.functions.hashing import compact_key
 from tablepact.functions.sizing import BROADCAST_BYTES, fits_broadcast
@@ -88,18 +88,21 @@ def duplicate_samples(df: DataFrame, columns: list[str], row_key: str,
 
 
 def missing_references(df: DataFrame, column: str, reference: DataFrame, reference_column: str,
-                       row_key: str | None = None,
-                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                       row_key: str | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+                       small: bool | None = None) -> DataFrame:
     """(key, n and first_row) for every non-null key that the reference lacks.
 
     A reference measured to be small is broadcast and the rows are filtered where they
     are. Otherwise both sides are reduced to distinct keys first and meet in one
-    co-partitioned anti join, which no hot key can skew.
+    co-partitioned anti join, which no hot key can skew. ``small`` states the outcome of
+    an earlier measurement.
     """
     ref = _reference_keys(reference, reference_column)
     rows = _source_keys(df, column, ref, row_key)
+    if small is None:
+        small = fits_broadcast(ref, ["ref_key"], broadcast_bytes)
     counts = _group_counts(None if row_key is None else F.col("_row"))
-    if fits_broadcast(ref, ["ref_key"], broadcast_bytes):
+    if small:
         absent = rows.join(F.broadcast(ref.distinct()), F.col("key") == F.col("ref_key"), "left_anti")
         return absent.groupBy("key").agg(*counts)
     return rows.groupBy("key").agg(*counts) \
@@ -137,7 +140,7 @@ def _typed_key(df: DataFrame, column: str, ref: DataFrame):
     return named(column)
 
 
-def _as_findings(count: DataFrame, **texts) -> DataFrame:
+def count_findings(count: DataFrame, **texts) -> DataFrame:
     """A one-row count becomes a finding, or nothing when it is zero."""
     return finding_rows(count.where(F.col("affected") > 0), finding_sql(affected="affected", **texts))
 
@@ -169,7 +172,11 @@ def reference_rules(df: DataFrame, contract: Contract) -> list[tuple[str, object
     ]
 
 
-def _reference_of(references: dict[str, DataFrame], rule) -> DataFrame:
+def reference_is_small(reference: DataFrame, column: str) -> bool:
+    return fits_broadcast(_reference_keys(reference, column), ["ref_key"])
+
+
+def reference_of(references: dict[str, DataFrame], rule) -> DataFrame:
     if rule.reference_dataset not in references:
         raise ContractError(f"Reference dataset '{rule.reference_dataset}' was not supplied")
     return references[rule.reference_dataset]
@@ -197,27 +204,31 @@ def key_findings(df: DataFrame, contract: Contract, references: dict[str, DataFr
                 .select(F.col("duplicate_count").alias("affected"))
         else:
             rows = duplicate_rows(df, keys, row_key)
-        found.append(_as_findings(rows, rule_id=rule_id, column=column, **texts))
+        found.append(count_findings(rows, rule_id=rule_id, column=column, **texts))
         if row_key:
             samples.append(tagged(duplicate_samples(df, keys, row_key), rule_id, column))
     for name, rule in reference_rules(df, contract):
         rule_id = f"dataset.reference_exists.{name}"
-        ref = _reference_of(references or {}, rule)
+        ref = reference_of(references or {}, rule)
         absent = missing_references(df, rule.column, ref, rule.reference_column, row_key)
         count = absent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("affected"))
-        found.append(_as_findings(
-            count, rule_id=rule_id, severity=rule.severity,
-            category="referential_integrity", title="Referenced values missing", column=rule.column,
-            message=f"{{n}} row(s) of '{rule.column}' are absent from "
-                    f"'{rule.reference_dataset}'.{rule.reference_column}.",
-            expected="every non-null key exists in the reference", observed="{n} unmatched rows",
-            remediation="Repair the relationship at the source."))
+        found.append(count_findings(count, **reference_texts(name, rule)))
         if row_key:
             rows = reference_samples(df, rule.column, absent, ref, rule.reference_column, row_key)
             samples.append(tagged(rows, rule_id, rule.column))
     return found, samples
 
 
+def reference_texts(name: str, rule: DatasetRule) -> dict:
+    return dict(
+        rule_id=f"dataset.reference_exists.{name}", severity=rule.severity,
+        category="referential_integrity", title="Referenced values missing", column=rule.column,
+        message=f"{{n}} row(s) of '{rule.column}' are absent from "
+                f"'{rule.reference_dataset}'.{rule.reference_column}.",
+        expected="every non-null key exists in the reference", observed="{n} unmatched rows",
+        remediation="Repair the relationship at the source.")
+
+
 def group_reconciliation(header: DataFrame, key: str, amount: str, detail: DataFrame,
                          detail_key: str, detail_amount: str, tolerance: float) -> DataFrame:
     """Header amounts against the sum of their detail rows, one row per header that differs.

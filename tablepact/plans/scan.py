@@ -64,12 +64,30 @@ class Scan:
 
     def run(self) -> None:
         """One job for the totals, one for the text cells; results are contract-sized."""
-        for aggregates, rows in self._parts:
-            totals = self.df.agg(F.count(F.lit(1)).alias("total"), *aggregates)
-            local = taken(totals)
+        self.load(
+            [self.df.agg(F.count(F.lit(1)).alias("total"), *aggregates) for aggregates, _ in self._parts],
+            profile.text_totals(self.df, self._texts, self._text_aggregates) if self._texts else None)
+
+    def load(self, totals: list[DataFrame], texts: DataFrame | None) -> None:
+        """Take results computed elsewhere, such as the sums over many batches."""
+        for found, (_, rows) in zip(totals, self._parts):
+            local = taken(found)
             self._totals.append((local.first().asDict(), local, rows))
-        if self._texts:
-            self._text_rows = taken(profile.text_totals(self.df, self._texts, self._text_aggregates))
+        if texts is not None:
+            self._text_rows = taken(texts)
+
+    def results(self) -> dict[str, DataFrame]:
+        """The raw results by name. Counts of disjoint batches add up to those of their union."""
+        named = {f"totals_{i}": local for i, (_, local, _) in enumerate(self._totals)}
+        return named if self._text_rows is None else {**named, "texts": self._text_rows}
+
+    @property
+    def parts(self) -> int:
+        return len(self._parts)
+
+    @property
+    def has_texts(self) -> bool:
+        return bool(self._texts)
 
     def count(self, name: str) -> int:
         """An aggregate by its alias; 0 if it was not taken."""

@@ -11,6 +11,7 @@ from tablepact.functions.schemas import flat_schema
 from tablepact.session import shared_dir
 from tablepact.sources import readers, sinks
 from tablepact.streaming import checks
+from tablepact.streaming.validate import StreamValidation
 
 
 def test_csv_tokens_and_quotes(spark, tmp_path):
@@ -116,6 +117,28 @@ def test_stream_equals_batch(spark, batches):
     assert sorted(merged.select(pick).collect()) == sorted(whole.select(pick).collect())
 
 
+def test_whole_contract_on_a_stream(spark, batches):
+    stream, path = batches
+    contract = {
+        "dataset": {"name": "o", "required_columns": ["gone"], "allow_extra_columns": False},
+        "rules": {"amount": {"minimum": 30}, "order_id": {"unique": True, "maximum": 2}},
+        "dataset_rules": [
+            {"type": "row_count", "maximum": 5}, {"type": "unique_combination", "columns": ["order_id", "amount"]},
+            {"type": "reference_exists", "column": "order_id", "reference_dataset": "known", "reference_column": "id"}],
+        "privacy": {"detect_pii": True},
+    }
+    known = {"known": spark.createDataFrame([(1,), (3,)], "id long")}
+    run = StreamValidation(stream(), contract, shared_dir(spark, "t"), references=known, row_key="row")
+    query = run.start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 2
+    whole = validate(spark.read.parquet(path), contract, references=known, row_key="row").findings
+    pick = ["finding_id", "rule_id", "column", "affected_rows", "message"]
+    assert sorted(run.findings().select(pick).collect()) == sorted(whole.select(pick).collect())
+    row_rules = "rule_id in ('column.minimum', 'column.maximum')"
+    assert sorted(run.findings().where(row_rules).collect()) == sorted(whole.where(row_rules).collect())
+
+
 def test_stream_unique_across_batches(spark, batches):
     stream, _ = batches
     folder = shared_dir(spark, "t")
