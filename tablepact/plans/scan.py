@@ -9,8 +9,10 @@ are read off them without another scan.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tablepact.operators.findings import finding_rows
 from tablepact.operators.predicates import RowCheck, check_finding, check_total
 
 AGGREGATES_PER_PASS = 200  # wider contracts are split; columnar sources are still read once
+JOBS_AT_ONCE = 4
 
 
 class Scan:
@@ -36,8 +39,8 @@ class Scan:
     def _add(self, kind: str, aggregates: list[Column], row: Column | str) -> None:
         if not self._parts or len(self._parts[-1][0]) + len(aggregates) > AGGREGATES_PER_PASS:
             self._parts.append(([], {}))
-        taken, rows = self._parts[-1]
-        taken.extend(aggregates)
+        wanted, rows = self._parts[-1]
+        wanted.extend(aggregates)
         rows.setdefault(kind, []).append(row)
 
     def add_checks(self, checks: list[RowCheck]) -> None:
@@ -62,19 +65,25 @@ class Scan:
             if i not in texts:
                 self._add("stat", *profile.column_summary(i, f, approx_distinct))
 
-    def run(self) -> None:
-        """One job for the totals, one for the text cells; results are contract-sized."""
-        self.load(
+    def run(self, also: list[DataFrame] | None = None) -> list[DataFrame]:
+        """One job for the totals, one for the text cells, run side by side.
+
+        ``also`` are further contract-sized results to take at the same time.
+        """
+        return self.load(
             [self.df.agg(F.count(F.lit(1)).alias("total"), *aggregates) for aggregates, _ in self._parts],
-            profile.text_totals(self.df, self._texts, self._text_aggregates) if self._texts else None)
+            profile.text_totals(self.df, self._texts, self._text_aggregates) if self._texts else None, also)
 
-    def load(self, totals: list[DataFrame], texts: DataFrame | None) -> None:
+    def load(self, totals: list[DataFrame], texts: DataFrame | None,
+             also: list[DataFrame] | None = None) -> list[DataFrame]:
         """Take results computed elsewhere, such as the sums over many batches."""
-        for found, (_, rows) in zip(totals, self._parts):
-            local = taken(found)
-            self._totals.append((local.first().asDict(), local, rows))
+        local = taken([*totals, *([texts] if texts is not None else []), *(also or [])])
+        for found, (_, rows) in zip(local, self._parts):
+            self._totals.append((found.first().asDict(), found, rows))
+        rest = local[len(totals):]
         if texts is not None:
-            self._text_rows = taken(texts)
+            self._text_rows = rest.pop(0)
+        return rest
 
     def results(self) -> dict[str, DataFrame]:
         """The raw results by name. Counts of disjoint batches add up to those of their union."""
@@ -118,6 +127,12 @@ class Scan:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def taken(rows: DataFrame) -> DataFrame:
-    """A result no longer than the list of columns, computed once and then local."""
-    return rows.sparkSession.createDataFrame(rows.toArrow())
+def taken(results: list[DataFrame]) -> list[DataFrame]:
+    """Results no longer than the list of columns, computed at the same time, then local."""
+    if not results:
+        return []
+    spark = results[0].sparkSession
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        # job group and local properties of the caller go along
+        tables = [pool.submit(inheritable_thread_target(spark)(df.toArrow)) for df in results]
+        return [spark.createDataFrame(t.result()) for t in tables]

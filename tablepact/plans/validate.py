@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from tablepact.contract import Contract, ContractError
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples
 from tablepact.operators.schema_checks import schema_findings
-from tablepact.plans.scan import Scan, taken
+from tablepact.plans.scan import Scan
 from tablepact.sources.readers import shape_budget
 
 
@@ -84,9 +84,9 @@ def validate(
         scan.add_pii()
     if want_profile:
         scan.add_statistics(approx_distinct=distinct == "approx")
-    scan.run()
+    exact = [profile.distinct_counts(df)] if distinct == "exact" else []
+    counted = next(iter(scan.run(also=exact)), None)
 
-    counted = taken(profile.distinct_counts(df)) if distinct == "exact" else None
     families = [schema_findings(df, contract), scan.findings()]
     key_found, key_samples = keys.key_findings(df, contract, references, row_key, counted)
     families += key_found
