@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,9 +93,14 @@ class RunHistory:
         return run_id
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        # a declared schema: no footer is opened to plan, and ids stay text
-        return self.spark.read.schema(_partition_schema(schema)) \
-            .option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
+        full = _partition_schema(schema)
+        try:
+            # a declared schema: no footer is opened to plan, and ids stay text
+            return self.spark.read.schema(full).parquet(f"{self.root}/{table}")
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], full)  # nothing of this kind recorded yet
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUN_SCHEMA)
@@ -112,6 +118,16 @@ class RunHistory:
         """Findings of one run; the filter prunes partitions before any file is opened."""
         return self.findings().where(F.col("run_id") == run_id)
 
+    def compare(self, older: str, newer: str) -> tuple[DataFrame, DataFrame]:
+        """(deltas of the two run rows, findings as new, resolved or persistent)."""
+        known = {r["run_id"] for r in
+                 self.runs().where(F.col("run_id").isin(older, newer)).select("run_id").collect()}
+        unknown = [r for r in (older, newer) if r not in known]
+        if unknown:
+            raise ValueError(f"unknown run '{unknown[0]}'")
+        pair = self.spark.createDataFrame([(older, newer)], flat_schema("older_run_id string, newer_run_id string"))
+        return compare_runs(self.runs(), pair), compare_findings(self.run(older), self.run(newer))
+
 
 def runs_of_groups(df: DataFrame, findings: DataFrame, by: list[str],
                    fingerprint_columns: list[str] | None = None, fail_on: str = "error") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.functions.schemas import flat_schema
-from tablepact.contract import SEVERITY_RANK, Contract
+from tablepact.contract import SEVERITY_RANK, Contract, ContractError, read_payload
 
 # Change classes with ranks, and the limits an audit checks.
 CLASS_RANK = {
@@ -408,7 +408,7 @@ def contract_from_odcs(spark: SparkSession, payload: dict, object_name: str | No
     objects = odcs_objects(one, "doc", "id", object_name)
     head = objects.select("dataset_name", "owner", "standard_version", "obj.description").first()
     if head is None:
-        raise ValueError(f"ODCS document has no schema object {object_name or ''}".rstrip())
+        raise ContractError(f"ODCS document has no schema object {object_name or ''}".rstrip())
     columns = {
         r["column"]: {k: r[k] for k in ("type", "nullable", "unique", "severity", "description",
                                         "classification")}
@@ -423,3 +423,11 @@ def contract_from_odcs(spark: SparkSession, payload: dict, object_name: str | No
         "source_standard_version": head["standard_version"],
         "adapter_notes": ["One schema object per contract; unmapped metadata is not enforced."],
     })
+
+
+def load_any_contract(spark: SparkSession, path: str, object_name: str | None = None) -> Contract:
+    """A contract file in the native or the ODCS form, told apart by its header."""
+    payload = read_payload(path)
+    if payload.get("kind") == "DataContract" or str(payload.get("apiVersion", "")).startswith("v3"):
+        return contract_from_odcs(spark, payload, object_name)
+    return Contract.from_dict(payload)

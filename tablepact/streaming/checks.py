@@ -41,9 +41,9 @@ def state_on_disk(spark: SparkSession):
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet",
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int | None = None, **options) -> DataFrame:
     """A file or folder as a stream with a declared schema (columns cannot drift)."""
-    reader = spark.readStream.schema(schema).format(format)
+    reader = spark.readStream.schema(schema).format(format).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # as a glob, one file is taken as well as a folder of files

@@ -101,10 +101,21 @@ def test_odcs(spark):
     assert (c.dataset_rules[0].type, c.dataset_rules[0].minimum) == ("row_count", 1)
     second = registry.contract_from_odcs(spark, ODCS, "second")
     assert second.dataset.name == "second" and second.dataset_rules[0].maximum == 5
-    with pytest.raises(ValueError):
+    with pytest.raises(ContractError):
         registry.contract_from_odcs(spark, ODCS, "absent")
 
 
+def test_either_form_is_loaded(spark, tmp_path):
+    native, odcs = tmp_path / "n.json", tmp_path / "o.json"
+    native.write_text(json.dumps({"dataset": {"name": "x"}}))
+    odcs.write_text(json.dumps(ODCS))
+    assert registry.load_any_contract(spark, str(native)).source_format == "native"
+    assert registry.load_any_contract(spark, str(odcs), "second").dataset.name == "second"
+    native.write_text("[1]")
+    with pytest.raises(ContractError):
+        registry.load_any_contract(spark, str(native))
+
+
 def test_load_contract(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"dataset": {"name": "x"}}))
@@ -149,6 +160,11 @@ def test_history(spark):
     (change,) = history.compare_findings(store.run("001"), store.run("002")).collect()
     assert (change["state"], change["rule_id"]) == ("new", "column.unique")
     assert store.profiles().count() == 1
+    assert store.drift().count() == 0
+    deltas, states = store.compare("001", "002")
+    assert deltas.first()["finding_count_delta"] == 1 and states.first()["state"] == "new"
+    with pytest.raises(ValueError, match="unknown run"):
+        store.compare("001", "999")
     (version,) = history.contract_versions(runs).collect()
     assert version["runs"] == 2 and version["first_seen_at"] == datetime(2024, 1, 1)
     # publishing again with fewer findings leaves none of the old ones

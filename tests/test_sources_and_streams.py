@@ -173,3 +173,15 @@ def test_stream_bounded_deduplication(spark, batches):
     rows = checks.unseen_within(timed, ["order_id"], "at", "1 hour").select("row")
     sink = checks.drain(rows, shared_dir(spark, "t"))
     assert checks.batch_results(spark, sink, rows.schema).count() == 4
+
+
+def test_csv_stream(spark, tmp_path):
+    for i, body in enumerate(("id,v\n1,NA\n2,5\n", "id,v\n3,x\n")):
+        (tmp_path / f"{i}.csv").write_text(body)
+    stream = readers.nulls_from_tokens(checks.read_stream(
+        spark, str(tmp_path), flat_schema("id string, v string"), "csv", 1, header=True))
+    contract = {"dataset": {"name": "c"}, "rules": {"v": {"type": "number", "nullable": False}}}
+    run = StreamValidation(stream, contract, shared_dir(spark, "t"))
+    run.start().awaitTermination()
+    assert {(r["rule_id"], r["affected_rows"]) for r in run.findings().collect()} == {
+        ("column.nullable", 1), ("column.type", 1)}
