@@ -12,7 +12,8 @@ from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
 from tablepact.functions.sqltext import Sql
 from tablepact.operators.findings import finding_rows, finding_sql
-from tablepact.operators.profile import head_values, text_totals
+from tablepact.operators.profile import first_cells, head_values, text_totals
+from tablepact.operators.samples import source_head
 
 # Name patterns per category (case-insensitive, matched anywhere).
 NAME_PATTERNS = {
@@ -137,12 +138,18 @@ def _whole_counts(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _sampled_counts(df: DataFrame, row_key: str, limit: int) -> DataFrame:
+def sampled_counts(df: DataFrame, row_key: str | None, limit: int) -> DataFrame:
+    """(column, sampled, matches per category) over the first values of each column."""
+    if row_key is None:
+        cells = first_cells(source_head(df, "_row"), "_row", limit, df.columns)
+    else:
+        cells = head_values(df, row_key, limit)
     hits = value_detectors(F.col("value"))
-    counted = head_values(df, row_key, limit).groupBy("column").agg(
+    counted = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("sampled_values"),
         *[F.count_if(hit).alias(category) for category, hit in hits.items()])
-    columns = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    names = F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("name")
+    columns = df.sparkSession.range(0, 1, 1, 1).select(names)
     return columns.join(counted, F.col("name") == F.col("column"), "left").select(
         F.col("name").alias("column"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sampled_values", *hits)])
@@ -152,13 +159,11 @@ def pii_signals(df: DataFrame, row_key: str | None = None,
                 sample_limit: int | None = None) -> DataFrame:
     """(column, category, confidence, ...) from names and values.
 
-    Every value is tested in one scan unless ``sample_limit`` asks for the first values
-    of each column in ``row_key`` order.
+    Every value is tested in one scan unless ``sample_limit`` asks for the first values of
+    each column: in ``row_key`` order, or among the first rows the source yields.
     """
-    if sample_limit is not None and row_key is None:
-        raise ValueError("sampling needs a row_key that defines which values come first")
     return signals_of_counts(
-        _whole_counts(df) if sample_limit is None else _sampled_counts(df, row_key, sample_limit))
+        _whole_counts(df) if sample_limit is None else sampled_counts(df, row_key, sample_limit))
 
 
 def signals_of_counts(counts: DataFrame) -> DataFrame:

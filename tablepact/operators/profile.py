@@ -259,16 +259,16 @@ def head_values(df: DataFrame, row_key: str, limit: int, columns: list[str] | No
     wanted = columns or df.columns
     head = head_rows(df, row_key, rows)
     if head is None:
-        return _first_cells(df, row_key, limit, wanted)
+        return first_cells(df, row_key, limit, wanted)
     types = {f.name: f.dataType for f in df.schema.fields}
     filled = head.agg(*[F.count_if(~C.missing(C.named(c), types[c])).alias(f"c{i}")
                         for i, c in enumerate(wanted)]).first()
     short = [c for i, c in enumerate(wanted) if filled[f"c{i}"] < limit]
-    found = _first_cells(head, row_key, limit, [c for c in wanted if c not in short])
-    return found.unionByName(_first_cells(df, row_key, limit, short)) if short else found
+    found = first_cells(head, row_key, limit, [c for c in wanted if c not in short])
+    return found.unionByName(first_cells(df, row_key, limit, short)) if short else found
 
 
-def _first_cells(df: DataFrame, row_key: str, limit: int, columns: list[str]) -> DataFrame:
+def first_cells(df: DataFrame, row_key: str, limit: int, columns: list[str]) -> DataFrame:
     cells = long_values(df, [row_key], columns)
     return smallest_per_group(cells, ["column"], row_key, limit).select("column", "value")
 

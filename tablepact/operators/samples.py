@@ -26,6 +26,16 @@ def head_rows(df: DataFrame, row_key: str, rows: int = HEAD_ROWS) -> DataFrame |
     return None if cut["n"] < rows else df.where(key <= F.lit(cut["last"]))
 
 
+def source_head(df: DataFrame, order: str, rows: int = HEAD_ROWS) -> DataFrame:
+    """The first rows the source yields, numbered in column ``order``.
+
+    Spark opens one partition after another until it has enough, so this costs the same on
+    a table of any size; the rows are few and become a local table.
+    """
+    head = df.sparkSession.createDataFrame(df.head(rows), df.schema)
+    return head.coalesce(1).withColumn(order, F.monotonically_increasing_id())
+
+
 def smallest_per_group(rows: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """The ``limit`` smallest rows per group.
 

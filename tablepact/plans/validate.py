@@ -85,7 +85,9 @@ def validate(
     if want_profile:
         scan.add_statistics(approx_distinct=distinct == "approx")
     exact = [profile.distinct_counts(df)] if distinct == "exact" else []
-    counted = next(iter(scan.run(also=exact)), None)
+    hits = [pii.sampled_counts(df, row_key, pii_sample)] if sampled else []
+    more = scan.run(also=exact + hits)
+    counted = more[0] if exact else None
 
     families = [schema_findings(df, contract), scan.findings()]
     key_found, key_samples = keys.key_findings(df, contract, references, row_key, counted)
@@ -95,7 +97,7 @@ def validate(
     if want_profile:
         columns = profile.assemble(scan.statistics(), counted)
     if contract.privacy.detect_pii:
-        signals = pii.pii_signals(df, row_key, pii_sample) if sampled else scan.signals()
+        signals = pii.signals_of_counts(more[-1]) if sampled else scan.signals()
         families.append(pii.privacy_findings(signals, contract))
     if baseline is not None:
         changes = drift.compare_snapshots(baseline, drift.snapshot(columns))

@@ -3,7 +3,6 @@ from __future__ import annotations
 import ipaddress
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tablepact import validate
@@ -58,8 +57,10 @@ def test_signals_and_policy(spark):
     assert (found["rule_id"], found["severity"]) == ("privacy.unapproved_pii_signal", "error")
     allowed = {"dataset": {"name": "p"}, "privacy": {"allowed_categories": ["email"]}}
     assert validate(df, allowed).findings.count() == 0
-    with pytest.raises(ValueError):
-        pii.pii_signals(df, sample_limit=5)
+    assert sorted(pii.pii_signals(df, sample_limit=5).collect()) == sorted(pii.pii_signals(df).collect())
+    many = spark.range(0, 5000, 1, 4).select(F.concat(F.lit("u"), F.col("id"), F.lit("@x.org")).alias("contact"))
+    (first,) = pii.pii_signals(many, sample_limit=200).collect()
+    assert (first["sampled_values"], first["matching_values"], first["confidence"]) == (200, 200, "medium")
 
 
 def test_type_possible_categories_lose_nothing(spark):
