@@ -79,6 +79,29 @@ def registry_tables(spark: SparkSession, contracts: dict[str, Contract]) -> tupl
             spark.createDataFrame(rules, RULE_SCHEMA))
 
 
+def contracts_of(headers: DataFrame, columns: DataFrame, rules: DataFrame) -> dict[str, Contract]:
+    """Contracts read back from registry tables already narrowed to those wanted."""
+    def settings(row, *left_out):
+        return {k: v for k, v in row.asDict().items() if v is not None and k not in left_out}
+
+    made: dict[str, dict] = {
+        r["contract"]: {"contract_version": r["version"], "rules": {}, "dataset_rules": [], "dataset": {
+            "name": r["dataset_name"], **settings(r, "contract", "version", "dataset_name")}}
+        for r in headers.collect()
+    }
+    for r in columns.where(F.col("contract").isin(*made)).collect():
+        rule = settings(r, "contract", "version", "column")
+        if "allowed_values" in rule:
+            rule["allowed_values"] = [json.loads(v) for v in rule["allowed_values"]]
+        made[r["contract"]]["rules"][r["column"]] = rule
+    for r in rules.where(F.col("contract").isin(*made)).orderBy("contract", "ordinal").collect():
+        rule = settings(r, "contract", "version", "ordinal")
+        if "when_equals" in rule:
+            rule["when_equals"] = json.loads(rule["when_equals"])
+        made[r["contract"]]["dataset_rules"].append(rule)
+    return {key: Contract.from_dict(payload) for key, payload in made.items()}
+
+
 def contract_fingerprint(contract: Contract) -> str:
     """SHA-256 of the contract's settings, whatever their order in the file."""
     return hashlib.sha256(json.dumps(asdict(contract), sort_keys=True).encode()).hexdigest()

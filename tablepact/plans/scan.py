@@ -31,6 +31,7 @@ class Scan:
         self.df = df
         self._parts: list[tuple[list[Column], dict[str, list]]] = []
         self._totals: list[tuple[dict, DataFrame, dict[str, list]]] = []
+        self._checks: list[RowCheck] = []
         self._texts: dict[int, str] = {}
         self._text_aggregates: list[Column] = []
         self._text_rows: DataFrame | None = None
@@ -43,9 +44,10 @@ class Scan:
         wanted.extend(aggregates)
         rows.setdefault(kind, []).append(row)
 
-    def add_checks(self, checks: list[RowCheck]) -> None:
+    def add_checks(self, checks: list[RowCheck], row_key: str | None = None) -> None:
+        self._checks = checks
         for i, check in enumerate(checks):
-            self._add("finding", check_total(check, i), check_finding(check, i))
+            self._add("finding", check_total(check, i, row_key), check_finding(check, i))
 
     def add_pii(self) -> None:
         self._with_pii = True
@@ -102,6 +104,11 @@ class Scan:
         """An aggregate by its alias; 0 if it was not taken."""
         return next((row[name] for row, _, _ in self._totals if name in row), 0)
 
+    def broken(self) -> list[tuple[RowCheck, int, int]]:
+        """(check, rows, first row key) of the row checks that were violated."""
+        return [(c, self.count(f"n{i}"), self.count(f"first{i}"))
+                for i, c in enumerate(self._checks) if self.count(f"n{i}")]
+
     def _rows(self, kind: str) -> list[DataFrame]:
         return [
             local.select(F.explode(F.array_compact(F.array(*rows[kind]))).alias("r")).select("r.*")

@@ -79,7 +79,7 @@ def validate(
     sampled = pii_sample is not None and contract.privacy.detect_pii
 
     scan = Scan(df)
-    scan.add_checks(checks)
+    scan.add_checks(checks, row_key)
     if contract.privacy.detect_pii and not sampled:
         scan.add_pii()
     if want_profile:
@@ -106,8 +106,7 @@ def validate(
     families = [f for f in families if f is not None]
     found = reduce(DataFrame.unionByName, families) if families else findings.no_findings(df)
     if row_key is not None:
-        broken = [(c, scan.count(f"n{i}")) for i, c in enumerate(checks) if scan.count(f"n{i}")]
-        key_samples += samples.check_samples(df, broken, scan.count("total"), row_key)
+        key_samples += samples.check_samples(df, scan.broken(), scan.count("total"), row_key)
         if key_samples:
             found = samples.attach_samples(found, reduce(DataFrame.unionByName, key_samples))
     return Validation(contract, df, run_id or uuid.uuid4().hex, found, fail_on,

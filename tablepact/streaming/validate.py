@@ -45,7 +45,7 @@ class StreamValidation:
 
     def _scan(self, df: DataFrame) -> Scan:
         scan = Scan(df)
-        scan.add_checks(self.checks)
+        scan.add_checks(self.checks, self.row_key)
         if self.contract.privacy.detect_pii:
             scan.add_pii()
         return scan
@@ -78,8 +78,7 @@ class StreamValidation:
             if absent:
                 write(reduce(DataFrame.unionByName, absent), "absent")
             if self.row_key is not None:
-                broken = [(c, n) for i, c in enumerate(self.checks) if (n := scan.count(f"n{i}"))]
-                parts = samples.check_samples(batch, broken, scan.count("total"), self.row_key)
+                parts = samples.check_samples(batch, scan.broken(), scan.count("total"), self.row_key)
                 if parts:
                     write(reduce(DataFrame.unionByName, parts), "samples")
         finally:
@@ -111,7 +110,7 @@ class StreamValidation:
             found.append(pii.privacy_findings(scan.signals(), self.contract))
         found = [f for f in found if f is not None]
         merged = reduce(DataFrame.unionByName, found) if found else no_findings(self.stream)
-        if self.row_key is None or not any(scan.count(f"n{i}") for i in range(len(self.checks))):
+        if self.row_key is None or not scan.broken():
             return merged
         rows = self._merged("samples").select("rule_id", "column", F.explode("sample_rows").alias("row"))
         return samples.attach_samples(merged, samples.sample_rows(rows, "row", limit=SAMPLE_LIMIT))
@@ -122,6 +121,8 @@ def _key_id(rule_id: str, column: str | None) -> str:
 
 
 def _sums(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts added up over all batches."""
+    """Counts and first row keys over all batches."""
     counts = [c for c in df.columns if c not in (BATCH, *(by or []))]
-    return df.groupBy(*(by or [])).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in counts])
+    merge = {True: F.min, False: F.sum}  # first row keys take the smallest, counts add up
+    return df.groupBy(*(by or [])).agg(*[
+        merge[c.startswith("first")](F.col(f"`{c}`")).alias(c) for c in counts])

@@ -72,6 +72,18 @@ def test_inventory(spark):
         "column.nullable:a", "column.unique:a", "column.pattern:b", "dataset.row_count:dataset_rule_1"}
 
 
+def test_registry_round_trip(spark):
+    contract = Contract.from_dict({
+        "dataset": {"name": "d", "owner": "o", "required_columns": ["a", "b"]},
+        "rules": {"a": {"nullable": False, "minimum": 1.5, "allowed_values": [1, "x", True]}, "b": {"pattern": "x'y"}},
+        "dataset_rules": [
+            {"name": "c", "type": "conditional_not_null", "when_column": "a", "when_equals": 1, "then_column": "b"},
+            {"type": "unique_combination", "columns": ["a", "b"]}]})
+    tables = registry.registry_tables(spark, {"k": contract, "other": Contract.from_dict({"dataset": {"name": "z"}})})
+    back = registry.contracts_of(tables[0].where("contract = 'k'"), *tables[1:])
+    assert back == {"k": contract}
+
+
 ODCS = {
     "kind": "DataContract", "apiVersion": "v3.1.0", "dataProduct": "events",
     "team": {"name": "ops", "members": [{"username": "x", "role": "Member"},

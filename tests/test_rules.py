@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tablepact import Contract, ContractError, validate, validate_groups
 from tablepact.functions.expressions import ExpressionError, arithmetic, expression_columns
 from tablepact.operators import findings as fnd
-from tablepact.operators import keys
+from tablepact.operators import keys, predicates, samples
+from tablepact.plans.scan import Scan
 
 NOW = datetime(2024, 6, 1, 12)
 
@@ -293,3 +294,23 @@ def test_examples_from_the_head_and_from_the_whole(spark):
         "often": {"maximum": 1}, "late": {"maximum": 1}, "rare": {"maximum": 1}}, "privacy": {"detect_pii": False}}
     found = {r["column"]: r["sample_rows"] for r in validate(df, contract, row_key="id").findings.collect()}
     assert found == {"often": [2 + 3 * i for i in range(10)], "late": list(range(4001, 4011)), "rare": [7, 4444]}
+
+    checks = predicates.row_checks(df.schema, Contract.from_dict(contract))
+    scan = Scan(df)
+    scan.add_checks(checks, "id")
+    scan.run()
+    assert [(n, first) for _, n, first in scan.broken()] == [(1666, 2), (999, 4001), (2, 7)]
+    for large in (1, 10**9):  # after the first violation, or in the whole table
+        rows = samples.check_samples(df, scan.broken(), scan.count("total"), "id", large=large)
+        assert {r["column"]: r["sample_rows"] for part in rows for r in part.collect()} == found
+
+
+def test_any_column_name(spark):
+    name = "it's a \\ \"name\" `q` {n}.x"
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, "a")], ["row", name])
+    rule = {"nullable": False, "unique": True, "pattern": "[b']", "allowed_values": ["it's"]}
+    made = validate(df, {"dataset": {"name": "n"}, "rules": {name: rule}}, row_key="row", distinct="exact")
+    found = {r["rule_id"]: (r["column"], r["affected_rows"], r["sample_rows"]) for r in made.findings.collect()}
+    assert found == {"column.nullable": (name, 1, [1]), "column.unique": (name, 2, [2, 3]),
+                     "column.pattern": (name, 2, [2, 3]), "column.allowed_values": (name, 2, [2, 3])}
+    assert [r["column"] for r in made.profile.collect()] == ["row", name]
