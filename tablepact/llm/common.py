@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
         part = np.cumsum(lengths, dtype=np.int64) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tablepact.llm.common import ids_and_texts, small_batches
@@ -131,7 +132,7 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 n[k] = len(ids)
             for k in set(range(len(texts))) - set(short):
                 n[k] = len(encoder.encode(texts[k]))
-            size = pa.compute.binary_length(batch.column("text")).cast(pa.int64())
+            size = pc.binary_length(batch.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
