@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 #: Distinct words a task remembers; beyond that it starts anew. Results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class WordTokenizer:
