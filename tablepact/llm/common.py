@@ -36,21 +36,34 @@ def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
-                  limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text, single long rows included."""
+                  limit: int = 8 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text and at most ``rows``; a longer row is one alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
-        part = np.cumsum(lengths, dtype=np.int64) // limit
+        part = np.cumsum(lengths, dtype=np.int64) // limit + np.arange(len(lengths)) // rows
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
 
-def spread(df: DataFrame, weight: int = 1) -> DataFrame:
-    """Rows dealt evenly over the session's shuffle partitions, whatever their source."""
-    return df.repartition(partitions(df.sparkSession) * weight)
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of longs without nulls, as views."""
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def packed_rows(batch: pa.RecordBatch) -> bytes:
+    """A batch with all its columns as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def partitions(spark: SparkSession) -> int:

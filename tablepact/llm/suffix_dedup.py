@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import small_batches, stored, text_of
+from tablepact.llm.common import packed_rows, small_batches, stored, text_of, unpacked_rows
 
 LENGTH = 200
 GRAM = 40
@@ -127,17 +127,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), ends
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_next_batch()
-
-
 BLOCKS = "block long, rows binary, anchors array<long>, contexts array<long>, counts array<int>"
 
 
@@ -151,7 +140,7 @@ def blocks(df: DataFrame, text_col: str, length: int, block_bytes: int) -> DataF
             pair, _, counts = _distinct(runs)
             one = lambda x, t: pa.array([x], t)
             yield pa.RecordBatch.from_arrays(
-                [one(serial, pa.int64()), one(_packed(batch), pa.binary()),
+                [one(serial, pa.int64()), one(packed_rows(batch), pa.binary()),
                  one(runs.anchor[pair].view(np.int64), pa.list_(pa.int64())),
                  one(runs.context[pair].view(np.int64), pa.list_(pa.int64())), one(counts, pa.list_(pa.int32()))],
                 names=["block", "rows", "anchors", "contexts", "counts"])
@@ -185,7 +174,7 @@ def _contexts(text_col: str, length: int):
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends = texts_of(_unpacked(row["rows"]), text_col)
+                data, ends = texts_of(unpacked_rows(row["rows"]), text_col)
                 runs = Runs(data, ends, length)
                 pair, _, _ = _distinct(runs)
                 raw, wanted = data.tobytes(), row["wanted"]
@@ -350,7 +339,7 @@ def _cut(text_col: str, length: int, as_rows: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = _unpacked(batch.column("rows")[k].as_py())
+                rows = unpacked_rows(batch.column("rows")[k].as_py())
                 data, ends = texts_of(rows, text_col)
                 gone = np.zeros(len(data) + 1, dtype=np.int32)
                 whole, parts = batch.column("whole")[k].as_py(), batch.column("parts")[k].as_py()
