@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepact.llm import byte_bpe, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, wavelet
+from tablepact.llm import byte_bpe, merkle, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_order_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def _print_sql(tree: str) -> str:
+    node = "substr(md5({}), 1, 12)".format
+    joined = lambda x: f"array_to_string({x}, '')"
+    section = node(joined(f"list_transform(s, lambda q: {node(joined('q'))})"))
+    section_2 = section.replace("(s,", "(z,").replace("lambda q", "lambda y").replace("'q'", "'y'").replace("(q,", "(y,")
+    paragraph = f"{node(joined('p'))} || '(' || array_to_string(p, '.') || ')'"
+    return (f"sha256({joined(f'list_transform({tree}, lambda z: {section_2})')}) || '|' || array_to_string(list_transform({tree}, "
+            f"lambda s: {section} || '[' || array_to_string(list_transform(s, lambda p: {paragraph}), ',') || ']'), '|')")
+
+
+def _tree_sql(text: str) -> str:
+    marked = f"replace(replace(replace({text}, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1))"
+    return (f"list_transform(string_split({marked}, chr(10) || chr(10)), lambda a: list_transform(string_split(a, chr(10)), "
+            f"lambda b: list_transform(string_split(b, chr(1)), lambda c: substr(md5(c), 1, 12))))")
+
+
+OP10_SQL = f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    pairs AS (
+        SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM docs),
+    edits AS (
+        SELECT *, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS e FROM pairs),
+    trees AS (SELECT *, {_tree_sql('t')} AS own, {_tree_sql('e')} AS changed, flatten(flatten({_tree_sql('nt')})) AS nl FROM edits),
+    flat AS (SELECT *, flatten(flatten(own)) AS ol, flatten(flatten(changed)) AS cl FROM trees)
+    SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256,
+           {_print_sql('own')} AS fingerprint, {_print_sql('changed')} AS edited_fingerprint,
+           len(list_intersect(list_distinct(ol), list_distinct(cl))) / len(list_distinct(list_concat(ol, cl))) AS near_edited,
+           len(list_intersect(list_distinct(ol), list_distinct(nl))) / len(list_distinct(list_concat(ol, nl))) AS near_next
+    FROM flat"""
+
+
+@query("op10_merkle_fingerprints", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_edits(table(spark, sf_dir, "documents"))
