@@ -6,9 +6,11 @@ the shared folder and reads it again as the next stage's documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablepact.llm import quality
+from tablepact.llm import near_dedup, packing, quality, suffix_dedup
 from tablepact.llm.common import stored
 
 
@@ -17,7 +19,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that repeat; n_chars follows the text."""
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("packed_sequences", packed_sequences),
+]
 
 #: The stages go beyond SQL (alignment, suffix arrays, tokenizers); tests compare with brute force.
 ORACLE_SQL = None

@@ -41,14 +41,12 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     docs = ids_and_texts(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer_path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=16 << 20):
             row, start, length, crc, ids = [], [], [], [], []
-            for k, coded in enumerate(words.encode(batch.column("text").to_pylist())):
-                coded += end
+            for k, coded in enumerate(words.encode(batch.column("text"), end_id)):
                 for a in range(0, len(coded), 4 * capacity):
                     part = coded[a:a + 4 * capacity]
                     row.append(k)

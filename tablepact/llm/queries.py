@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepact.llm import byte_bpe, merkle, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, wavelet
+from tablepact.llm import byte_bpe, merkle, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, tool_calls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,39 @@ OP10_SQL = f"""
 @query("op10_merkle_fingerprints", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+    WITH turns AS (
+        SELECT conv_id, turn, role, text,
+               CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+               CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS asked
+        FROM conversations),
+    named AS (SELECT *, 'call-' || conv_id || '-' || asked AS call_id FROM turns),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, call_id, kind ORDER BY turn, text) AS nth FROM named),
+    firsts AS (SELECT conv_id, call_id, kind, text FROM numbered WHERE nth = 1 AND kind <> 'message'),
+    met AS (
+        SELECT n.*, f.call_id IS NOT NULL AS met, f.text AS other
+        FROM numbered n LEFT JOIN firsts f ON n.conv_id = f.conv_id AND n.call_id = f.call_id AND f.kind <> n.kind),
+    judged AS (
+        SELECT *, CASE WHEN kind = 'message' THEN 'message' WHEN nth > 1 THEN 'repeated' WHEN met THEN 'linked'
+                       WHEN kind = 'call' THEN 'open' ELSE 'orphan' END AS status,
+               CASE WHEN kind = 'call' THEN text IS NOT NULL AND length(text) BETWEEN 1 AND 1000 END AS valid
+        FROM met)
+    SELECT conv_id, turn, kind, call_id, CASE WHEN kind = 'call' THEN 'ask' END AS name, status, turn AS place, valid,
+           CASE kind
+             WHEN 'call' THEN
+               '{"arguments":{"lang_hint":"' || CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'other' END
+               || '","n_chars":' || length(text) || ',"prompt":' || to_json(text) || '},"content":null,"id":"' || call_id
+               || '","name":"ask","result":' || CASE WHEN status = 'linked' THEN to_json(other) ELSE 'null' END
+               || ',"status":"' || status || '","valid":' || valid || '}'
+             WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_id || '","status":"' || status || '"}'
+             ELSE '{"content":' || to_json(text) || ',"status":"message"}' END AS record
+    FROM judged"""
+
+
+@query("op7_tool_call_linking", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = tool_calls.messages_of_turns(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(messages, {"ask": tool_calls.ASK}).drop("uses")

@@ -49,7 +49,7 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        order, planes, zeros = ids, [], []
+        order, planes, zeros = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], []
         for level in range(bits - 1, -1, -1):
             one = (order >> level & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
@@ -126,14 +126,12 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All values: the order of each level is followed down, then undone once."""
-        at = np.arange(self.n, dtype=np.int64)
-        value = np.zeros(self.n, dtype=np.uint32)
+        both = np.arange(self.n, dtype=np.uint64)  # position below, value above
         for level in range(self.bits):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            at = np.concatenate([at[~one], at[one]])
-            value = np.concatenate([value[~one] << np.uint32(1), value[one] << np.uint32(1) | np.uint32(1)])
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            both = np.concatenate([both[~one], both[one] | np.uint64(1 << (63 - level))])
         out = np.empty(self.n, dtype=np.uint32)
-        out[at] = value
+        out[both & np.uint64(0xFFFFFFFF)] = both >> np.uint64(64 - self.bits)
         return out
 
 
@@ -144,7 +142,6 @@ def write_matrices(df: DataFrame, path: str, tokenizer_path: str, id_col: str =
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"shard int, block int, n long, bits int, zeros array<long>, planes binary, "
               f"doc_ids array<{kind}>, lengths array<long>")
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def matrix(shard: int, block: int, owners: list, of: pa.DataType, coded: list[bytes], bits: int) -> pa.RecordBatch:
         lengths = [len(c) // 4 for c in coded]
@@ -161,15 +158,15 @@ def write_matrices(df: DataFrame, path: str, tokenizer_path: str, id_col: str =
         words = WordTokenizer(tokenizer_path)
         bits = max(1, int(words.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         shard, block, held, owners, coded = TaskContext.get().partitionId(), 0, 0, [], []
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=16 << 20):
             of = batch.schema.field("doc_id").type
-            for owner, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                if held and held + len(ids) // 4 >= matrix_tokens:
+            for owner, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"), end_id)):
+                if held and held + len(ids) // 4 > matrix_tokens:
                     yield matrix(shard, block, owners, of, coded, bits)
                     block, held, owners, coded = block + 1, 0, [], []
                 owners.append(owner)
-                coded.append(ids + end)
-                held += len(ids) // 4 + 1
+                coded.append(ids)
+                held += len(ids) // 4
         if held:
             yield matrix(shard, block, owners, of, coded, bits)
 

@@ -2,18 +2,32 @@
 
 Where a tokenizer drops white space and never joins across it, the ids of a text are the ids
 of its words one after another. Words stay whole between blanks and line feeds, so anything
-else (other white space, special strings) is the library's own affair.
+else (other white space, special strings) is the library's own affair. Words of Latin letters
+skip the library's normalisers, which only lower them, and are asked of its model by stem.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import unicodedata
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words a task remembers; beyond that it starts anew. Results do not depend on it.
-REMEMBERED = 600_000
+#: Distinct stems a task remembers; beyond that it starts anew. Results do not depend on it.
+REMEMBERED = 700_000
+#: Marks that may end a word; none of them is white space, a letter, a number or an apostrophe.
+MARKS = ".,;:!?*%&$#|()\""
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: itself if it shows, else one past 255."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class WordTokenizer:
@@ -23,45 +37,99 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.limit = remembered
-        self.known: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.by_word = self._blanks_divide(json.load(f))
+            model = json.load(f)
+        self.by_word = self._blanks_divide(model)
+        self.by_stem = self.by_word and self._only_lowers(model)
+        self.letters = byte_letters()
+        self.marks = {"": b""}
 
     @staticmethod
-    def _blanks_divide(model: dict) -> bool:
+    def _steps(model: dict, part: str) -> list[dict]:
+        step = model.get(part) or {}
+        return step.get("pretokenizers") or step.get("normalizers") or [step]
+
+    @classmethod
+    def _blanks_divide(cls, model: dict) -> bool:
         """Whether pre-tokenising keeps only matches of a pattern that has no white space."""
-        steps = model.get("pre_tokenizer") or {}
-        steps = steps.get("pretokenizers", [steps])
-        first = steps[0] if steps else {}
+        first = cls._steps(model, "pre_tokenizer")[0]
         pattern = (first.get("pattern") or {}).get("Regex", " ")
         stripped = pattern.replace("[^\\s\\p{L}\\p{N}]", "")
         return (first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
                 and "\\s" not in stripped and " " not in stripped and "." not in stripped)
 
+    @classmethod
+    def _only_lowers(cls, model: dict) -> bool:
+        """Whether a word of composed letters meets nothing but lower-casing and byte letters."""
+        normal = [s.get("type") for s in cls._steps(model, "normalizer")]
+        split, *rest = cls._steps(model, "pre_tokenizer")
+        return (normal == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in split["pattern"]["Regex"].split("|")
+                and [s.get("type") for s in rest] == ["ByteLevel"] and not rest[0].get("add_prefix_space"))
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: set[str]) -> None:
-        if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-        # letters and a final mark are split by the pattern, so their ids stand side by side
-        marked = {w for w in fresh if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha()}
-        plain = list((fresh - marked | {w[:-1] for w in marked} | {",", "."}) - self.known.keys())
-        self.known.update(zip(plain, self._ids(plain)))
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
+    def _stem(self, low: str) -> bytes:
+        seen = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+        ids = self.stems[low] = array("I", [t.id for t in self.library.model.tokenize(seen)]).tobytes()
+        return ids
+
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each asked of the library at most once while it is remembered."""
+        if len(self.stems) + len(self.others) > self.limit:
+            self.stems.clear()
+            self.others.clear()
+        found: list[bytes | None] = []
+        stems, marks, others, rest = self.stems, self.marks, self.others, []
+        for w in words:
+            body = w.rstrip(MARKS)
+            # letters and the marks after them are split by the pattern, so their ids stand side by side
+            if self.by_stem and body.isalpha() and (body.isascii() or (
+                    max(body) < "\u0250" and "\u0130" not in body and unicodedata.is_normalized("NFC", body))):
+                low = body.lower()
+                ids = stems.get(low)
+                if ids is None:
+                    ids = self._stem(low)
+                mark = w[len(body):]
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = self._ids([mark])[0]
+                    ids += marks[mark]
+            else:
+                ids = others.get(w)
+                if ids is None:
+                    rest.append(w)
+            found.append(ids)
+        asked = dict(zip(rest, self._ids(rest)))
+        others.update(asked)
+        return [asked[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and where those of each text end."""
         if not self.by_word:
-            return self._ids(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh: set[str] = set().union(*split) - self.known.keys()
-        if fresh:
-            before = len(self.known)
-            self._learn(fresh)
-            if len(self.known) < before + len(fresh):  # forgotten meanwhile, or learnt through a stem
-                again = set().union(*split) - self.known.keys()
-                self.known.update(zip(rest := list(again), self._ids(rest)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            coded = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.values.dictionary_encode()
+        which = words.indices.to_numpy()
+        distinct = self._distinct(words.dictionary.to_pylist())
+        size = np.asarray([len(ids) // 4 for ids in distinct], dtype=np.int64)
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(distinct), dtype="<u4")
+        sizes = size[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], sizes)
+        return flat[at], ends[split.offsets.to_numpy()[1:]]
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Per text its ids and ``end_id`` as little-endian unsigned 32-bit integers."""
+        flat, ends = self.encode_column(texts)
+        raw, end, last = flat.tobytes(), int(end_id).to_bytes(4, "little"), 0
+        out = []
+        for stop in (4 * ends).tolist():
+            out.append(raw[last:stop] + end)
+            last = stop
+        return out
