@@ -129,10 +129,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
     """Signals and verdict per row of ``df``, in whatever order Spark reads them."""
     narrow = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("t"))
-    signals = with_signals(narrow, F.col("t"))
-    return judged(signals, thresholds).select("row.doc_id", *[c for c in judged(signals, thresholds).columns if c != "row"])
+    made = judged(with_signals(narrow, F.col("t")), thresholds)
+    return made.select("row.doc_id", *[c for c in made.columns if c != "row"])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
     """The rows of ``df`` whose text is kept, with all their columns."""
-    return judged(with_signals(df, text_of(text_col)), thresholds).filter("kept").select("row.*")
+    # the optimizer would move the filter below the steps above, writing each array out wherever it is
+    # used; a condition on a row number, which is never negative, keeps it here
+    made = judged(with_signals(df, text_of(text_col)), thresholds).withColumn("nth", F.monotonically_increasing_id())
+    return made.filter(F.col("kept") & (F.col("nth") >= 0)).select("row.*")
