@@ -91,7 +91,7 @@ NAMED = {"customer_id": ["account_identifier"], "email_address": ["email", "addr
          "tax_id": ["government_id"], "card_number": ["payment_card"], "note": []}
 
 
-def _signals_sql(source):
+def _signals_sql(source, sampled="false"):
     parts = []
     for column in CONTACT_COLUMNS:
         for category in (*TESTS, "account_identifier", "address"):
@@ -103,7 +103,7 @@ def _signals_sql(source):
                 CAST(count({column}) AS BIGINT) AS sampled_values, CAST({matches} AS BIGINT) AS matching_values
                 FROM {source}""")
     union = " UNION ALL ".join(parts)
-    return f"""SELECT "column", category, name_signal, sampled_values, matching_values,
+    return f"""SELECT "column", category, name_signal, {sampled} AS sampled, sampled_values, matching_values,
         round(matching_values / sampled_values, 4) AS match_ratio,
         CASE WHEN name_signal AND matching_values >= 0.5 * sampled_values THEN 'high'
              WHEN name_signal OR matching_values >= 0.5 * sampled_values THEN 'medium' ELSE 'low' END AS confidence
@@ -115,12 +115,25 @@ def pii_signals(spark, sf_dir):
     return pii.pii_signals(contacts(spark, sf_dir))
 
 
-@query("pii_signals_sampled", _signals_sql(f"(SELECT * FROM {CONTACTS} ORDER BY customer_id LIMIT 200)"))
+@query("pii_signals_sampled", _signals_sql(f"(SELECT * FROM {CONTACTS} ORDER BY customer_id LIMIT 200)", "true"))
 def pii_signals_sampled(spark, sf_dir):
     """Only the first 200 filled values of each column, in key order."""
     return pii.pii_signals(contacts(spark, sf_dir), row_key="customer_id", sample_limit=200)
 
 
+LATE = "(SELECT c_custkey, CASE WHEN c_custkey > 100 THEN 'u' || c_custkey || '@x.org' END AS contact FROM customer)"
+
+
+@query("pii_sampled_sparse", f"""
+    SELECT 'contact' AS "column", 'email' AS category, CAST(least(20, count(contact)) AS BIGINT) AS sampled_values,
+           CAST(least(20, count(contact)) AS BIGINT) AS matching_values, true AS sampled FROM {LATE} HAVING count(contact) > 0""")
+def pii_sampled_sparse(spark, sf_dir):
+    """A column that is filled late is sampled where it is filled, with and without a row key."""
+    late = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") > 100, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("contact"))
+    return pii.pii_signals(late, sample_limit=20).select("column", "category", "sampled_values", "matching_values", "sampled")
+
+
 PRIVACY = {"allowed_categories": ["email", "account_identifier"], "fail_on_unapproved": True}
 
 
@@ -170,3 +183,18 @@ def redact_events(spark, sf_dir):
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))))
     return table(spark, sf_dir, "events").select(
         "event_id", redact_json(F.to_json(more)).alias("props"))
+
+
+@query("redact_json_nested", """
+    SELECT event_id, CASE event_id % 4
+        WHEN 0 THEN '{"user":{"password":"[REDACTED]","n":' || user_id || '},"ok":true}'
+        WHEN 1 THEN '[{"token":"[REDACTED]"},"at [IP_REDACTED]",' || user_id || ',null]'
+        WHEN 2 THEN 'password=[REDACTED]' ELSE CAST(user_id AS VARCHAR) END AS props FROM events""")
+def redact_nested(spark, sf_dir):
+    """Secrets inside objects and arrays, texts that are no JSON, and bare numbers."""
+    n = F.col("user_id").cast("string")
+    made = F.when(F.col("event_id") % 4 == 0, F.concat(
+        F.lit('{"user": {"password": {"old": "a", "new": ["b"]}, "n": '), n, F.lit('}, "ok": true}'))) \
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit('[{"token": 5}, "at 10.0.0.7", '), n, F.lit(", null]"))) \
+        .when(F.col("event_id") % 4 == 2, F.lit("password: hunter2")).otherwise(n)
+    return table(spark, sf_dir, "events").select("event_id", redact_json(made).alias("props"))

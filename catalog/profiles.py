@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
@@ -145,18 +148,41 @@ def profile_sampled_type(spark, sf_dir):
 # --- hashes ----------------------------------------------------------------------
 
 @query("dataset_fingerprint", """
-    WITH d AS (SELECT sha256('+' || o_orderkey || chr(31) || '+' || o_custkey || chr(31)
-                             || CASE WHEN o_orderstatus = 'P' THEN '-' ELSE '+' || o_orderstatus END) AS h FROM orders),
+    WITH d AS (SELECT sha256(length(CAST(o_orderkey AS VARCHAR)) || '+' || o_orderkey
+                             || length(CAST(o_custkey AS VARCHAR)) || '+' || o_custkey
+                             || CASE WHEN o_orderstatus = 'P' THEN '-' ELSE '1+' || o_orderstatus END) AS h FROM orders),
          s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 5) AS BIGINT)) AS a,
                       sum(CAST('0x' || substr(h, 6, 5) AS BIGINT)) AS b,
                       sum(CAST('0x' || substr(h, 11, 5) AS BIGINT)) AS c FROM d)
-    SELECT CAST(n AS BIGINT) AS row_count, sha256(n || ':' || a || ':' || b || ':' || c) AS data_fingerprint FROM s""")
+    SELECT CAST(n AS BIGINT) AS row_count, sha256(
+        'o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string:' || n || ':' || a || ':' || b || ':' || c)
+        AS data_fingerprint FROM s""")
 def dataset_fingerprint_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"))
     return dataset_fingerprint(df)
 
 
+@query("fingerprint_schema", """
+    SELECT 'renamed' AS change, true AS differs FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'retyped', true FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'moved boundary', true FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'reordered rows', false FROM orders HAVING count(*) > 0""")
+def fingerprint_schema(spark, sf_dir):
+    """The same cells under other names or types are other data; the order of rows is not."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    joined = df.select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("o_orderstatus"),
+                       F.substring("o_orderpriority", 2, 99).alias("o_orderpriority"))
+    changes = {"renamed": df.withColumnRenamed("o_custkey", "customer"),
+               "retyped": df.withColumn("o_custkey", F.col("o_custkey").cast("string")),
+               "moved boundary": joined, "reordered rows": df.repartition(7, "o_custkey")}
+    base = dataset_fingerprint(df).select(F.col("data_fingerprint").alias("own"))
+    parts = [dataset_fingerprint(changed).crossJoin(base).select(  # one row on either side
+        F.lit(name).alias("change"), (F.col("data_fingerprint") != F.col("own")).alias("differs"))
+        for name, changed in changes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("key_digest", """
     SELECT o_orderkey, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN
            sha256(coalesce(sha256(a), 'NULL') || '|' || coalesce(sha256(b), 'NULL')) END AS digest

@@ -85,6 +85,17 @@ column_rule("rule_max_length", "column.max_length", "validity", "pages", "page_i
 column_rule("rule_pattern", "column.pattern", "validity", "pages", "page_id", "url",
             {"pattern": r"https?://[a-z.]+/[a-z]{2}/\d+"},
             r"NOT regexp_full_match(url, 'https?://[a-z.]+/[a-z]{2}/\d+')")
+
+
+@query("rule_pattern_double", row_rule_sql(
+    "column.pattern", "validity", "wide", "(SELECT o_orderkey, CAST(o_totalprice * 1000 AS DOUBLE) AS wide FROM orders)",
+    "NOT (wide BETWEEN 100000000 AND 999999999)", "o_orderkey"))
+def rule_pattern_double(spark, sf_dir):
+    """Doubles beyond ten million are matched in plain notation, not with an exponent."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") * 1000).alias("wide"))
+    return check(df, "o_orderkey", {"wide": {"pattern": r"\d{9}\.\d+"}})
+
+
 column_rule("rule_allowed_values", "column.allowed_values", "validity", "orders", "o_orderkey",
             "o_orderstatus", {"allowed_values": ["O", "F"]}, "o_orderstatus NOT IN ('O', 'F')")
 column_rule("rule_freshness", "column.maximum_age_hours", "freshness", "orders", "o_orderkey",
@@ -176,14 +187,19 @@ def ds_reconciliation_row(spark, sf_dir):
 
 
 @query("ds_reconciliation_grouped", """
-    WITH d AS (SELECT l_orderkey, sum(l_extendedprice) AS total, count(*) AS n FROM lineitem GROUP BY 1)
-    SELECT o_orderkey AS key, round(o_totalprice, 2) AS header_total,
+    WITH d AS (SELECT l_orderkey, sum(l_extendedprice) AS total, count(*) AS n FROM lineitem GROUP BY 1),
+         o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS amount
+               FROM orders WHERE o_orderkey % 7 > 0)
+    SELECT coalesce(o_orderkey, l_orderkey) AS key, round(amount, 2) AS header_total,
            round(coalesce(total, 0), 2) AS detail_total, CAST(coalesce(n, 0) AS BIGINT) AS detail_rows
-    FROM orders LEFT JOIN d ON l_orderkey = o_orderkey
-    WHERE abs(o_totalprice - coalesce(total, 0)) > 0.01""")
+    FROM o FULL JOIN d ON l_orderkey = o_orderkey
+    WHERE abs(coalesce(amount, 0) - coalesce(total, 0)) > 0.01""")
 def ds_reconciliation_grouped(spark, sf_dir):
+    """Headers are missing for some details, and amounts for some headers."""
+    headers = table(spark, sf_dir, "orders").where("o_orderkey % 7 > 0").withColumn(
+        "o_totalprice", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")))
     off = keys.group_reconciliation(
-        table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice",
+        headers, "o_orderkey", "o_totalprice",
         table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", 0.01)
     return off.select("key", F.round("header_total", 2).alias("header_total"),
                       F.round("detail_total", 2).alias("detail_total"), "detail_rows")
@@ -203,6 +219,18 @@ def ds_reference_exists(spark, sf_dir):
                  references={"labels": table(spark, sf_dir, "labels")})
 
 
+@query("ds_reference_mixed_types", _reference_sql(
+    "customers", "o_custkey", "orders", "o_orderkey", "(SELECT * FROM customer WHERE c_custkey % 3 > 0)", "c_custkey"))
+def ds_reference_mixed_types(spark, sf_dir):
+    """Keys as doubles against keys as text meet by value."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(
+        F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".0").otherwise("")).alias("c_custkey"))
+    rules = [{"name": "customers", "type": "reference_exists", "column": "o_custkey",
+              "reference_dataset": "customers", "reference_column": "c_custkey"}]
+    return check(orders, "o_orderkey", dataset_rules=rules, references={"customers": known})
+
+
 @query("ds_reference_exists_wide", _reference_sql(
     "has_lines", "o_orderkey", "orders", "o_orderkey", "lineitem", "l_orderkey"))
 def ds_reference_exists_wide(spark, sf_dir):
@@ -476,3 +504,21 @@ def findings_merge(spark, sf_dir):
     checks = predicates.row_checks(df.schema, Contract.from_dict(contract_of("orders", rules)))
     batches = predicates.row_findings(df, checks, by=["month"])
     return fnd.merge_findings(batches).select("rule_id", "column", "affected_rows", "observed")
+
+
+@query("sample_null_row_keys", """
+    SELECT 'column.maximum' AS rule_id, k.n AS affected_rows, k.rows AS sample_rows FROM (
+        SELECT CAST(count(*) AS BIGINT) AS n, (SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FROM (
+            SELECT o_orderkey FROM orders WHERE o_custkey > 10 AND o_custkey % 2 > 0 ORDER BY o_orderkey LIMIT 10)) AS rows
+        FROM orders WHERE o_custkey > 10) k WHERE n > 0
+    UNION ALL
+    SELECT 'column.unique', k.n, k.rows FROM (
+        SELECT CAST(count(*) AS BIGINT) AS n, (SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FROM (
+            SELECT o_orderkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders)
+            WHERE c > 1 AND o_custkey % 2 > 0 ORDER BY o_orderkey LIMIT 10)) AS rows
+        FROM (SELECT count(*) OVER (PARTITION BY o_custkey) AS c FROM orders) WHERE c > 1) k WHERE n > 0""")
+def sample_null_row_keys(spark, sf_dir):
+    """Rows without a row key are counted, but examples are rows that can be named."""
+    df = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 2 > 0, F.col("o_orderkey")).alias("row"), "o_custkey")
+    return check(df, "row", {"o_custkey": {"maximum": 10, "unique": True}}).select("rule_id", "affected_rows", "sample_rows")

@@ -151,7 +151,7 @@ def history_drift_events(spark, sf_dir):
     changes = runs.select("run_id", "status", prior.alias("prior")).where(F.col("prior") != F.col("status")) \
         .select("run_id", F.lit("type_changed").alias("change_type"), F.lit("status").alias("column"),
                 F.lit("error").alias("severity"))
-    return history.drift_events(changes, runs, "5-LOW", 10).select("run_id", "change_type", "column", "severity")
+    return history.drift_events(changes, runs, "5-LOW", 200).select("run_id", "change_type", "column", "severity")
 
 
 # --- reports ---------------------------------------------------------------------
@@ -173,9 +173,10 @@ def report_sarif_rules(spark, sf_dir):
 
 
 @query("report_junit_counts", f"""{BASE}
-    SELECT run_id, CAST(greatest(1, count(*)) AS BIGINT) AS tests,
+    SELECT run_id, CAST(greatest(1, count(rule_id)) AS BIGINT) AS tests,
            CAST(count(*) FILTER (severity IN ('error', 'critical')) AS BIGINT) AS failures,
-           CAST(count(*) FILTER (severity IN ('warning', 'info')) AS BIGINT) AS skipped FROM f GROUP BY run_id""")
+           CAST(count(*) FILTER (severity IN ('warning', 'info')) AS BIGINT) AS skipped
+    FROM (SELECT DISTINCT run_id FROM b) LEFT JOIN (SELECT run_id, rule_id, severity FROM f) USING (run_id) GROUP BY run_id""")
 def report_junit_counts(spark, sf_dir):
-    return reports.junit_counts(monthly(spark, sf_dir)[1], ["run_id"]) \
-        .withColumn("tests", F.col("tests").cast("bigint"))
+    _, found, runs = monthly(spark, sf_dir)
+    return reports.junit_counts(runs, found, ["run_id"])

@@ -20,6 +20,7 @@ EMAIL = r"[^\s@]+@[^\s@]+\.[^\s@]+"
 NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 UUID_HEX = r"^[0-9a-fA-F]{32}$"
 INTEGER_EPSILON = 1e-12
+ZONED = r"(?i):\d{2}.*(Z|UTC|GMT|UT|[+-]\d{1,2}(:?\d{2})?(:\d{2})?|[A-Z]+/[A-Z_/]+)$"
 
 # Date layouts tried in order for text that is not ISO 8601
 # (month first, then day first), grouped by the shape that selects them.
@@ -67,9 +68,25 @@ def as_text(col: Column, dtype: T.DataType) -> Column:
         return col
     if isinstance(dtype, _COMPLEX):
         return F.to_json(col)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return plain_text(col)
     return col.cast("string")
 
 
+def plain_text(number: Column) -> Column:
+    """A double in plain decimal notation wherever that is how people write it: from 0.0001 up to 1e16."""
+    text = number.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    usual = (F.abs(number) >= 1e-4) & (F.abs(number) < 1e16)
+    return F.when(text.contains("E") & usual, plain).otherwise(text)
+
+
+def in_utc(moment: Column) -> Column:
+    """A time without zone as an instant, read as UTC whatever the session's zone is."""
+    spelled = F.concat(moment.cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
+    return F.when(F.current_timezone() == "UTC", moment.cast("timestamp")).otherwise(spelled)
+
+
 def as_number(col: Column, dtype: T.DataType) -> Column:
     """DOUBLE value, or NULL when the value is not a number."""
     if isinstance(dtype, T.DoubleType):
@@ -85,20 +102,23 @@ def as_number(col: Column, dtype: T.DataType) -> Column:
 
 def as_timestamp(col: Column, dtype: T.DataType) -> Column:
     """TIMESTAMP value (UTC session), or NULL when the value is not a date or time."""
+    if isinstance(dtype, T.TimestampType):
+        return col
     if is_time(dtype):
-        return col.cast("timestamp")
+        return in_utc(col)
     if is_number(dtype):
         # bare numbers count as nanoseconds since the epoch
         return F.timestamp_micros((as_number(col, dtype) / 1000).try_cast("bigint"))
     if not is_text(dtype):
         return F.lit(None).cast("timestamp")
     v = strip(col)
-    parsed = F.when(v.rlike(r"^\d{4}([^\d/]|$)"), v.try_cast("timestamp"))
+    iso = F.when(v.rlike(ZONED), v.try_cast("timestamp")).otherwise(in_utc(v.try_cast("timestamp_ntz")))
+    parsed = F.when(v.rlike(r"^\d{4}([^\d/]|$)"), iso)
     # most text is no date at all: one look turns it away before the layouts are tried
     parsed = parsed.when(~v.rlike(ANY_DATE), F.lit(None).cast("timestamp"))
     for shape, layouts in DATE_LAYOUTS.items():
         tries = [F.try_to_timestamp(v, F.lit(layout)) for layout in layouts]
-        parsed = parsed.when(v.rlike(shape), F.coalesce(*tries))
+        parsed = parsed.when(v.rlike(shape), in_utc(F.coalesce(*tries)))
     return parsed
 
 
@@ -150,6 +170,6 @@ def equals_any(col: Column, dtype: T.DataType, values: list[Any]) -> Column:
             return col.cast("bigint").isin(*whole) if whole else F.lit(False)
         return col.cast("double").isin(*[float(v) for v in numbers])
     if is_time(dtype) and values:
-        moments = [F.lit(str(v)).try_cast("timestamp") for v in values]
-        return F.coalesce(col.cast("timestamp").isin(*moments), F.lit(False))
+        moments = [as_timestamp(F.lit(str(v)), T.StringType()) for v in values]
+        return F.coalesce(as_timestamp(col, dtype).isin(*moments), F.lit(False))
     return F.lit(False)

@@ -36,21 +36,21 @@ def compact_key(text: Column) -> Column:
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """SHA-256 over the row's values; NULL is marked so it differs from empty text."""
+    """SHA-256 over the row's values; each is led by its length, and NULL is marked."""
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = [
         F.when(missing(named(c), types[c]), F.lit("-"))
-        .otherwise(F.concat(F.lit("+"), as_text(named(c), types[c])))
+        .otherwise(F.concat(F.length(as_text(named(c), types[c])).cast("string"), F.lit("+"), as_text(named(c), types[c])))
         for c in columns or df.columns
     ]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return F.sha2(F.concat(*parts), 256)
 
 
 def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None,
                         by: list[str] | None = None) -> DataFrame:
     """Identity of the data (or of each group) whatever its order or partitioning, in one pass.
 
-    Three 20-bit slices of each row's digest are summed apart, which stays inside
+    Names and types of the columns belong to it. Three 20-bit slices of each row's digest are summed apart, which stays inside
     BIGINT up to 8e12 rows; duplicates count, unlike with XOR.
     """
     digest = row_digest(df, columns)
@@ -61,5 +61,6 @@ def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None,
     by = by or []
     sums = df.groupBy(*[named(b) for b in by]).agg(F.count(F.lit(1)).alias("row_count"), *slices)
     parts = [F.coalesce(F.col(f"part_{i}"), F.lit(0)).cast("string") for i in (1, 2, 3)]
-    text = F.concat_ws(":", F.col("row_count").cast("string"), *parts)
+    schema = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns or df.columns)
+    text = F.concat_ws(":", F.lit(schema), F.col("row_count").cast("string"), *parts)
     return sums.select(*[named(b) for b in by], "row_count", F.sha2(text, 256).alias("data_fingerprint"))

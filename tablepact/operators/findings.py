@@ -14,7 +14,6 @@ from tablepact.functions.schemas import flat_schema
 from tablepact.functions.sqltext import Sql, quoted
 
 SAMPLE_LIMIT = 10  # fixed value: example rows kept per finding
-FINDING_LIMIT = 10_000  # fixed value: default evidence limit of a run
 
 FINDING_SCHEMA = flat_schema(
     "finding_id string, rule_id string, severity string, category string, title string, "
@@ -103,7 +102,7 @@ def rank_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*finding_order())
 
 
-def cap_findings(findings: DataFrame, limit: int = FINDING_LIMIT,
+def cap_findings(findings: DataFrame, limit: int,
                  by: list[str] | None = None) -> DataFrame:
     """At most ``limit`` rows of evidence per run: beyond it the last one marks the cut.
 
@@ -140,7 +139,10 @@ def summarize(findings: DataFrame, by: list[str] | None = None, fail_on: str = "
 
     Taken over all findings, before any evidence cap.
     """
-    worst = F.coalesce(F.max(severity_rank(F.col("severity"))), F.lit(0))
+    # a severity without a rank counts as the worst one
+    worst = F.coalesce(F.max(F.coalesce(severity_rank(F.col("severity")), F.lit(max(SEVERITY_RANK.values())))), F.lit(0))
+    if fail_on not in SEVERITY_RANK:
+        raise ValueError(f"fail_on: '{fail_on}' is not one of {', '.join(SEVERITY_RANK)}")
     passed = (worst < SEVERITY_RANK[fail_on]).alias("passed")
     grouped = findings.groupBy(*by).agg(*severity_counts(), passed) if by \
         else findings.agg(*severity_counts(), passed)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.contract import Contract, ContractError, DatasetRule
-from tablepact.functions.coercion import as_text, is_text, missing, named
+from tablepact.functions.coercion import NUMERIC_TEXT, as_text, is_number, is_text, missing, named, strip
 from tablepact.functions.hashing import compact_key
 from tablepact.functions.sizing import BROADCAST_BYTES, fits_broadcast
 from tablepact.operators.findings import SAMPLE_LIMIT, finding_rows, finding_sql
@@ -70,10 +70,10 @@ def _smallest_rows(rows: DataFrame, names: list[str], groups: DataFrame, limit:
     group holds an earlier row. So at most ``limit`` keys are broadcast, whatever the
     number of groups, and no row is shuffled.
     """
-    first = groups.orderBy("first_row").limit(limit)
+    first = groups.where("first_row IS NOT NULL").orderBy("first_row").limit(limit)  # others have no row to name
     first = first.select(*[F.col(n).alias(f"_g{n}") for n in names])
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_g{n}")) for n in names])
-    found = rows.join(F.broadcast(first), same, "left_semi").orderBy("_row").limit(limit)
+    found = rows.where("_row IS NOT NULL").join(F.broadcast(first), same, "left_semi").orderBy("_row").limit(limit)
     return found.agg(F.array_sort(F.collect_list("_row")).alias("sample_rows"))
 
 
@@ -99,6 +99,8 @@ def missing_references(df: DataFrame, column: str, reference: DataFrame, referen
     """
     ref = _reference_keys(reference, reference_column)
     rows = _source_keys(df, column, ref, row_key)
+    theirs = ref.schema["ref_key"].dataType
+    ref = ref.select(_comparable(F.col("ref_key"), theirs, df.schema[column].dataType).alias("ref_key"))
     if small is None:
         small = fits_broadcast(ref, ["ref_key"], broadcast_bytes)
     counts = _group_counts(None if row_key is None else F.col("_row"))
@@ -119,8 +121,8 @@ def reference_samples(df: DataFrame, column: str, absent: DataFrame, reference:
 
 def _source_keys(df: DataFrame, column: str, ref: DataFrame, row_key: str | None) -> DataFrame:
     row = [] if row_key is None else [named(row_key).cast("bigint").alias("_row")]
-    return df.where(~missing(named(column), df.schema[column].dataType)) \
-        .select(_typed_key(df, column, ref).alias("key"), *row)
+    ours, theirs = df.schema[column].dataType, ref.schema["ref_key"].dataType
+    return df.where(~missing(named(column), ours)).select(_comparable(named(column), ours, theirs).alias("key"), *row)
 
 
 def _reference_keys(reference: DataFrame, column: str) -> DataFrame:
@@ -130,14 +132,31 @@ def _reference_keys(reference: DataFrame, column: str) -> DataFrame:
     return reference.where(~missing(named(column), dtype)).select(named(column).alias("ref_key"))
 
 
-def _typed_key(df: DataFrame, column: str, ref: DataFrame):
-    """Compare by value: numbers of different kinds meet as DOUBLE or BIGINT, text stays text."""
-    ours, theirs = df.schema[column].dataType, ref.schema["ref_key"].dataType
-    if is_text(ours) and not is_text(theirs):
-        return named(column).try_cast(theirs)
-    if is_text(theirs) and not is_text(ours):
-        return named(column).cast("string")
-    return named(column)
+def _comparable(key: Column, dtype: T.DataType, other: T.DataType) -> Column:
+    """A key in a form that equals the other side's key if their values are equal.
+
+    Whole numbers and equal types compare as they are. Numbers of different kinds, and numbers
+    against text, meet as canonical text: `10`, `10.0` and `1e1` are one value, and whole
+    numbers keep all their digits.
+    """
+    def whole(t):
+        return isinstance(t, T.IntegralType)
+
+    if dtype == other or whole(dtype) and whole(other) or not (is_number(dtype) or is_number(other)):
+        return key
+    if whole(dtype):
+        return key.cast("string")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return _number_text(as_text(key, dtype))
+    return _number_text(key.cast("string"))
+
+
+def _number_text(text: Column) -> Column:
+    """Text of a number without blanks, sign of plus, exponent or needless zeros; other text as it is."""
+    bare = strip(text)
+    digits = F.when(bare.rlike(r"^[+-]?\d{1,38}(\.0*)?$"), bare.try_cast("decimal(38,0)").cast("string"))
+    exact = F.regexp_replace(F.regexp_replace(bare.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+    return F.when(~bare.rlike(NUMERIC_TEXT), text).otherwise(F.coalesce(digits, exact, bare))
 
 
 def count_findings(count: DataFrame, **texts) -> DataFrame:
@@ -151,17 +170,17 @@ def key_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str | None,
     for name, rule in contract.rules.items():
         if rule.unique and name in df.columns:
             found.append(("column.unique", name, [name], dict(
-                severity=rule.severity, category="uniqueness", title="Repeated values",
-                message=f"Column '{name}': {{n}} row(s) share their value with another row.",
-                expected="unique non-null values", observed="{n} duplicate rows",
-                remediation="Deduplicate at the source, or revise the business key.")))
+                severity=rule.severity, category="uniqueness", title="Values used more than once",
+                message=f"{{n}} row(s) hold a '{name}' that another row holds, too.",
+                expected="each filled value in one row", observed="{n} rows with a shared value",
+                remediation="Find out why several rows carry one value; keep one of them, or drop the rule.")))
     for name, rule in contract.named_dataset_rules():
         if rule.type == "unique_combination" and set(rule.columns) <= set(df.columns):
             found.append((f"dataset.unique_combination.{name}", None, list(rule.columns), dict(
-                severity=rule.severity, category="uniqueness", title="Repeated key combination",
-                message=f"{{n}} row(s) share their combination of {len(rule.columns)} columns.",
-                expected="unique column combination", observed="{n} duplicate rows",
-                remediation="Resolve the repeated business keys at the source.")))
+                severity=rule.severity, category="uniqueness", title="Composite key used more than once",
+                message=f"{{n}} row(s) agree with another row in all {len(rule.columns)} key columns.",
+                expected="one row for each composite key", observed="{n} rows with a shared key",
+                remediation="Check what loads these rows twice, or add the column that tells them apart.")))
     return found
 
 
@@ -231,15 +250,18 @@ def reference_texts(name: str, rule: DatasetRule) -> dict:
 
 def group_reconciliation(header: DataFrame, key: str, amount: str, detail: DataFrame,
                          detail_key: str, detail_amount: str, tolerance: float) -> DataFrame:
-    """Header amounts against the sum of their detail rows, one row per header that differs.
+    """Header amounts against the sum of their detail rows, one row per key that does not balance.
 
-    Details are summed before the join, so the join sees one row per key on each side.
+    Details without a header and headers without an amount do not balance either (unless there
+    is nothing to balance: no details, or details that sum to nothing). Details are summed
+    before the join, so it sees one row per key on their side.
     """
     sums = detail.groupBy(named(detail_key).alias("_key")).agg(
         F.sum(named(detail_amount)).alias("detail_total"), F.count(F.lit(1)).alias("detail_rows"))
     pairs = header.select(named(key).alias("key"), named(amount).alias("header_total")) \
-        .join(sums, F.col("key") == F.col("_key"), "left")
+        .join(sums, F.col("key") == F.col("_key"), "full_outer")
     total = F.coalesce("detail_total", F.lit(0.0))
-    return pairs.where(F.abs(F.col("header_total") - total) > float(tolerance)).select(
-        "key", "header_total", total.alias("detail_total"),
+    off = F.abs(F.coalesce("header_total", F.lit(0.0)) - total) > float(tolerance)
+    return pairs.where(off).select(
+        F.coalesce("key", "_key").alias("key"), "header_total", total.alias("detail_total"),
         F.coalesce("detail_rows", F.lit(0)).alias("detail_rows"))

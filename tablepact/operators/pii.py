@@ -12,8 +12,7 @@ from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
 from tablepact.functions.sqltext import Sql
 from tablepact.operators.findings import finding_rows, finding_sql
-from tablepact.operators.profile import first_cells, head_values, text_totals
-from tablepact.operators.samples import source_head
+from tablepact.operators.profile import first_cells, text_totals
 
 # Name patterns per category (case-insensitive, matched anywhere).
 NAME_PATTERNS = {
@@ -140,10 +139,9 @@ def _whole_counts(df: DataFrame) -> DataFrame:
 
 def sampled_counts(df: DataFrame, row_key: str | None, limit: int) -> DataFrame:
     """(column, sampled, matches per category) over the first values of each column."""
-    if row_key is None:
-        cells = first_cells(source_head(df, "_row"), "_row", limit, df.columns)
-    else:
-        cells = head_values(df, row_key, limit)
+    order = row_key or "_position"
+    rows = df if row_key else df.withColumn(order, F.monotonically_increasing_id())  # as the source yields them
+    cells = first_cells(rows, order, limit, df.columns)
     hits = value_detectors(F.col("value"))
     counted = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("sampled_values"),
@@ -160,14 +158,14 @@ def pii_signals(df: DataFrame, row_key: str | None = None,
     """(column, category, confidence, ...) from names and values.
 
     Every value is tested in one scan unless ``sample_limit`` asks for the first values of
-    each column: in ``row_key`` order, or among the first rows the source yields.
+    each column, in ``row_key`` order or as the source yields them; ``sampled`` says which.
     """
-    return signals_of_counts(
-        _whole_counts(df) if sample_limit is None else sampled_counts(df, row_key, sample_limit))
+    sampled = sample_limit is not None
+    return signals_of_counts(sampled_counts(df, row_key, sample_limit) if sampled else _whole_counts(df), sampled)
 
 
-def signals_of_counts(counts: DataFrame) -> DataFrame:
-    """Signals from one row of match counts per column."""
+def signals_of_counts(counts: DataFrame, sampled: bool = False) -> DataFrame:
+    """Signals from one row of match counts per column; ``sampled`` is told with each."""
     candidates = [
         F.struct(
             F.lit(category).alias("category"),
@@ -185,7 +183,7 @@ def signals_of_counts(counts: DataFrame) -> DataFrame:
         .when(F.col("name_signal") | strong, "medium").otherwise("low"))
     return rows.select(
         "column", "category", confidence.alias("confidence"), "name_signal", "sampled_values",
-        "matching_values", F.round(ratio, 4).alias("match_ratio"))
+        "matching_values", F.round(ratio, 4).alias("match_ratio"), F.lit(sampled).alias("sampled"))
 
 
 def unapproved_signals(signals: DataFrame, privacy: Privacy) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablepact.functions import coercion as C
 from tablepact.functions.hashing import compact_key
 from tablepact.functions.sqltext import quoted
-from tablepact.operators.samples import HEAD_ROWS, head_rows, smallest_per_group
+from tablepact.operators.samples import smallest_per_group
 
 DATETIME_SHARE = 0.95  # fixed value: share of text values that must parse as dates
 TYPE_SAMPLE = 200  # fixed value: values looked at per text column
@@ -243,32 +243,17 @@ def sampled_types(df: DataFrame, row_key: str, limit: int = TYPE_SAMPLE) -> Data
     """Observed type of the text columns from their first ``limit`` filled values only."""
     texts = [f.name for f in df.schema.fields if C.is_text(f.dataType) and f.name != row_key]
     v = F.col("value")
-    counted = head_values(df, row_key, limit, texts).groupBy("column").agg(
+    counted = first_cells(df, row_key, limit, texts).groupBy("column").agg(
         F.count(F.lit(1)).alias("sampled_values"), *_kind_counts(v))
     kind, _ = _text_kind(F.col("sampled_values"))
     return counted.select("column", kind.alias("observed_type"), "sampled_values")
 
 
-def head_values(df: DataFrame, row_key: str, limit: int, columns: list[str] | None = None,
-                rows: int = HEAD_ROWS) -> DataFrame:
-    """(column, value): the first ``limit`` filled values of each column in row-key order.
+def first_cells(df: DataFrame, row_key: str, limit: int, columns: list[str]) -> DataFrame:
+    """(column, value): the first ``limit`` filled values of each column in ``row_key`` order.
 
-    The head of the table serves the columns that are filled enough there; only the others
-    go through the whole table.
+    Every task keeps ``limit`` cells per column before the exchange.
     """
-    wanted = columns or df.columns
-    head = head_rows(df, row_key, rows)
-    if head is None:
-        return first_cells(df, row_key, limit, wanted)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    filled = head.agg(*[F.count_if(~C.missing(C.named(c), types[c])).alias(f"c{i}")
-                        for i, c in enumerate(wanted)]).first()
-    short = [c for i, c in enumerate(wanted) if filled[f"c{i}"] < limit]
-    found = first_cells(head, row_key, limit, [c for c in wanted if c not in short])
-    return found.unionByName(first_cells(df, row_key, limit, short)) if short else found
-
-
-def first_cells(df: DataFrame, row_key: str, limit: int, columns: list[str]) -> DataFrame:
     cells = long_values(df, [row_key], columns)
     return smallest_per_group(cells, ["column"], row_key, limit).select("column", "value")
 

@@ -10,33 +10,6 @@ from tablepact.functions.coercion import named
 from tablepact.operators.findings import SAMPLE_LIMIT
 from tablepact.operators.predicates import RowCheck, violating_rows
 
-HEAD_ROWS = 1000  # fixed value: rows that samples are first looked for in
-LARGE = 10_000_000  # rows from which a second place is tried before the whole table
-OFTEN = 50  # a rule broken by one row in this many finds its examples in the head
-
-
-def head_rows(df: DataFrame, row_key: str, rows: int = HEAD_ROWS, start: int | None = None) -> DataFrame | None:
-    """The first ``rows`` rows in key order (and ties) from ``start`` on, or None if there are fewer.
-
-    The last key comes from a top-k over the key column alone, and the filter on it reaches
-    the scan: on a table ordered by key only a few row groups are read.
-    """
-    key = named(row_key)
-    from_start = df if start is None else df.where(key >= F.lit(start))
-    cut = from_start.select(key.alias("k")).where(F.col("k").isNotNull()).orderBy("k").limit(rows) \
-        .agg(F.max("k").alias("last"), F.count("k").alias("n")).first()
-    return None if cut["n"] < rows else from_start.where(key <= F.lit(cut["last"]))
-
-
-def source_head(df: DataFrame, order: str, rows: int = HEAD_ROWS) -> DataFrame:
-    """The first rows the source yields, numbered in column ``order``.
-
-    Spark opens one partition after another until it has enough, so this costs the same on
-    a table of any size; the rows are few and become a local table.
-    """
-    head = df.sparkSession.createDataFrame(df.head(rows), df.schema)
-    return head.coalesce(1).withColumn(order, F.monotonically_increasing_id())
-
 
 def smallest_per_group(rows: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """The ``limit`` smallest rows per group.
@@ -57,35 +30,17 @@ def sample_rows(violations: DataFrame, row_key: str, keys: list[str] | None = No
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("sample_rows"))
 
 
-def check_samples(df: DataFrame, broken: list[tuple[RowCheck, int, int]], total: int, row_key: str,
-                  limit: int = SAMPLE_LIMIT, large: int = LARGE) -> list[DataFrame]:
-    """Example rows of broken row checks: (check, rows that break it, first such row key).
+def check_samples(df: DataFrame, broken: list[RowCheck], row_key: str, limit: int = SAMPLE_LIMIT) -> list[DataFrame]:
+    """Example rows of the broken row checks, all looked up in one pass.
 
-    A rule that many rows break finds its smallest examples in the head of the table or,
-    on a large table, right after the first row that breaks it; that spares sorting a large
-    part of the table. Rules with too few examples there, and rarely broken ones, are looked
-    up in the whole table, where few rows match.
+    Rows without a row key cannot be named and are left out. What a rule's examples are does
+    not depend on how often it is broken or on the size of the table: every task keeps
+    ``limit`` rows per rule before the exchange.
     """
-    often = [(check, first) for check, n, first in broken if n * OFTEN >= total]
-    near: list[tuple[DataFrame, list[RowCheck]]] = []
-
-    def enough(source: DataFrame, checks: list[RowCheck]) -> list[RowCheck]:
-        hits = source.agg(*[F.count_if(c.violated).alias(f"h{i}") for i, c in enumerate(checks)]).first()
-        return [c for i, c in enumerate(checks) if hits[f"h{i}"] >= limit]
-
-    head = head_rows(df, row_key) if often else None
-    if head is not None:
-        near.append((head, enough(head, [check for check, _ in often])))
-        if total >= large:
-            for check, first in often:
-                if check not in near[0][1]:
-                    later = head_rows(df, row_key, start=first)
-                    if later is not None:
-                        near.append((later, enough(later, [check])))
-    found = [check for _, checks in near for check in checks]
-    near.append((df, [check for check, _, _ in broken if check not in found]))
-    return [sample_rows(violating_rows(source, checks, [row_key]), row_key, limit=limit)
-            for source, checks in near if checks]
+    if not broken:
+        return []
+    keyed = df.where(named(row_key).isNotNull())
+    return [sample_rows(violating_rows(keyed, broken, [row_key]), row_key, limit=limit)]
 
 
 def attach_samples(findings: DataFrame, samples: DataFrame) -> DataFrame:

@@ -18,11 +18,6 @@ from tablepact.plans.validate import Validation
 
 PARTITIONS = ["dataset_name", "run_id"]
 
-# Bounds of the history and trend limits.
-HISTORY_LIMITS = (1, 500)
-TREND_LIMITS = (2, 500)
-DRIFT_PER_RUN = 20
-
 DRIFT_SCHEMA = flat_schema(
     "change_type string, column string, before string, after string, severity string")
 
@@ -35,6 +30,9 @@ PROFILE_SCHEMA = flat_schema(
     "column string, observed_type string, row_count bigint, null_count bigint, null_ratio double, "
     "distinct_count bigint, duplicate_count bigint, distinct_count_exact boolean, "
     "duplicate_count_exact boolean, minimum string, maximum string, mean double")
+SIGNAL_SCHEMA = flat_schema(
+    "column string, category string, confidence string, name_signal boolean, sampled_values bigint, "
+    "matching_values bigint, match_ratio double, sampled boolean")
 
 
 def _escaped(value: str) -> str:
@@ -42,8 +40,11 @@ def _escaped(value: str) -> str:
     return re.sub(r"[^\w.\- ]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def _clamp(limit: int, bounds: tuple[int, int]) -> int:
-    return min(max(int(limit), bounds[0]), bounds[1])
+def _wanted(limit: int, least: int = 1) -> int:
+    """The limit as asked for, however large; one that makes no sense is refused."""
+    if int(limit) < least:
+        raise ValueError(f"limit must be at least {least}, not {limit}")
+    return int(limit)
 
 
 def _partition_schema(schema: T.StructType) -> T.StructType:
@@ -52,7 +53,7 @@ def _partition_schema(schema: T.StructType) -> T.StructType:
 
 
 class RunHistory:
-    """Runs, findings, profiles and drift under one folder of the shared file system.
+    """Runs, findings, profiles, signals and drift under one folder of the shared file system.
 
     Publishing a run replaces its own partition folder in every table, also with nothing,
     so a repeated or retried publish leaves exactly one copy. The run row is written last:
@@ -72,10 +73,10 @@ class RunHistory:
         are taken from what was written."""
         name, run_id = made.contract.dataset.name, made.run_id
         self._write(made.findings, "findings", name, run_id)
-        if made.profile is not None:
-            self._write(made.profile, "profiles", name, run_id)
-        if made.drift is not None:
-            self._write(made.drift, "drift", name, run_id)
+        # every table, also without rows: what an earlier publish of this run left is replaced
+        for table, rows, schema in (("profiles", made.profile, PROFILE_SCHEMA), ("drift", made.drift, DRIFT_SCHEMA),
+                                    ("signals", made.pii_signals, SIGNAL_SCHEMA)):
+            self._write(self.spark.createDataFrame([], schema) if rows is None else rows, table, name, run_id)
         counts = summarize(self.run(run_id), fail_on=made.fail_on).first()
         data = dataset_fingerprint(made.source).first()
         done = completed_at or max(datetime.now(), started_at)
@@ -114,6 +115,14 @@ class RunHistory:
     def drift(self) -> DataFrame:
         return self._read("drift", DRIFT_SCHEMA)
 
+    def signals(self) -> DataFrame:
+        """Personal-data signals of every run."""
+        return self._read("signals", SIGNAL_SCHEMA)
+
+    def lookup(self, run_id: str) -> DataFrame:
+        """The run's own row."""
+        return self.runs().where(F.col("run_id") == run_id)
+
     def run(self, run_id: str) -> DataFrame:
         """Findings of one run; the filter prunes partitions before any file is opened."""
         return self.findings().where(F.col("run_id") == run_id)
@@ -147,7 +156,7 @@ def runs_of_groups(df: DataFrame, findings: DataFrame, by: list[str],
 
 def latest_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     """Newest first: a top-k, never a full sort."""
-    return runs.orderBy(F.col("started_at").desc(), "run_id").limit(_clamp(limit, HISTORY_LIMITS))
+    return runs.orderBy(F.col("started_at").desc(), "run_id").limit(_wanted(limit))
 
 
 def latest_per_dataset(runs: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def latest_per_dataset(runs: DataFrame) -> DataFrame:
 def trend(runs: DataFrame, dataset: str | None = None, limit: int = 50) -> DataFrame:
     """The newest ``limit`` runs in time order."""
     chosen = runs if dataset is None else runs.where(F.col("dataset_name") == dataset)
-    newest = chosen.orderBy(F.col("started_at").desc(), "run_id").limit(_clamp(limit, TREND_LIMITS))
+    newest = chosen.orderBy(F.col("started_at").desc(), "run_id").limit(_wanted(limit, 2))
     return newest.orderBy("started_at", "run_id")
 
 
@@ -175,12 +184,11 @@ def trend_summary(runs: DataFrame) -> DataFrame:
 
 def drift_events(drift: DataFrame, runs: DataFrame, dataset: str | None = None,
                  limit: int = 50) -> DataFrame:
-    """Drift changes with their run's time, oldest first; the dataset filter comes first."""
+    """The newest ``limit`` drift changes with their run's time, oldest first; the dataset filter comes first."""
     chosen = runs if dataset is None else runs.where(F.col("dataset_name") == dataset)
     events = drift.select("run_id", "change_type", "column", "severity") \
         .join(chosen.select("run_id", "started_at", "dataset_name"), "run_id")
-    bounded = _clamp(limit, TREND_LIMITS) * DRIFT_PER_RUN
-    newest = events.orderBy(F.col("started_at").desc(), "run_id", "change_type", "column").limit(bounded)
+    newest = events.orderBy(F.col("started_at").desc(), "run_id", "change_type", "column").limit(_wanted(limit))
     return newest.orderBy("started_at", "run_id", "change_type", "column")
 
 

@@ -42,9 +42,13 @@ def sarif_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(body).alias("value"))
 
 
-def junit_counts(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Test counters per run: severe findings fail, mild ones are skipped."""
-    return findings.groupBy(*by).agg(
-        F.greatest(F.lit(1), F.count(F.lit(1))).alias("tests"),
+def junit_counts(runs: DataFrame, findings: DataFrame, by: list[str]) -> DataFrame:
+    """Test counters per run: severe findings fail, mild ones are skipped, a clean run is one passed test."""
+    counts = findings.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("tests"),
         F.count_if(F.col("severity").isin("error", "critical")).alias("failures"),
         F.count_if(F.col("severity").isin("warning", "info")).alias("skipped"))
+    zero = F.lit(0).cast("bigint")
+    return runs.select(*by).distinct().join(counts, by, "left").select(
+        *by, F.coalesce("tests", F.lit(1).cast("bigint")).alias("tests"),
+        F.coalesce("failures", zero).alias("failures"), F.coalesce("skipped", zero).alias("skipped"))

@@ -104,10 +104,9 @@ class Scan:
         """An aggregate by its alias; 0 if it was not taken."""
         return next((row[name] for row, _, _ in self._totals if name in row), 0)
 
-    def broken(self) -> list[tuple[RowCheck, int, int]]:
-        """(check, rows, first row key) of the row checks that were violated."""
-        return [(c, self.count(f"n{i}"), self.count(f"first{i}"))
-                for i, c in enumerate(self._checks) if self.count(f"n{i}")]
+    def broken(self) -> list[RowCheck]:
+        """The row checks that were violated."""
+        return [c for i, c in enumerate(self._checks) if self.count(f"n{i}")]
 
     def _rows(self, kind: str) -> list[DataFrame]:
         return [

@@ -36,9 +36,10 @@ class Validation:
     drift: DataFrame | None = None
     sampled: bool = False
 
-    def ranked(self, limit: int = findings.FINDING_LIMIT) -> DataFrame:
-        """Findings as reported: most severe first, within the evidence limit."""
-        return findings.rank_findings(findings.cap_findings(self.findings, limit))
+    def ranked(self, limit: int | None = None) -> DataFrame:
+        """Findings as reported, most severe first: all of them unless a limit is asked for."""
+        kept = self.findings if limit is None else findings.cap_findings(self.findings, limit)
+        return findings.rank_findings(kept)
 
     def summary(self) -> DataFrame:
         """One row: counts per severity over all findings, and the verdict."""
@@ -64,8 +65,8 @@ def validate(
     ``row_key`` names a whole-number column that identifies rows: with it, findings
     carry the ten smallest row keys as examples. ``references`` maps the names used by
     ``reference_exists`` rules to DataFrames; ``baseline`` is a schema snapshot to detect
-    drift from. ``distinct`` sets how the profile counts distinct values. A dataset whose
-    shape exceeds the ``budget`` is refused before any rule runs.
+    drift from. ``distinct`` sets how the profile counts distinct values. A dataset that
+    exceeds one of the measures in ``budget`` is refused before any rule runs.
     """
     if isinstance(contract, dict):
         contract = Contract.from_dict(contract)
@@ -97,7 +98,7 @@ def validate(
     if want_profile:
         columns = profile.assemble(scan.statistics(), counted)
     if contract.privacy.detect_pii:
-        signals = pii.signals_of_counts(more[-1]) if sampled else scan.signals()
+        signals = pii.signals_of_counts(more[-1], True) if sampled else scan.signals()
         families.append(pii.privacy_findings(signals, contract))
     if baseline is not None:
         changes = drift.compare_snapshots(baseline, drift.snapshot(columns))
@@ -106,7 +107,7 @@ def validate(
     families = [f for f in families if f is not None]
     found = reduce(DataFrame.unionByName, families) if families else findings.no_findings(df)
     if row_key is not None:
-        key_samples += samples.check_samples(df, scan.broken(), scan.count("total"), row_key)
+        key_samples += samples.check_samples(df, scan.broken(), row_key)
         if key_samples:
             found = samples.attach_samples(found, reduce(DataFrame.unionByName, key_samples))
     return Validation(contract, df, run_id or uuid.uuid4().hex, found, fail_on,

@@ -23,11 +23,8 @@ NA_TOKENS = (
 CORRUPT = "_corrupt_record"
 ENTRY_POINT_GROUP = "tablepact.readers"
 
-# Default shape budget.
-DEFAULT_BUDGET = {
-    "max_rows": 2_000_000, "max_columns": 1_000, "max_header_length": 512,
-    "max_field_length": 1_000_000,
-}
+# What a shape budget can limit.
+BUDGET_MEASURES = ("max_rows", "max_columns", "max_header_length", "max_field_length")
 
 
 def nulls_from_tokens(df: DataFrame, tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame:
@@ -44,14 +41,20 @@ def read_csv(spark: SparkSession, path: str, *, columns: list[str] | None = None
              **options) -> DataFrame:
     """CSV with a header, all columns as text.
 
-    Naming the ``columns`` spares the job that reads the header. ``multi_line`` is only
-    for files with line breaks inside quotes: those cannot be split.
+    ``columns`` picks columns by their names in the header. A folder's files must agree on
+    the header: one that orders its columns otherwise is refused when it is read, never bound
+    by position. ``multi_line`` is only for files with line breaks inside quotes: those cannot
+    be split.
     """
     reader = spark.read.options(
-        header=True, escape='"', multiLine=multi_line, mode="PERMISSIVE", **options)
+        header=True, escape='"', multiLine=multi_line, mode="PERMISSIVE", enforceSchema=False, **options)
+    found = reader.csv(path)
     if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return nulls_from_tokens(reader.csv(path), na_tokens)
+        absent = [c for c in columns if c not in found.columns]
+        if absent:
+            raise ValueError(f"'{path}' has no column {', '.join(absent)}")
+        found = found.select(*[named(c) for c in columns])
+    return nulls_from_tokens(found, na_tokens)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -142,9 +145,11 @@ def reject_counts(df: DataFrame, schema: T.StructType) -> DataFrame:
                   F.coalesce(F.sum(filled), F.lit(0)).alias("filled_cells"))
 
 
-def shape_budget(df: DataFrame, budget: dict[str, int] | None = None) -> DataFrame:
-    """(measure, observed, allowed, within) for rows, columns, names and text cells; one scan."""
-    allowed = {**DEFAULT_BUDGET, **(budget or {})}
+def shape_budget(df: DataFrame, budget: dict[str, int]) -> DataFrame:
+    """(measure, observed, allowed, within) for the measures that ``budget`` names; one scan."""
+    unknown = sorted(set(budget) - set(BUDGET_MEASURES))
+    if unknown or not budget:
+        raise ValueError(f"a budget names some of {', '.join(BUDGET_MEASURES)}, not {', '.join(unknown) or 'nothing'}")
     texts = [f for f in df.schema.fields if is_text(f.dataType)]
     longest = [F.max(F.length(as_text(named(f.name), f.dataType))).cast("bigint").alias(f"t{i}")
                for i, f in enumerate(texts)]
@@ -158,6 +163,6 @@ def shape_budget(df: DataFrame, budget: dict[str, int] | None = None) -> DataFra
         "max_field_length": field.cast("bigint"),
     }
     rows = [F.struct(F.lit(m).alias("measure"), seen.alias("observed"),
-                     F.lit(allowed[m]).cast("bigint").alias("allowed")) for m, seen in measures.items()]
+                     F.lit(budget[m]).cast("bigint").alias("allowed")) for m, seen in measures.items() if m in budget]
     return totals.select(F.explode(F.array(*rows)).alias("m")).select("m.*") \
         .withColumn("within", F.col("observed") <= F.col("allowed"))

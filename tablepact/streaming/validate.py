@@ -78,7 +78,7 @@ class StreamValidation:
             if absent:
                 write(reduce(DataFrame.unionByName, absent), "absent")
             if self.row_key is not None:
-                parts = samples.check_samples(batch, scan.broken(), scan.count("total"), self.row_key)
+                parts = samples.check_samples(batch, scan.broken(), self.row_key)
                 if parts:
                     write(reduce(DataFrame.unionByName, parts), "samples")
         finally:

@@ -76,8 +76,9 @@ def test_shape_budget(spark):
     df = spark.createDataFrame([("abc", 1), ("abcdef", 2)], "t string, n long")
     got = {r["measure"]: (r["observed"], r["within"]) for r in readers.shape_budget(
         df, {"max_rows": 1, "max_field_length": 6}).collect()}
-    assert got == {"max_rows": (2, False), "max_columns": (2, True), "max_header_length": (1, True),
-                   "max_field_length": (6, True)}
+    assert got == {"max_rows": (2, False), "max_field_length": (6, True)}
+    with pytest.raises(ValueError, match="max_size"):
+        readers.shape_budget(df, {"max_size": 1})
 
 
 def test_budget_is_checked_before_validating(spark):
