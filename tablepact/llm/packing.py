@@ -44,7 +44,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer_path)
-        for batch in small_batches(batches, limit=16 << 20):
+        for batch in small_batches(batches, limit=8 << 20):
             row, start, length, crc, ids = [], [], [], [], []
             for k, coded in enumerate(words.encode(batch.column("text"), end_id)):
                 for a in range(0, len(coded), 4 * capacity):
