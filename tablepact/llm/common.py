@@ -37,11 +37,14 @@ def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                   limit: int = 8 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text and at most ``rows``; a longer row is one alone."""
+    """The same rows in batches of about ``limit`` bytes of text (or list elements) and at most ``rows``;
+    a longer row is one alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
+        values = batch.column(column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        lengths = np.asarray(measure(values).fill_null(0))
         part = np.cumsum(lengths, dtype=np.int64) // limit + np.arange(len(lengths)) // rows
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

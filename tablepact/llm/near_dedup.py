@@ -38,12 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import ids_and_texts, lists_of, packed_rows, small_batches, stored, unpacked_rows
+from tablepact.llm.common import ids_and_texts, lists_of, packed_rows, small_batches, stored, text_of, unpacked_rows
 
 SHINGLE_WORDS = 5
 PICKED = 3
 SKETCHES = 20
 THRESHOLD = 0.8
+BLOCK_WORDS = 1 << 18
 TOGETHER = 24  # failed members of a bucket up to which all of them are compared
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
@@ -120,29 +121,29 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return len(tails) / (n + m - len(tails))
 
 
-BLOCKS = "block long, rows binary, doc_ids array<{kind}>, digests array<binary>, keys array<array<long>>"
+BLOCKS = "block long, rows binary, doc_ids array<{kind}>, marks array<long>, digests array<binary>, keys array<array<long>>"
 ROW_BITS = 16  # a node is a block's number and a row in it
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Texts packed by block, with the digest and the sketches of each (none without words)."""
-    coded = docs.select("doc_id", "text", word_codes(F.col("text")).alias("codes"))
+    """Word hashes packed by block, with the digest and the sketches of each text (none without words)."""
+    coded = docs.select("doc_id", F.xxhash64("text").alias("mark"), word_codes(F.col("text")).alias("codes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        for batch in small_batches(batches, limit=4 << 20, rows=1 << ROW_BITS):
+        for batch in small_batches(batches, "codes", BLOCK_WORDS, 1 << ROW_BITS):
             digests, keys = [], []
             for own in lists_of(batch.column("codes")):
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 keys.append(order_sketches(labelled_shingles(own)).view(np.int64).tolist() if len(own) else [])
             one = lambda x, t: pa.array([x], t)
-            ids = batch.column("doc_id")
+            ids, ends = batch.column("doc_id"), pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [one(block, pa.int64()), one(packed_rows(batch.select(["text"])), pa.binary()),
-                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                [one(block, pa.int64()), one(packed_rows(batch.select(["codes"])), pa.binary()),
+                 pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, batch.column("mark")),
                  one(digests, pa.list_(pa.binary())), one(keys, pa.list_(pa.list_(pa.int64())))],
-                names=["block", "rows", "doc_ids", "digests", "keys"])
+                names=["block", "rows", "doc_ids", "marks", "digests", "keys"])
             block += 1
 
     return coded.mapInArrow(sketch, BLOCKS.format(kind=kind))
@@ -158,12 +159,11 @@ def fetched(packed: DataFrame, nodes: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 nodes = batch.column("nodes")[k].values
                 at = pc.bit_wise_and(nodes, (1 << ROW_BITS) - 1)
-                text = unpacked_rows(batch.column("rows")[k].as_py()).column("text").take(at)
-                yield pa.RecordBatch.from_arrays([nodes, text], names=["node", "text"])
+                codes = unpacked_rows(batch.column("rows")[k].as_py()).column("codes").take(at)
+                yield pa.RecordBatch.from_arrays([nodes, codes], names=["node", "codes"])
 
-    texts = packed.select("block", "rows").join(requests, "block").select("rows", "nodes").mapInArrow(
-        take, "node long, text string")
-    return stored(texts.select("node", word_codes(F.col("text")).alias("codes")), "near-texts", compression="zstd")
+    texts = packed.select("block", "rows").join(requests, "block").select("rows", "nodes")
+    return stored(texts.mapInArrow(take, "node long, codes array<long>"), "near-texts", compression="zstd")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -270,12 +270,12 @@ def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, tog
 
 
 def _classed(docs: DataFrame, threshold: float, together: int = TOGETHER) -> DataFrame:
-    """doc_id, node, root of every row."""
+    """doc_id, mark (hash of the text as it is), node, root of every row."""
     packed = stored(blocks(docs), "near-blocks", compression="uncompressed")
-    narrow = packed.select("block", F.posexplode(F.arrays_zip("doc_ids", "digests")).alias("i", "row")).select(
-        F.col("row.doc_ids").alias("doc_id"), F.col("row.digests").alias("digest"), _node("block", "i").alias("own"))
+    narrow = packed.select("block", F.posexplode(F.arrays_zip("doc_ids", "marks", "digests")).alias("i", "row")).select(
+        F.col("row.doc_ids").alias("doc_id"), F.col("row.marks").alias("mark"), F.col("row.digests").alias("digest"), _node("block", "i").alias("own"))
     firsts = narrow.groupBy("digest").agg(F.min("own").alias("node"))
-    rows = stored(narrow.join(firsts, "digest").select("doc_id", "own", "node"), "near-rows")
+    rows = stored(narrow.join(firsts, "digest").select("doc_id", "mark", "own", "node"), "near-rows")
     keyed = packed.select("block", F.posexplode("keys").alias("i", "keys")).select(_node("block", "i").alias("node"), "keys")
     keyed = stored(keyed.join(rows.filter("own = node").select("node"), "node", "left_semi"), "near-keys", compression="zstd")
     roots = components(links(packed, keyed, threshold, together))
@@ -295,14 +295,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class of ``df`` with all its columns: the one with the smallest doc_id."""
-    made = classes(df, id_col, text_col, threshold)
-    # rows that are not the first of their class; ids that name several rows are rare and settled by row number
-    kept = made.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
-    repeated = kept.groupBy("kept_id").agg(F.count("*").alias("n"))
-    row = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own_id"))
-    found = row.join(repeated, F.col("own_id").eqNullSafe(F.col("kept_id")))
-    single = found.filter("n = 1").select("row.*")
-    order = Window.partitionBy("own_id").orderBy(F.length("row." + text_col), F.xxhash64("row." + text_col))
-    several = found.filter("n > 1").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
-    return single.unionAll(several)
+    """One row of each class of ``df`` with all its columns: the one with the smallest doc_id, rows without one last."""
+    rows = stored(_classed(ids_and_texts(df, id_col, text_col), threshold), "near-classed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    copies = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    kept = kept.join(copies, same).select("kept_id", "kept_mark", "copies")
+    row = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_mark"))
+    found = row.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_mark") == F.col("kept_mark")))
+    # rows equal in id and text are rare; only they are numbered, and one of each stays
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_mark").orderBy(F.lit(0)))
+    several = found.filter("copies > 1").withColumn("nth", nth).filter("nth = 1").select("row.*")
+    return found.filter("copies = 1").select("row.*").unionAll(several)
