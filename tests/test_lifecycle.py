@@ -13,14 +13,14 @@ from tablepact.session import shared_dir
 
 
 def test_contract_pair_is_breaking(spark):
-    old = Contract.from_dict({"dataset": {"name": "o", "required_columns": ["order_id"]},
-                              "rules": {"order_id": {"type": "integer"}}})
-    new = Contract.from_dict({"dataset": {"name": "o", "required_columns": ["order_id", "customer_id"]},
-                              "rules": {"order_id": {"type": "integer", "nullable": False}}})
-    older, newer = (registry.registry_tables(spark, {"o": c}) for c in (old, new))
+    old = Contract.from_dict({"dataset": {"name": "tides", "required_columns": ["port", "metres"]},
+                              "rules": {"metres": {"type": "number", "maximum": 9}}})
+    new = Contract.from_dict({"dataset": {"name": "tides", "required_columns": ["port", "metres", "clock"]},
+                              "rules": {"metres": {"type": "number", "maximum": 8}}})
+    older, newer = (registry.registry_tables(spark, {"tides": c}) for c in (old, new))
     changes = registry.diff_contracts(older, newer)
     assert {(r["path"], r["classification"]) for r in changes.collect()} == {
-        ("dataset.required_columns.customer_id", "breaking"), ("rules.order_id.nullable", "breaking")}
+        ("dataset.required_columns.clock", "breaking"), ("rules.metres.maximum", "breaking")}
     (summary,) = registry.diff_summary(changes, newer[0]).collect()
     assert (summary["classification"], summary["change_count"]) == ("breaking", 2)
     (same,) = registry.diff_summary(registry.diff_contracts(older, older), older[0]).collect()
@@ -85,15 +85,15 @@ def test_registry_round_trip(spark):
 
 
 ODCS = {
-    "kind": "DataContract", "apiVersion": "v3.1.0", "dataProduct": "events",
-    "team": {"name": "ops", "members": [{"username": "x", "role": "Member"},
-                                        {"username": "data-operations-owner", "role": "Owner"}]},
+    "kind": "DataContract", "apiVersion": "v3.1.0", "dataProduct": "sea",
+    "team": {"name": "harbour", "members": [{"username": "x", "role": "Member"},
+                                        {"username": "keeper", "role": "Owner"}]},
     "schema": [
-        {"name": "customer_orders", "physicalName": "customer_orders", "description": "d",
+        {"name": "tide_gauges", "physicalName": "tide_gauges", "description": "d",
          "properties": [
-             {"name": "order_id", "logicalType": "string", "required": True, "primaryKey": True,
+             {"name": "gauge", "logicalType": "string", "required": True, "primaryKey": True,
               "classification": "internal", "quality": [{"metric": "nullValues", "mustBe": 0, "severity": "critical"}]},
-             {"name": "x", "physicalName": "amount", "physicalType": "DECIMAL(10,2)"},
+             {"name": "x", "physicalName": "metres", "physicalType": "DECIMAL(10,2)"},
              {"name": "when", "logicalType": "timestamp", "quality": [{"metric": "duplicates", "mustBe": 0}]},
              {"name": " "}],
          "quality": [{"metric": "rowCount", "mustBeGreaterThan": 0, "severity": "error"}]},
@@ -104,12 +104,12 @@ ODCS = {
 
 def test_odcs(spark):
     c = registry.contract_from_odcs(spark, ODCS)
-    assert (c.dataset.owner, c.source_format, c.source_standard_version) == ("data-operations-owner", "odcs", "v3.1.0")
-    first = c.rules["order_id"]
+    assert (c.dataset.owner, c.source_format, c.source_standard_version) == ("keeper", "odcs", "v3.1.0")
+    first = c.rules["gauge"]
     assert (first.unique, first.nullable, first.severity, first.classification) == (True, False, "critical", "internal")
-    assert c.rules["amount"].type == "number" and c.rules["amount"].nullable
+    assert c.rules["metres"].type == "number" and c.rules["metres"].nullable
     assert c.rules["when"].type == "datetime" and c.rules["when"].unique
-    assert list(c.rules) == ["order_id", "amount", "when"] and c.adapter_notes
+    assert list(c.rules) == ["gauge", "metres", "when"] and c.adapter_notes
     assert (c.dataset_rules[0].type, c.dataset_rules[0].minimum) == ("row_count", 1)
     second = registry.contract_from_odcs(spark, ODCS, "second")
     assert second.dataset.name == "second" and second.dataset_rules[0].maximum == 5
@@ -138,13 +138,13 @@ def test_load_contract(tmp_path):
 
 
 def test_drift(spark):
-    before = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
-    after = spark.createDataFrame([("x", 1), (None, 2)], "id string, new long")
+    before = spark.createDataFrame([(4.5, "Kiel", True)], "metres double, port string, calm boolean")
+    after = spark.createDataFrame([("4.5m", True, 7), (None, False, 8)], "metres string, calm boolean, clock long")
     shots = [drift.snapshot(profile.profile(d, "none")) for d in (before, after)]
     changes = drift.compare_snapshots(*shots)
     assert {(r["change_type"], r["column"], r["severity"]) for r in changes.collect()} == {
-        ("removed", "name", "error"), ("added", "new", "warning"), ("type_changed", "id", "error"),
-        ("nullability_changed", "id", "warning")}
+        ("removed", "port", "error"), ("added", "clock", "warning"), ("type_changed", "metres", "error"),
+        ("nullability_changed", "metres", "warning")}
     made = validate(after, {"dataset": {"name": "d"}}, baseline=shots[0])
     assert {r["rule_id"] for r in made.findings.collect()} == {
         "drift.removed", "drift.added", "drift.type_changed", "drift.nullability_changed"}

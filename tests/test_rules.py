@@ -16,97 +16,101 @@ from tablepact.plans.scan import Scan
 
 NOW = datetime(2024, 6, 1, 12)
 
-# The example contract the expectations belong to.
-ORDERS = {
+SHIPMENTS = {
     "dataset": {
-        "name": "customer_orders", "owner": "Data Operations",
-        "required_columns": ["order_id", "customer_id", "order_date", "total_amount", "status", "customer_email"],
+        "name": "shipments", "owner": "Warehouse North",
+        "required_columns": ["parcel", "depot", "scanned", "weight", "state", "contact"],
         "allow_extra_columns": False,
     },
     "rules": {
-        "order_id": {"type": "string", "nullable": False, "unique": True, "pattern": "^ORD-[0-9]{4,}$",
-                     "severity": "critical"},
-        "customer_id": {"type": "string", "nullable": False, "pattern": "^CUS-[0-9]+$"},
-        "order_date": {"type": "datetime", "nullable": False, "maximum_age_hours": 48},
-        "total_amount": {"type": "number", "nullable": False, "minimum": 0},
-        "status": {"type": "string", "nullable": False, "allowed_values": ["paid", "pending", "refunded"]},
-        "customer_email": {"type": "email"},
+        "parcel": {"type": "uuid", "nullable": False, "unique": True, "severity": "critical"},
+        "depot": {"type": "string", "nullable": False, "min_length": 2, "max_length": 4},
+        "scanned": {"type": "datetime", "nullable": False, "maximum_age_hours": 72},
+        "weight": {"type": "number", "minimum": 0.1, "maximum": 30},
+        "state": {"allowed_values": ["packed", "moving", "there"], "severity": "warning"},
+        "contact": {"type": "email"},
     },
     "dataset_rules": [
-        {"name": "expected_volume", "type": "row_count", "minimum": 1, "maximum": 1000000},
-        {"name": "order_customer_key", "type": "unique_combination", "columns": ["order_id", "customer_id"]},
-        {"name": "customer_id_completeness", "type": "null_ratio", "column": "customer_id", "max_ratio": 0.01},
+        {"name": "some", "type": "row_count", "minimum": 2},
+        {"name": "seen_once", "type": "unique_combination", "columns": ["depot", "scanned"]},
+        {"name": "reachable", "type": "null_ratio", "column": "contact", "max_ratio": 0.4},
     ],
-    "privacy": {"allowed_categories": ["email", "account_identifier"]},
+    "privacy": {"allowed_categories": ["email", "address", "payment_card"]},
 }
+SHIPPED = "parcel string, depot string, scanned string, weight string, state string, contact string"
+
+
+def parcel(i: int) -> str:
+    return f"00000000-0000-4000-8000-{i:012d}"
 
 
 def by_rule(made):
     return {(r["rule_id"], r["column"]): r for r in made.findings.collect()}
 
 
-def test_conforming_orders_pass(spark):
-    rows = [(i, f"ORD-100{i}", f"CUS-1{i}", NOW - timedelta(hours=i), 9.99, "paid", f"{i}@example.com")
-            for i in (1, 2, 3)]
-    df = spark.createDataFrame(
-        rows, "row long, order_id string, customer_id string, order_date timestamp, total_amount double, "
-        "status string, customer_email string").drop("row")
-    made = validate(df, ORDERS, as_of=NOW)
+def test_conforming_shipments_pass(spark):
+    rows = [(parcel(i), f"D{i}", (NOW - timedelta(hours=10 * i)).isoformat(), str(i / 2), "moving", f"d{i}@depot.example")
+            for i in range(1, 6)]
+    made = validate(spark.createDataFrame(rows, SHIPPED), SHIPMENTS, as_of=NOW)
     assert made.findings.count() == 0
     summary = made.summary().first()
     assert summary["passed"] and summary["status"] == "passed" and summary["findings_total"] == 0
 
 
-def test_broken_orders(spark):
-    old = (NOW - timedelta(days=8)).isoformat()
+def test_broken_shipments(spark):
+    late = (NOW - timedelta(days=4)).isoformat()
     rows = [
-        ("ORD-1001", "CUS-10", old, "49.95", "paid", "a@example.com", "123-45-6789"),
-        ("ORD-1001", None, "not-a-date", "-12.0", "mystery", "not-email", "987-65-4321"),
-        (None, "CUS-12", NOW.isoformat(), "unknown", "pending", "c@example.com", "111-22-3333"),
+        (parcel(1), "North depot", late, "31", "lost", None, "203.0.113.9"),
+        (parcel(1), "N1", NOW.isoformat(), "heavy", "there", None, "203.0.113.10"),
+        (parcel(2), None, NOW.isoformat(), "2", "there", "someone(at)depot", "203.0.113.11"),
     ]
-    df = spark.createDataFrame(rows, "order_id string, customer_id string, order_date string, total_amount string, "
-                               "status string, customer_email string, customer_ssn string")
-    made = validate(df, ORDERS, as_of=NOW)
+    df = spark.createDataFrame(rows, SHIPPED + ", ip_address string")
+    made = validate(df, SHIPMENTS, as_of=NOW)
+    found = by_rule(made)
+    assert set(found) == {
+        ("column.unique", "parcel"), ("column.max_length", "depot"), ("column.nullable", "depot"),
+        ("column.maximum_age_hours", "scanned"), ("column.maximum", "weight"), ("column.type", "weight"),
+        ("column.allowed_values", "state"), ("column.type", "contact"), ("dataset.null_ratio.reachable", "contact"),
+        ("schema.extra_column", "ip_address"), ("privacy.unapproved_pii_signal", "ip_address")}
     s = made.summary().first()
-    assert (s["critical"], s["errors"], s["warnings"], s["findings_total"]) == (2, 8, 2, 12)
-    assert not s["passed"]
+    assert (s["critical"], s["errors"], s["warnings"], s["findings_total"], s["passed"]) == (1, 7, 3, 11, False)
     text = str(made.ranked().collect())
-    for raw in ("not-email", "mystery", "123-45-6789", "not-a-date"):
-        assert raw not in text
-    again = {r["finding_id"] for r in validate(df, ORDERS, as_of=NOW).findings.collect()}
-    assert again == {r["finding_id"] for r in made.findings.collect()}
-    assert all(len(i) == 16 for i in again)
+    assert not any(raw in text for raw in ("North depot", "heavy", "lost", "(at)", "203.0.113"))
+    again = {r["finding_id"] for r in validate(df, SHIPMENTS, as_of=NOW).findings.collect()}
+    assert again == {r["finding_id"] for r in found.values()} and all(len(i) == 16 for i in again)
     order = [r["severity"] for r in made.ranked().collect()]
     assert order == sorted(order, key=["critical", "error", "warning", "info"].index)
 
 
-def test_rule_matrix(spark):
-    rows = [(1, "A", 0.0, None, "approved", None), (2, "TOOLONG", 11.0, None, "other", "x"),
-            (3, "abc", 2.5, "ok", "pending", "x"), (4, "abc", 2.5, "ok", "pending", "x")]
-    df = spark.createDataFrame(rows, "row long, code string, quantity double, note string, status string, approval string")
+def test_every_rule_on_typed_columns(spark):
+    rows = [(i, 20.0 + i, "ok" if i % 4 else "hot", f"s{i % 6}", None if i % 5 == 0 else "north") for i in range(1, 13)]
+    rows += [(13, -300.0, "ok", "sensor-13", "north"), (14, 99.5, "hot", "S", "south"), (15, 20.25, "", "s1", "")]
+    df = spark.createDataFrame(rows, "row long, degrees double, state string, sensor string, room string")
     contract = {
-        "dataset": {"name": "rule_matrix"},
+        "dataset": {"name": "readings"},
         "rules": {
-            "code": {"type": "string", "min_length": 3, "max_length": 5, "pattern": "^[A-Z]+$"},
-            "quantity": {"type": "integer", "minimum": 1, "maximum": 10},
-            "status": {"allowed_values": ["approved", "pending"]}},
+            "degrees": {"type": "integer", "minimum": -273.15, "maximum": 40},
+            "sensor": {"min_length": 2, "max_length": 6, "pattern": "s.+"},
+            "state": {"allowed_values": ["ok", "hot"]}},
         "dataset_rules": [
-            {"name": "exact_rows", "type": "row_count", "minimum": 4, "maximum": 4},
-            {"name": "composite_key", "type": "unique_combination", "columns": ["code", "status"]},
-            {"name": "notes_complete", "type": "null_ratio", "column": "note", "max_ratio": 0.2},
-            {"name": "approval_required", "type": "conditional_not_null", "when_column": "status",
-             "when_equals": "approved", "then_column": "approval"}],
+            {"name": "enough", "type": "row_count", "minimum": 16},
+            {"name": "once", "type": "unique_combination", "columns": ["sensor", "room"]},
+            {"name": "placed", "type": "null_ratio", "column": "room", "max_ratio": 0.1},
+            {"name": "hot_room", "type": "conditional_not_null", "when_column": "state", "when_equals": "hot",
+             "then_column": "room"}],
         "privacy": {"detect_pii": False},
     }
-    found = by_rule(validate(df, contract, row_key="row"))
-    assert {rule: (r["affected_rows"], r["sample_rows"]) for (rule, _), r in found.items()} == {
-        "column.min_length": (1, [1]), "column.max_length": (1, [2]), "column.pattern": (2, [3, 4]),
-        "column.type": (2, [3, 4]), "column.minimum": (1, [1]), "column.maximum": (1, [2]),
-        "column.allowed_values": (1, [2]),
-        "dataset.unique_combination.composite_key": (2, [3, 4]),
-        "dataset.null_ratio.notes_complete": (2, [1, 2]),
-        "dataset.conditional_not_null.approval_required": (1, [1])}
-    assert found[("dataset.null_ratio.notes_complete", "note")]["observed"] == "null ratio 50.00%"
+    found = {rule: (r["affected_rows"], r["sample_rows"]) for (rule, _), r in
+             by_rule(validate(df, contract, row_key="row")).items()}
+    pairs: dict = {}
+    for r in rows:
+        pairs.setdefault((r[3], r[4]), []).append(r[0])
+    twins = sorted(x for group in pairs.values() if len(group) > 1 for x in group)
+    assert found == {
+        "column.type": (2, [14, 15]), "column.minimum": (1, [13]), "column.maximum": (1, [14]),
+        "column.min_length": (1, [14]), "column.max_length": (1, [13]), "column.pattern": (1, [14]),
+        "column.allowed_values": (1, [15]), "dataset.row_count.enough": (0, []),
+        "dataset.unique_combination.once": (len(twins), twins[:10]), "dataset.null_ratio.placed": (2, [5, 10])}
 
 
 def test_reconciliation_row(spark):
