@@ -13,7 +13,19 @@ from tablepact.streaming import checks
 from tablepact.streaming.validate import StreamValidation
 
 
+BATCHES = 3
+
+
 def stream_of(spark, sf_dir, name):
+    """The table as a stream of several micro-batches, one file each."""
+    df = table(spark, sf_dir, name)
+    folder = shared_dir(spark, "stream-source")
+    df.repartition(BATCHES).write.parquet(folder)
+    return checks.read_stream(spark, folder + "/", df.schema, files_per_batch=1)
+
+
+def stream_at_once(spark, sf_dir, name):
+    """The table as one micro-batch: with a watermark, later files would hold late rows."""
     path = f"{sf_dir}/{name}.parquet"
     return checks.read_stream(spark, path, spark.read.parquet(path).schema)
 
@@ -84,7 +96,7 @@ def stream_profile(spark, sf_dir):
            CAST(odd AS BIGINT) FROM kept""")
 def stream_windowed_quality(spark, sf_dir):
     """Rule counts per six-hour window; a window is final once the watermark passed its end."""
-    stream = stream_of(spark, sf_dir, "events")
+    stream = stream_at_once(spark, sf_dir, "events")
     rules = {"value": {"minimum": 5}, "event_type": {"allowed_values": ["click", "view", "purchase"]}}
     made = predicates.column_checks(stream.schema, Contract.from_dict(contract_of("events", rules)))
     windows = checks.windowed_quality(stream, made, "ts", "6 hours", "1 hour")

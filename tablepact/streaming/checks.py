@@ -7,6 +7,7 @@ profiles) lives in Spark's state store as mergeable aggregates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -21,7 +22,7 @@ from tablepact.functions.sizing import fits_broadcast
 from tablepact.functions.schemas import flat_schema
 from tablepact.operators import predicates, profile, samples
 from tablepact.operators.findings import FINDING_SCHEMA, merge_findings
-from tablepact.operators.keys import with_keys
+from tablepact.operators.keys import missing_references, reference_is_small, with_keys
 from tablepact.plans.history import PROFILE_SCHEMA
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,8 +47,9 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: st
     reader = spark.readStream.schema(schema).format(format).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # as a glob, one file is taken as well as a folder of files
-    return reader.load(f"{path[:-1]}[{path[-1]}]")
+    # as a glob, one file is taken as well as a folder of files; a name's own glob characters are literal
+    bare = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+    return reader.load(bare if bare[-1] in "]}*?\\" else f"{bare[:-1]}[{bare[-1]}]")
 
 
 def run_batches(stream: DataFrame, sink: str, checkpoint: str, each: Callable[[DataFrame], DataFrame]
@@ -165,9 +167,17 @@ def unmatched_rows(stream: DataFrame, column: str, reference: DataFrame,
 
 def stream_reference_misses(stream: DataFrame, column: str, reference: DataFrame,
                             reference_column: str, folder: str) -> DataFrame:
-    """How many rows lack their reference over everything available, as one row."""
-    absent = unmatched_rows(stream.select(named(column)), column, reference, reference_column)
-    sink = drain(absent, folder, each=lambda b: b.agg(F.count(F.lit(1)).alias("n")))
+    """How many rows lack their reference over everything available, as one row.
+
+    Each micro-batch is folded to (key, count) before it meets the reference, so a hot key is one row.
+    """
+    small = reference_is_small(reference, reference_column)
+
+    def absent(batch: DataFrame) -> DataFrame:
+        found = missing_references(batch, column, reference, reference_column, small=small)
+        return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+    sink = drain(stream.select(named(column)), folder, each=absent)
     done = batch_results(stream.sparkSession, sink, flat_schema("n bigint"))
     return done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("affected"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from tablepact.operators import keys, pii, predicates, samples
 from tablepact.operators.findings import SAMPLE_LIMIT, no_findings
 from tablepact.operators.schema_checks import schema_findings
 from tablepact.plans.scan import Scan
+from tablepact.plans.validate import validate
 from tablepact.streaming.checks import BATCH
 
 
@@ -29,6 +31,7 @@ class StreamValidation:
                  references: dict[str, DataFrame] | None = None, row_key: str | None = None, as_of=None):
         self.contract = Contract.from_dict(contract) if isinstance(contract, dict) else contract
         self.stream, self.folder, self.row_key = stream, folder.rstrip("/"), row_key
+        self.as_of, self.given = as_of, references
         self.checks = predicates.row_checks(stream.schema, self.contract, as_of)
         self.key_rules = keys.key_rules(stream, self.contract)
         self.references = [
@@ -87,10 +90,22 @@ class StreamValidation:
     def _merged(self, table: str) -> DataFrame:
         return self.stream.sparkSession.read.parquet(f"{self.folder}/{table}")
 
+    def _started(self) -> bool:
+        """Whether a micro-batch has left its sums."""
+        try:
+            self._merged("totals_0")
+        except AnalysisException as exc:
+            if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
+        return True
+
     def findings(self) -> DataFrame:
         """The same findings a batch validation of all rows so far would give."""
         spark = self.stream.sparkSession
         empty = spark.createDataFrame([], self.stream.schema)
+        if not self._started():
+            return validate(empty, self.contract, references=self.given, row_key=self.row_key, as_of=self.as_of).findings
         scan = self._scan(empty)
         summed = [_sums(self._merged(f"totals_{i}")) for i in range(scan.parts)]
         texts = _sums(self._merged("texts"), ["position", "column"]) if scan.has_texts else None
