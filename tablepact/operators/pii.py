@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from tablepact.contract import Contract, Privacy
 from tablepact.functions.coercion import EMAIL, as_text, missing, named, strip
+from tablepact.functions.local import taken
 from tablepact.functions.sqltext import Sql
 from tablepact.operators.findings import finding_rows, finding_sql
-from tablepact.operators.profile import first_cells, text_totals
+from tablepact.operators.profile import text_totals
 
 # Name patterns per category (case-insensitive, matched anywhere).
 NAME_PATTERNS = {
@@ -138,19 +139,28 @@ def _whole_counts(df: DataFrame) -> DataFrame:
 
 
 def sampled_counts(df: DataFrame, row_key: str | None, limit: int) -> DataFrame:
-    """(column, sampled, matches per category) over the first values of each column."""
-    order = row_key or "_position"
-    rows = df if row_key else df.withColumn(order, F.monotonically_increasing_id())  # as the source yields them
-    cells = first_cells(rows, order, limit, df.columns)
-    hits = value_detectors(F.col("value"))
-    counted = cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("sampled_values"),
-        *[F.count_if(hit).alias(category) for category, hit in hits.items()])
+    """(column, sampled, matches per category) over the first filled values of each column.
+
+    One small job per column, several at a time. Without a row key Spark opens one partition
+    after another until it has enough filled values, wherever they begin; with one, every task
+    keeps its ``limit`` first rows. Only verdicts come back, never the values.
+    """
+    parts = []
+    for f in df.schema.fields:
+        possible = possible_categories(f.dataType)
+        hits = value_detectors(as_text(named(f.name), f.dataType)) if possible else {}
+        filled = df.where(~missing(named(f.name), f.dataType))
+        ordered = filled if row_key is None else filled.orderBy(named(row_key))
+        parts.append(ordered.select(F.lit(f.name).alias("column"), *[
+            (F.coalesce(hits[c], F.lit(False)) if c in possible else F.lit(False)).alias(c) for c in VALUE_CATEGORIES]).limit(limit))
+    first = reduce(DataFrame.unionByName, taken(parts))
+    counted = first.groupBy("column").agg(
+        F.count(F.lit(1)).alias("sampled_values"), *[F.count_if(c).alias(c) for c in VALUE_CATEGORIES])
     names = F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("name")
     columns = df.sparkSession.range(0, 1, 1, 1).select(names)
     return columns.join(counted, F.col("name") == F.col("column"), "left").select(
         F.col("name").alias("column"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sampled_values", *hits)])
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sampled_values", *VALUE_CATEGORIES)])
 
 
 def pii_signals(df: DataFrame, row_key: str | None = None,

@@ -9,19 +9,17 @@ are read off them without another scan.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablepact.functions.local import taken
 from tablepact.operators import pii, profile
 from tablepact.operators.findings import finding_rows
 from tablepact.operators.predicates import RowCheck, check_finding, check_total
 
 AGGREGATES_PER_PASS = 200  # wider contracts are split; columnar sources are still read once
-JOBS_AT_ONCE = 4
 
 
 class Scan:
@@ -131,14 +129,3 @@ class Scan:
             texts = list(profile.text_columns(self.df))
             parts.append(profile.text_statistics(self._text_rows.where(F.col("position").isin(*texts))))
         return reduce(DataFrame.unionByName, parts) if parts else None
-
-
-def taken(results: list[DataFrame]) -> list[DataFrame]:
-    """Results no longer than the list of columns, computed at the same time, then local."""
-    if not results:
-        return []
-    spark = results[0].sparkSession
-    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        # job group and local properties of the caller go along
-        tables = [pool.submit(inheritable_thread_target(spark)(df.toArrow)) for df in results]
-        return [spark.createDataFrame(t.result()) for t in tables]
