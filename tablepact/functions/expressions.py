@@ -1,13 +1,11 @@
 """Arithmetic over columns for reconciliation rules: ``subtotal + tax - discount``.
 
-Only column names, numbers, ``+ - * /`` and parentheses pass the allow-list. What
-passes is evaluated once on the driver with every name bound to a Spark column, so
-the result is an ordinary ``Column`` inside whole-stage code generation.
+Column names, numbers, ``+ - * /`` and parentheses are read into one Spark column, which stays
+inside whole-stage code generation. Anything else is refused, never skipped or evaluated.
 """
 
 from __future__ import annotations
 
-import keyword
 import re
 from collections.abc import Callable
 
@@ -16,87 +14,85 @@ from pyspark.sql import functions as F
 
 MAX_EXPRESSION_LENGTH = 512  # fixed value
 
-_NAME = r"[A-Za-z_]\w*"
-_NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
-_ALLOWED = re.compile(rf"(?:\s+|{_NUMBER}|{_NAME}|[-+*/()])*")
-# powers, floor division, calls and two operands in a row are refused
-_REFUSED = re.compile(rf"\*\s*\*|/\s*/|(?:{_NAME}|{_NUMBER}|\))\s*\(|\(\s*\)")
+_TOKEN = re.compile(
+    r"\s*(?:(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?![\w.])|(?P<name>[A-Za-z_]\w*)|(?P<sign>[-+*/()]))")
 
 
 class ExpressionError(ValueError):
     """The expression is empty, too long or uses more than plain arithmetic."""
 
 
-class _Term:
-    """A DOUBLE column whose division by zero gives NULL instead of an error."""
-
-    def __init__(self, column: Column):
-        self.column = column
-
-    @staticmethod
-    def lift(value) -> _Term:
-        return value if isinstance(value, _Term) else _Term(F.lit(float(value)))
-
-    def __add__(self, other):
-        return _Term(self.column + _Term.lift(other).column)
-
-    def __sub__(self, other):
-        return _Term(self.column - _Term.lift(other).column)
-
-    def __mul__(self, other):
-        return _Term(self.column * _Term.lift(other).column)
-
-    def __truediv__(self, other):
-        return _Term(F.try_divide(self.column, _Term.lift(other).column))
-
-    def __radd__(self, other):
-        return _Term.lift(other) + self
-
-    def __rsub__(self, other):
-        return _Term.lift(other) - self
-
-    def __rmul__(self, other):
-        return _Term.lift(other) * self
-
-    def __rtruediv__(self, other):
-        return _Term.lift(other) / self
-
-    def __neg__(self):
-        return _Term(-self.column)
-
-    def __pos__(self):
-        return self
-
-
-def _checked(expression: str) -> str:
+def _tokens(expression: str) -> list[tuple[str, str]]:
     text = (expression or "").strip()
     if not text:
         raise ExpressionError("a reconciliation expression cannot be empty")
     if len(text) > MAX_EXPRESSION_LENGTH:
         raise ExpressionError(f"expression is longer than {MAX_EXPRESSION_LENGTH} characters")
-    if not _ALLOWED.fullmatch(text) or _REFUSED.search(text):
-        raise ExpressionError(f"only columns, numbers and + - * / ( ) are allowed: {text!r}")
-    if any(keyword.iskeyword(name) for name in re.findall(_NAME, text)):
-        raise ExpressionError(f"words other than column names are not allowed: {text!r}")
-    try:
-        compile(text, "<expression>", "eval")
-    except SyntaxError as exc:
-        raise ExpressionError(f"invalid arithmetic: {text!r}") from exc
-    return text
+    found, at = [], 0
+    while at < len(text):
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ExpressionError(f"only columns, numbers and + - * / ( ) are allowed, not {text[at:]!r}")
+        found.append((token.lastgroup, token[token.lastgroup]))
+        at = token.end()
+    return found
+
+
+class _Reader:
+    """Sums of products of factors, left to right."""
+
+    def __init__(self, expression: str, resolve: Callable, number: Callable = F.lit, divide: Callable = F.try_divide):
+        self.expression, self.resolve, self.number, self.divide = expression, resolve, number, divide
+        self.tokens = [*_tokens(expression), ("end", "")]
+
+    def _next(self, *signs: str) -> str | None:
+        kind, value = self.tokens[0]
+        if kind == "sign" and value in signs:
+            self.tokens.pop(0)
+            return value
+        return None
+
+    def whole(self) -> Column:
+        value = self.sum()
+        if self.tokens[0][0] != "end":
+            raise ExpressionError(f"invalid arithmetic at {self.tokens[0][1]!r} in {self.expression!r}")
+        return value
+
+    def sum(self) -> Column:
+        value = self.product()
+        while sign := self._next("+", "-"):
+            other = self.product()
+            value = value + other if sign == "+" else value - other
+        return value
+
+    def product(self) -> Column:
+        value = self.factor()
+        while sign := self._next("*", "/"):
+            other = self.factor()
+            value = value * other if sign == "*" else self.divide(value, other)  # by zero: no value
+        return value
+
+    def factor(self) -> Column:
+        if sign := self._next("+", "-"):
+            return self.factor() if sign == "+" else -self.factor()
+        if self._next("("):
+            value = self.sum()
+            if not self._next(")"):
+                raise ExpressionError(f"a parenthesis is not closed in {self.expression!r}")
+            return value
+        kind, value = self.tokens[0]
+        if kind not in ("number", "name"):
+            raise ExpressionError(f"a column or number is missing in {self.expression!r}")
+        self.tokens.pop(0)
+        return self.number(float(value)) if kind == "number" else self.resolve(value)
 
 
 def expression_columns(expression: str) -> list[str]:
-    """Column names in order of first use."""
-    bare = re.sub(rf"(?<![\w.]){_NUMBER}", " ", _checked(expression))
-    return list(dict.fromkeys(re.findall(_NAME, bare)))
+    """Column names in order of first use; an expression that cannot be read is refused here, without Spark."""
+    _Reader(expression, lambda name: 1.0, float, lambda a, b: 1.0).whole()
+    return list(dict.fromkeys(value for kind, value in _tokens(expression) if kind == "name"))
 
 
 def arithmetic(expression: str, resolve: Callable[[str], Column]) -> Column:
     """The expression as a DOUBLE column; ``resolve`` maps a name to a number column."""
-    text = _checked(expression)
-    terms = {name: _Term(resolve(name)) for name in expression_columns(text)}
-    try:
-        value = eval(compile(text, "<expression>", "eval"), {"__builtins__": {}}, terms)
-    except (ArithmeticError, NameError, SyntaxError, TypeError) as exc:
-        raise ExpressionError(f"cannot evaluate {text!r}: {exc}") from exc
-    return _Term.lift(value).column
+    return _Reader(expression, resolve).whole()

@@ -129,7 +129,7 @@ def test_arithmetic_only(spark):
     assert [r[0] for r in df.select(value).collect()] == [None, -9.5]
     assert expression_columns("2*a + x1 - a / 1e3") == ["a", "x1"]
     for bad in ("", "a ** 2", "a // b", "f(a)", "a.b", "a if b else a", "a and b", "[a]", "a b", "'x'",
-                "__import__('os')", "a; b", "a == b", "x" * 513):
+                "__import__('os')", "a; b", "a + 1_000", "a + 0x10", "(a", "a)", "a +", "a == b", "x" * 513):
         with pytest.raises(ExpressionError):
             arithmetic(bad, F.col)
 
