@@ -11,12 +11,10 @@ of ``threshold`` allows: the longest common subsequence against all labelled shi
 (in order, so a reordered text is not the same). One minus this similarity is a metric.
 
 No bucket is expanded into its pairs. Equal texts are one node. Every bucket links its members
-to its smallest node; the metric then says which further pairs can still be links: members that
-failed against it, among themselves, and those of them that are near the bound, with linked
-members at the right distance. Pairs already joined through other links are left out. Where too
-many members failed to be compared at once, they are dealt into the finer buckets of a second
-sketch and treated in the same way. Classes are connected components by alternating stars,
-so a class of any size is a matter of rounds, not of one task.
+to one head; counts of what members have and the head lacks then say which further pairs can
+still be links (see ``links``), and those that only a common addition could make similar meet
+in the buckets of the next round. Classes are connected components by alternating stars, so a
+class of any size is a matter of rounds, not of one task.
 
 Words are lower case without sentence marks. Defined results: null texts, empty ones and others
 without a word are equal texts, one class; texts of fewer than
@@ -45,7 +43,6 @@ PICKED = 3
 SKETCHES = 20
 THRESHOLD = 0.8
 BLOCK_WORDS = 1 << 18
-TOGETHER = 24  # failed members of a bucket up to which all of them are compared
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
 SEED = 0x5EED
@@ -167,21 +164,31 @@ def fetched(packed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of node pairs. Texts join their pairs and are never grouped by node."""
+    """a, b, similarity; how many shingles a and b have; and those that b has and a lacks.
+
+    Texts join their pairs and are never grouped by node.
+    """
     both = (pairs.join(texts.select(F.col("node").alias("b"), F.col("codes").alias("of_b")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("codes").alias("of_a")), "a"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, held, labels = [], None, None
+            found, sizes, added, held, labels = [], [], [], None, None
             for x, y in zip(lists_of(batch.column("of_a")), lists_of(batch.column("of_b"))):
                 if held is None or not np.array_equal(held, x):
                     held, labels = x, labelled_shingles(x)
-                found.append(aligned(labels, labelled_shingles(y), threshold))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())],
-                                             names=["a", "b", "similarity"])
+                own = labelled_shingles(y)
+                found.append(aligned(labels, own, threshold))
+                sizes.append((len(labels), len(own)))
+                added.append(np.setdiff1d(own, labels, assume_unique=True).view(np.int64))
+            n, m = zip(*sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(found, pa.float64()), pa.array(n, pa.int64()),
+                 pa.array(m, pa.int64()), pa.array(added, pa.list_(pa.int64()))],
+                names=["a", "b", "similarity", "n_a", "n_b", "added"])
 
-    return stored(both.select("a", "b", "of_a", "of_b").mapInArrow(align, "a long, b long, similarity double"), "near-scores")
+    schema = "a long, b long, similarity double, n_a long, n_b long, added array<long>"
+    return stored(both.select("a", "b", "of_a", "of_b").mapInArrow(align, schema), "near-scores", compression="zstd")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,61 +222,68 @@ def _with_roots(rows: DataFrame, roots: DataFrame, node: str, name: str) -> Data
         .withColumn(name, F.coalesce(name, node))
 
 
-def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
+def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified (a, b) whose components are those of all similar pairs that share a bucket.
 
-    ``keyed``: node, keys, one row per distinct text with words.
+    ``keyed``: node, keys, one row per distinct text with words. Each round links the members of
+    a bucket to its head, the member that shares most buckets with others. Let a member have
+    ``plus`` shingles that the head lacks and lack ``minus`` of the head's. Two members without a
+    common plus differ by at least ``plus + plus' + |minus - minus'|``; where that is too much for
+    a link, only a shared plus can make them similar. So the pairs still to be tested are those
+    the sum allows, and those that meet in a bucket of a shared plus: the next round's buckets,
+    which no longer hold the head. Pairs of one component are never tested.
     """
-    slack = 1 - threshold
-    bands = keyed.select(F.explode("keys").alias("bucket"), "node").withColumn("used", F.array("bucket"))
+    share = (1 - threshold) / (1 + threshold)  # similar texts differ by at most this part of their joint size
+    bands = keyed.select(F.explode("keys").alias("bucket"), "node")
     texts = found = None
     while True:
         # buckets with one node have no pair
-        heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-        members = stored(bands.join(heads.select("bucket", "head"), "bucket"), "near-members")
+        sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        crowded = stored(bands.join(sizes, "bucket"), "near-crowded")
+        popular = crowded.groupBy("node").agg(F.sum("n").alias("company"))
+        members = stored(crowded.join(popular, "node").select("bucket", "node", F.struct("company", -F.col("node")).alias("rank")), "near-members")
+        heads = members.groupBy("bucket").agg((-F.max("rank")["col2"]).alias("head"))
+        tested = members.join(heads, "bucket").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         if texts is None:
             texts = fetched(packed, members.select("node").distinct())
-        tested = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         scores = verified(texts, tested, threshold)
         good = scores.filter(F.col("similarity") >= threshold).select("a", "b")
         found = good if found is None else found.unionByName(good)
         roots = components(found)
 
-        scored = members.join(scores.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity"), ["head", "node"])
+        common = F.col("n_b") - F.size("added")
+        scored = scores.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity", F.col("n_b").alias("n"),
+                               F.size("added").cast("long").alias("plus"), (F.col("n_a") - common).alias("minus"), "added")
         scored = _with_roots(_with_roots(scored, roots, "node", "root"), roots, "head", "head_root")
-        scored = stored(scored, "near-scored")
+        scored = stored(scored, "near-scored", compression="zstd")
         # not similar to the head, and not joined to it by other links either
-        crowds = scored.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root")))
-        sizes = crowds.groupBy("bucket").agg(F.count("*").alias("crowd"))
-        failed = stored(crowds.join(sizes, "bucket"), "near-failed")
+        failed = scored.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root")))
         if failed.isEmpty():
             return found
-
-        few = failed.filter(F.col("crowd") <= together)
-        among = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a")).join(
-            few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b")), "bucket").filter("a < b AND root_a <> root_b")
-        # by the metric, a failed member may still be linked to members that the head is linked to
-        edge = failed.filter(F.col("similarity") >= 1 - 2 * slack).select(
-            "bucket", F.col("node").alias("a"), F.col("similarity").alias("of_a"), F.col("root").alias("root_a"))
-        linked = scored.filter((F.col("similarity") >= threshold) & (F.col("similarity") < 1)).select(
-            "bucket", F.col("node").alias("b"), F.col("similarity").alias("of_b"), F.col("root").alias("root_b"))
-        beside = edge.join(linked, "bucket").filter(
-            (F.col("root_a") != F.col("root_b")) & (F.col("of_b") - F.col("of_a") <= slack + 1e-9))
-        pairs = stored(among.select("a", "b").unionByName(beside.select("a", "b")).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        rest = scored.join(failed.select("head").distinct(), "head", "left_semi")
+
+        x = failed.select("head", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"),
+                          F.col("plus").alias("plus_a"), F.col("minus").alias("minus_a"))
+        y = rest.select(F.col("head").alias("head_b"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
+                        F.col("plus").alias("plus_b"), F.col("minus").alias("minus_b"))
+        least = F.col("plus_a") + F.col("plus_b") + F.abs(F.col("minus_a") - F.col("minus_b"))
+        may = (F.col("root_a") != F.col("root_b")) & (least <= share * (F.col("n_a") + F.col("n_b")) + 1e-6)
+        near = x.join(y, (F.col("head") == F.col("head_b")) & may)
+        pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         if not pairs.isEmpty():
-            found = found.unionByName(verified(texts, pairs, threshold).filter(F.col("similarity") >= threshold).select("a", "b"))
-
-        # finer buckets inside crowded ones: by every sketch not yet used on the way
-        many = failed.filter(F.col("crowd") > together).select("node", "used").join(keyed, "node")
-        finer = many.select("node", "used", F.explode(F.array_except("keys", "used")).alias("key")).withColumn(
-            "used", F.array_sort(F.concat("used", F.array("key"))))
-        bands = stored(finer.select(F.xxhash64("used").alias("bucket"), "node", "used").distinct(), "near-finer")
+            again = verified(texts, pairs, threshold)
+            found = found.unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
+
+        shared = rest.select(F.explode("added").alias("plus_one"), "head", "node",
+                             ((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root"))).alias("open"))
+        finer = shared.withColumn("bucket", F.xxhash64("head", "plus_one"))
+        live = finer.groupBy("bucket").agg(F.max("open").alias("open"), F.count("*").alias("n")).filter("open AND n > 1")
+        bands = stored(finer.join(live, "bucket", "left_semi").select("bucket", "node"), "near-finer")
         if bands.isEmpty():
             return found
 
 
-def _classed(docs: DataFrame, threshold: float, together: int = TOGETHER) -> DataFrame:
+def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, mark (hash of the text as it is), node, root of every row."""
     packed = stored(blocks(docs), "near-blocks", compression="uncompressed")
     narrow = packed.select("block", F.posexplode(F.arrays_zip("doc_ids", "marks", "digests")).alias("i", "row")).select(
@@ -278,7 +292,7 @@ def _classed(docs: DataFrame, threshold: float, together: int = TOGETHER) -> Dat
     rows = stored(narrow.join(firsts, "digest").select("doc_id", "mark", "own", "node"), "near-rows")
     keyed = packed.select("block", F.posexplode("keys").alias("i", "keys")).select(_node("block", "i").alias("node"), "keys")
     keyed = stored(keyed.join(rows.filter("own = node").select("node"), "node", "left_semi"), "near-keys", compression="zstd")
-    roots = components(links(packed, keyed, threshold, together))
+    roots = components(links(packed, keyed, threshold))
     return _with_roots(rows, roots, "node", "root")
 
 
@@ -286,10 +300,9 @@ def _node(block: str, i: str):
     return F.shiftleft(F.col(block), ROW_BITS) + F.col(i)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-            together: int = TOGETHER) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_rows per row of ``df``."""
-    rows = stored(_classed(ids_and_texts(df, id_col, text_col), threshold, together), "near-classed")
+    rows = stored(_classed(ids_and_texts(df, id_col, text_col), threshold), "near-classed")
     named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return rows.join(named, "root").select("doc_id", "class_id", "class_rows")
 

@@ -172,16 +172,23 @@ def near_copies(seed: int) -> list[str]:
             text[rng.randrange(len(text))] = word()
             made.append(" ".join(text))
         made.append(made[-1])
+    # one text with many independently edited copies, some cut short, around the threshold
+    base = [word() for _ in range(100)]
+    for k in range(30):
+        text = list(base)
+        for _ in range(k % 4):
+            text[rng.randrange(len(text))] = word()
+        made.append(" ".join(text[:100 - 3 * (k % 7)]))
     for _ in range(25):
         made.append(" ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)]))
     return made
 
 
-@pytest.mark.parametrize("together", [near_dedup.TOGETHER, 1])
-def test_classes_of_chains(spark, together):
-    rows = list(enumerate(near_copies(5)))
+@pytest.mark.parametrize("seed", [5, 6])
+def test_classes_of_chains(spark, seed):
+    rows = list(enumerate(near_copies(seed)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_dedup.classes(df, together=together).collect()
+    found = near_dedup.classes(df).collect()
     want = brute.classes([d for d, _ in rows], [t for _, t in rows])
     assert {r["doc_id"]: r["class_id"] for r in found} == want
     assert all(r["class_rows"] == list(want.values()).count(r["class_id"]) for r in found)
