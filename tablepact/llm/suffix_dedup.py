@@ -43,8 +43,8 @@ from tablepact.llm.common import packed_rows, small_batches, stored, text_of, un
 
 LENGTH = 200
 GRAM = 40
-BLOCK_BYTES = 4 << 20
-SHARD_CONTEXTS = 12_000
+BLOCK_BYTES = 1 << 20
+SHARD_CONTEXTS = 5_000
 BASE, SECOND_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,16 +54,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2 ... modulo 2**64; kept for the task's next block."""
+    held = _POWERS.get(base)
+    if held is None or len(held) <= n:
+        factors = np.full(n + 1, base, dtype=np.uint64)
+        factors[0] = 1
+        held = np.cumprod(factors, dtype=np.uint64)
+        if n <= 2 * BLOCK_BYTES:
+            _POWERS[base] = held
+    return held
+
+
 class Rolling:
     """Hashes of any slices of one byte array, from prefix sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray, base: np.uint64) -> None:
-        n = len(data)
+        n, odd = len(data), int(base) | 1
         values = _mixed(np.arange(256, dtype=np.uint64) + base)
-        inverse = np.uint64(pow(int(base) | 1, -1, 1 << 64))
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base | np.uint64(1))]), dtype=np.uint64)
-        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * power[:n], dtype=np.uint64)])
+        self.back = _powers(pow(odd, -1, 1 << 64), n)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values[data] * _powers(odd, n)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.back[start]
@@ -127,7 +141,21 @@ def texts_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), ends
 
 
-BLOCKS = "block long, rows binary, anchors array<long>, contexts array<long>, counts array<int>"
+BLOCKS = "block long, rows binary, runs binary, anchors array<long>, contexts array<long>, counts array<int>"
+
+
+def _coded(runs: Runs, back: np.ndarray) -> bytes:
+    """First window, width and context number of every run, small numbers first."""
+    numbers = np.concatenate([np.diff(runs.first, prepend=0), runs.last - runs.first, back])
+    return len(back).to_bytes(8, "little") + pa.compress(numbers.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window and context number of every run."""
+    n = int.from_bytes(data[:8], "little")
+    numbers = np.frombuffer(pa.decompress(data[8:], 12 * n, "zstd", asbytes=True), dtype="<i4").astype(np.int64)
+    first = np.cumsum(numbers[:n])
+    return first, first + numbers[n:2 * n], numbers[2 * n:]
 
 
 def blocks(df: DataFrame, text_col: str, length: int, block_bytes: int) -> DataFrame:
@@ -137,13 +165,13 @@ def blocks(df: DataFrame, text_col: str, length: int, block_bytes: int) -> DataF
         serial = TaskContext.get().partitionId() << 32
         for batch in small_batches(batches, text_col, block_bytes):
             runs = Runs(*texts_of(batch, text_col), length)
-            pair, _, counts = _distinct(runs)
+            pair, back, counts = _distinct(runs)
             one = lambda x, t: pa.array([x], t)
             yield pa.RecordBatch.from_arrays(
-                [one(serial, pa.int64()), one(packed_rows(batch), pa.binary()),
+                [one(serial, pa.int64()), one(packed_rows(batch), pa.binary()), one(_coded(runs, back), pa.binary()),
                  one(runs.anchor[pair].view(np.int64), pa.list_(pa.int64())),
                  one(runs.context[pair].view(np.int64), pa.list_(pa.int64())), one(counts, pa.list_(pa.int32()))],
-                names=["block", "rows", "anchors", "contexts", "counts"])
+                names=["block", "rows", "runs", "anchors", "contexts", "counts"])
             serial += 1
 
     return df.mapInArrow(pack, BLOCKS)
@@ -174,15 +202,15 @@ def _contexts(text_col: str, length: int):
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends = texts_of(unpacked_rows(row["rows"]), text_col)
-                runs = Runs(data, ends, length)
-                pair, _, _ = _distinct(runs)
+                data, _ = texts_of(unpacked_rows(row["rows"]), text_col)
+                first, last, number = _decoded(row["runs"])
+                _, pair = np.unique(number, return_index=True)
                 raw, wanted = data.tobytes(), row["wanted"]
                 chosen = pair[[w["k"] for w in wanted]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(wanted), pa.int64()), pa.array([w["k"] for w in wanted], pa.int32()),
                      pa.array([w["shard"] for w in wanted], pa.int64()), pa.array([w["dealt"] for w in wanted], pa.bool_()),
-                     pa.array([raw[a:b + length] for a, b in zip(runs.first[chosen], runs.last[chosen])], pa.binary())],
+                     pa.array([raw[a:b + length] for a, b in zip(first[chosen], last[chosen])], pa.binary())],
                     names=["block", "k", "shard", "dealt", "bytes"])
     return take
 
@@ -322,7 +350,7 @@ def shard_hits(packed: DataFrame, may: DataFrame, text_col: str, length: int, sh
         .otherwise(F.pmod("anchor", F.lit(shards)))
     requests = wanted.select("block", F.struct("k", shard.cast("long").alias("shard"), dealt.alias("dealt")).alias("w")) \
         .groupBy("block").agg(F.collect_list("w").alias("wanted"))  # no more than a block has runs
-    contexts = packed.select("block", "rows").join(requests, "block").mapInArrow(
+    contexts = packed.select("block", "rows", "runs").join(requests, "block").mapInArrow(
         _contexts(text_col, length), "block long, k int, shard long, dealt boolean, bytes binary")
     found = stored(contexts.groupBy("shard").applyInPandas(_shard(length), FOUND), "suffix-hits")
     own = found.filter(F.size("hits") > 0).select("block", "k", "hits")
@@ -344,15 +372,15 @@ def _cut(text_col: str, length: int, as_rows: bool):
                 gone = np.zeros(len(data) + 1, dtype=np.int32)
                 whole, parts = batch.column("whole")[k].as_py(), batch.column("parts")[k].as_py()
                 if whole or parts:
-                    runs = Runs(data, ends, length)
-                    pair, back, _ = _distinct(runs)
+                    first, last, number = _decoded(batch.column("runs")[k].as_py())
+                    _, pair = np.unique(number, return_index=True)
                     every = np.zeros(len(pair), dtype=bool)
                     every[whole or []] = True
-                    hit = every[back]
-                    np.add.at(gone, runs.first[hit], 1)
-                    np.add.at(gone, runs.last[hit] + length, -1)
+                    hit = every[number]
+                    gone[first[hit]] += 1  # runs start, and end, at different windows
+                    np.add.at(gone, last[hit] + length, -1)
                     for part in parts or []:
-                        start, bounds = int(runs.first[pair[part["k"]]]), part["hits"]
+                        start, bounds = int(first[pair[part["k"]]]), part["hits"]
                         for a, b in zip(bounds[::2], bounds[1::2]):
                             gone[start + a] += 1
                             gone[start + b + length] -= 1
@@ -395,7 +423,7 @@ def _searched(df: DataFrame, text_col: str, length: int, block_bytes: int, shard
     whole = may.filter("copies > 1").groupBy("block").agg(F.collect_list("k").alias("whole"))
     parts = shard_hits(packed, may.filter("rivals > 1"), text_col, length, shard_contexts) \
         .groupBy("block").agg(F.collect_list(F.struct("k", "hits")).alias("parts"))
-    return (packed.select("block", "rows").join(whole.join(parts, "block", "full"), "block", "left")
+    return (packed.select("block", "rows", "runs").join(whole.join(parts, "block", "full"), "block", "left")
             .mapInArrow(_cut(text_col, length, as_rows), schema))
 
 
