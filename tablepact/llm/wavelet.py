@@ -125,13 +125,15 @@ class WaveletMatrix:
         return block * BLOCK_BITS + int(np.flatnonzero(bits == one)[k - int(before[block])])
 
     def decode(self) -> np.ndarray:
-        """All values: the order of each level is followed down, then undone once."""
-        both = np.arange(self.n, dtype=np.uint64)  # position below, value above
-        for level in range(self.bits):
+        """All values, from the lowest level up: each level's zeros and ones go back to where they stood."""
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, dtype=kind)
+        for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            both = np.concatenate([both[~one], both[one] | np.uint64(1 << (63 - level))])
-        out = np.empty(self.n, dtype=np.uint32)
-        out[both & np.uint64(0xFFFFFFFF)] = both >> np.uint64(64 - self.bits)
+            zeros, below = int(self.zeros[level]), out
+            out = np.empty(self.n, dtype=kind)
+            out[~one] = below[:zeros]
+            out[one] = below[zeros:] | kind(1 << (self.bits - 1 - level))
         return out
 
 
@@ -158,7 +160,7 @@ def write_matrices(df: DataFrame, path: str, tokenizer_path: str, id_col: str =
         words = WordTokenizer(tokenizer_path)
         bits = max(1, int(words.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         shard, block, held, owners, coded = TaskContext.get().partitionId(), 0, 0, [], []
-        for batch in small_batches(batches, limit=16 << 20):
+        for batch in small_batches(batches, limit=8 << 20):
             of = batch.schema.field("doc_id").type
             for owner, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"), end_id)):
                 if held and held + len(ids) // 4 > matrix_tokens:
