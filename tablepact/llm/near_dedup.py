@@ -43,6 +43,7 @@ PICKED = 3
 SKETCHES = 20
 THRESHOLD = 0.8
 BLOCK_WORDS = 1 << 18
+TOGETHER = 24  # members of a later round's bucket up to which they are compared with one another at once
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
 SEED = 0x5EED
@@ -222,7 +223,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame, node: str, name: str) -> Data
         .withColumn(name, F.coalesce(name, node))
 
 
-def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
     """Verified (a, b) whose components are those of all similar pairs that share a bucket.
 
     ``keyed``: node, keys, one row per distinct text with words. Each round links the members of
@@ -274,11 +275,20 @@ def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD) ->
             again = verified(texts, pairs, threshold)
             found = found.unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
 
-        shared = rest.select(F.explode("added").alias("plus_one"), "head", "node",
-                             ((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root"))).alias("open"))
-        finer = shared.withColumn("bucket", F.xxhash64("head", "plus_one"))
-        live = finer.groupBy("bucket").agg(F.max("open").alias("open"), F.count("*").alias("n")).filter("open AND n > 1")
-        bands = stored(finer.join(live, "bucket", "left_semi").select("bucket", "node"), "near-finer")
+        is_open = (F.col("similarity") < threshold) & (F.col("root") != F.col("head_root"))
+        finer = rest.select("head", "node", "root", is_open.alias("open"), F.explode("added").alias("plus_one"))
+        finer = finer.withColumn("bucket", F.xxhash64("head", "plus_one"))
+        live = finer.groupBy("bucket").agg(F.max("open").alias("any_open"), F.count("*").alias("n")).filter("any_open AND n > 1")
+        met = stored(finer.join(live.select("bucket", "n"), "bucket").select("bucket", "node", "root", "open", "n"), "near-finer")
+        # a handful of members are compared at once, each with at most ``together`` others
+        few = met.filter(F.col("n") <= together)
+        other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("open").alias("open_b"))
+        direct = few.join(other, "bucket").filter("node < b AND root <> root_b AND (open OR open_b)")
+        direct = stored(direct.select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
+        if not direct.isEmpty():
+            again = verified(texts, direct, threshold)
+            found = found.unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
+        bands = met.filter(F.col("n") > together).select("bucket", "node")
         if bands.isEmpty():
             return found
 
