@@ -1,14 +1,17 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles, each labelled with its occurrence number, so a
-text holds every labelled shingle once. A sketch samples the ``PICKED`` smallest of them under
+A text is its sequence of five-word shingles. For sampling, each is labelled with its occurrence
+number, so a text holds every labelled shingle once. A sketch samples the ``PICKED`` smallest of them under
 one hash function and keeps them in text order: two sketches agree when the same shingles are
 smallest *and* stand in the same order, which follows edit similarity. ``SKETCHES`` sketches
-are the bands; at a similarity of 0.8 all of them differ with a probability below 1e-6.
+are the bands; at a similarity of 0.8 all of them differ with a probability below 1e-6 where no
+passage repeats (an edit moves the later labels of a repeated one, which can change their order).
 
-Candidates are verified by aligning the two shingle sequences within the band that a similarity
-of ``threshold`` allows: the longest common subsequence against all labelled shingles of both
-(in order, so a reordered text is not the same). One minus this similarity is a metric.
+Candidates are verified by aligning the two shingle sequences, without labels, within the band that
+a similarity of ``threshold`` allows: the longest common subsequence against all shingles of both
+(in order, so a reordered text is not the same). One minus this similarity is a metric. Labelled
+shingles that two texts share are their shingles in common, repeats counted: no alignment has more
+of them, so counts of labelled shingles bound the similarity.
 
 No bucket is expanded into its pairs. Equal texts are one node. Every bucket links its members
 to one head; counts of what members have and the head lacks then say which further pairs can
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ PICKED = 3
 SKETCHES = 20
 THRESHOLD = 0.8
 BLOCK_WORDS = 1 << 18
+MEETINGS = 4  # equal shingles of two texts to each of their shingles, above which they are aligned by bits
+WIDE = 1 << 13
 TOGETHER = 24  # members of a later round's bucket up to which they are compared with one another at once
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
@@ -61,8 +67,8 @@ def word_codes(text):
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def labelled_shingles(codes: np.ndarray) -> np.ndarray:
-    """One distinct hash per shingle occurrence, in text order."""
+def shingles(codes: np.ndarray) -> np.ndarray:
+    """One hash per shingle, in text order."""
     codes = codes.view(np.uint64)
     n = len(codes) - SHINGLE_WORDS + 1
     if n <= 0:
@@ -70,6 +76,12 @@ def labelled_shingles(codes: np.ndarray) -> np.ndarray:
     shingle = np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE_WORDS):
         shingle = _mixed(shingle * np.uint64(31) + codes[k:k + n] + np.uint64(k))
+    return shingle
+
+
+def labelled(shingle: np.ndarray) -> np.ndarray:
+    """One distinct hash per shingle occurrence, in text order."""
+    n = len(shingle)
     order = np.argsort(shingle, kind="stable")
     ordered = shingle[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -101,24 +113,58 @@ def order_sketches(labels: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity of two labelled shingle sequences; below ``threshold`` an upper bound of it."""
+    """Similarity of two shingle sequences, exact from ``threshold`` on; otherwise some number below it."""
     n, m = len(a), len(b)
-    place = {x: j for j, x in enumerate(b.tolist())}
-    found = [place.get(x, -1) for x in a.tolist()]
-    both = sum(j >= 0 for j in found)
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b.tolist()):
+        places.setdefault(x, []).append(j)
+    counts = Counter(x for x in a.tolist() if x in places)
+    both = sum(min(k, len(places[x])) for x, k in counts.items())
     bound = both / (n + m - both)
     if bound < threshold:
         return bound
     # to reach the threshold, at most so many shingles stand alone: wider shifts cannot take part
     band = int((n + m) * (1 - threshold) / (1 + threshold)) + 1
-    tails: list[int] = []  # longest increasing run of places, each label being unique
-    for i, j in enumerate(found):
-        if j >= 0 and -band <= i - j <= band:
-            k = bisect_left(tails, j)
-            tails[k:k + 1] = [j]
+    if sum(k * len(places[x]) for x, k in counts.items()) > MEETINGS * (n + m):
+        common = _common_by_bits(a.tolist(), b.tolist(), band)
+        return common / (n + m - common)
+    tails: list[int] = []  # longest increasing run of places; those of one shingle from the last to the first
+    for i, x in enumerate(a.tolist()):
+        for j in reversed(places.get(x, ())):
+            if -band <= i - j <= band:
+                k = bisect_left(tails, j)
+                tails[k:k + 1] = [j]
     return len(tails) / (n + m - len(tails))
 
 
+def _common_by_bits(a: list[int], b: list[int], band: int) -> int:
+    """Length of the longest common subsequence within the band, for sequences of often repeated values.
+
+    Bits of one number stand for ``WIDE`` places of ``b``: 0 where the length grows by one there. A
+    block of places takes the rows of ``a`` within the band, and hands the carries to its right neighbour.
+    """
+    carries, first, left = [], 0, 0  # carries of the block to the left from its row ``first`` on; the length at its right edge there
+    for low in range(0, len(b), WIDE):
+        some = b[low:low + WIDE]
+        width, masks = len(some), {}
+        for j, x in enumerate(some):
+            masks[x] = masks.get(x, 0) | 1 << j
+        full, start = (1 << width) - 1, max(0, low - band)
+        left += sum(carries[:max(0, start - first)])
+        carries = carries[max(0, start - first):]
+        rows, made, bits = a[start:low + width + band], [], full
+        for i, x in enumerate(rows):
+            mask = masks.get(x, 0)
+            carry = carries[i] if i < len(carries) else 0
+            if mask or carry:
+                total = bits + (bits & mask) + carry
+                bits, carry = (total | (bits & ~mask)) & full, total >> width
+            made.append(carry)
+        length = left + sum(carries) + width - bits.bit_count()
+        carries, first = made, start
+    return length
+
+
 BLOCKS = "block long, rows binary, doc_ids array<{kind}>, marks array<long>, digests array<binary>, keys array<array<long>>"
 ROW_BITS = 16  # a node is a block's number and a row in it
 
@@ -134,7 +180,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             digests, keys = [], []
             for own in lists_of(batch.column("codes")):
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                keys.append(order_sketches(labelled_shingles(own)).view(np.int64).tolist() if len(own) else [])
+                keys.append(order_sketches(labelled(shingles(own))).view(np.int64).tolist() if len(own) else [])
             one = lambda x, t: pa.array([x], t)
             ids, ends = batch.column("doc_id"), pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -165,7 +211,7 @@ def fetched(packed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity; how many shingles a and b have; and those that b has and a lacks.
+    """a, b, similarity; how many shingles a and b have; and the labelled ones that b has and a lacks.
 
     Texts join their pairs and are never grouped by node.
     """
@@ -174,14 +220,15 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, added, held, labels = [], [], [], None, None
+            found, sizes, added, held, head, labels = [], [], [], None, None, None
             for x, y in zip(lists_of(batch.column("of_a")), lists_of(batch.column("of_b"))):
                 if held is None or not np.array_equal(held, x):
-                    held, labels = x, labelled_shingles(x)
-                own = labelled_shingles(y)
-                found.append(aligned(labels, own, threshold))
-                sizes.append((len(labels), len(own)))
-                added.append(np.setdiff1d(own, labels, assume_unique=True).view(np.int64))
+                    held, head = x, shingles(x)
+                    labels = labelled(head)
+                own = shingles(y)
+                found.append(aligned(head, own, threshold))
+                sizes.append((len(head), len(own)))
+                added.append(np.setdiff1d(labelled(own), labels, assume_unique=True).view(np.int64))
             n, m = zip(*sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(found, pa.float64()), pa.array(n, pa.int64()),
@@ -228,7 +275,7 @@ def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, tog
 
     ``keyed``: node, keys, one row per distinct text with words. Each round links the members of
     a bucket to its head, the member that shares most buckets with others. Let a member have
-    ``plus`` shingles that the head lacks and lack ``minus`` of the head's. Two members without a
+    ``plus`` labelled shingles that the head lacks and lack ``minus`` of the head's. Two members without a
     common plus differ by at least ``plus + plus' + |minus - minus'|``; where that is too much for
     a link, only a shared plus can make them similar. So the pairs still to be tested are those
     the sum allows, and those that meet in a bucket of a shared plus: the next round's buckets,
