@@ -7,7 +7,6 @@ profiles) lives in Spark's state store as mergeable aggregates.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -24,6 +23,7 @@ from tablepact.operators import predicates, profile, samples
 from tablepact.operators.findings import FINDING_SCHEMA, merge_findings
 from tablepact.operators.keys import missing_references, reference_is_small, with_keys
 from tablepact.plans.history import PROFILE_SCHEMA
+from tablepact.streaming.columns import SourceColumns, literal_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
@@ -43,19 +43,22 @@ def state_on_disk(spark: SparkSession):
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet",
                 files_per_batch: int | None = None, **options) -> DataFrame:
-    """A file or folder as a stream with a declared schema (columns cannot drift)."""
+    """A file or folder as a stream with a declared schema; a query stops at files with other columns."""
     reader = spark.readStream.schema(schema).format(format).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # as a glob, one file is taken as well as a folder of files; a name's own glob characters are literal
-    bare = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+    bare = literal_path(path.rstrip("/"))
     return reader.load(bare if bare[-1] in "]}*?\\" else f"{bare[:-1]}[{bare[-1]}]")
 
 
 def run_batches(stream: DataFrame, sink: str, checkpoint: str, each: Callable[[DataFrame], DataFrame]
                 | None = None, mode: str = "append") -> StreamingQuery:
     """Start the stream; every batch is written to its own folder, replaced if retried."""
+    columns = SourceColumns(stream, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        columns.check(batch_id)
         out = batch if each is None else each(batch)
         out.write.mode("overwrite").parquet(f"{sink}/{BATCH}={batch_id}")
 

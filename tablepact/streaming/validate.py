@@ -1,7 +1,7 @@
 """A whole contract on a stream.
 
 Every micro-batch leaves what can be merged later: sums of all conditional counts, keys
-folded to (key, count), unmatched references and example rows. Each goes to the batch's
+folded to (key, count) with their smallest rows, unmatched references and example rows. Each goes to the batch's
 own folder, replaced if the batch is retried, so the merged result is exact whatever
 happened on the way. Merging reads those small tables, not the stream.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.contract import Contract
+from tablepact.functions.coercion import named
 from tablepact.functions.hashing import key_digest
 from tablepact.operators import keys, pii, predicates, samples
 from tablepact.operators.findings import SAMPLE_LIMIT, no_findings
@@ -22,6 +23,7 @@ from tablepact.operators.schema_checks import schema_findings
 from tablepact.plans.scan import Scan
 from tablepact.plans.validate import validate
 from tablepact.streaming.checks import BATCH
+from tablepact.streaming.columns import SourceColumns
 
 
 class StreamValidation:
@@ -39,6 +41,7 @@ class StreamValidation:
             for name, rule in keys.reference_rules(stream, self.contract)
             for ref in [keys.reference_of(references or {}, rule)]
         ]
+        self.columns = SourceColumns(stream, f"{self.folder}/checkpoint")
 
     def start(self, **trigger):
         """Start processing; by default everything available now, then stop."""
@@ -57,36 +60,45 @@ class StreamValidation:
         def write(df: DataFrame, table: str) -> None:
             df.write.mode("overwrite").parquet(f"{self.folder}/{table}/{BATCH}={batch_id}")
 
+        self.columns.check(batch_id)
         batch.persist()  # several passes over one micro-batch, read from the source once
         try:
             scan = self._scan(batch)
             scan.run()
             for name, df in scan.results().items():
                 write(df, name)
-            folded = [
-                counts.select(
-                    F.lit(rule_id).alias("rule_id"),
-                    key_digest(*[F.col(c).cast("string") for c in counts.columns if c != "n"]).alias("key"), "n")
-                for rule_id, counts in (
-                    (_key_id(rule_id, column), keys.key_counts(batch, columns))
-                    for rule_id, column, columns, _ in self.key_rules)
-            ]
+            folded = [_digested(_key_id(rule_id, column), keys.key_counts(batch, columns), "n")
+                      for rule_id, column, columns, _ in self.key_rules]
             if folded:
                 write(reduce(DataFrame.unionByName, folded), "keys")
-            absent = [
-                keys.missing_references(batch, rule.column, ref, rule.reference_column, small=small)
-                .agg(F.lit(name).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+            missing = [
+                (name, rule, ref, keys.missing_references(batch, rule.column, ref, rule.reference_column, self.row_key, small=small))
                 for name, rule, ref, small in self.references
             ]
+            absent = [found.agg(F.lit(name).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+                      for name, _, _, found in missing]
             if absent:
                 write(reduce(DataFrame.unionByName, absent), "absent")
             if self.row_key is not None:
-                parts = samples.check_samples(batch, scan.broken(), self.row_key)
+                if self.key_rules:
+                    rows = [self._key_rows(batch, rule_id, column, columns) for rule_id, column, columns, _ in self.key_rules]
+                    write(reduce(DataFrame.unionByName, rows), "key_rows")
+                parts = samples.check_samples(batch, scan.broken(), self.row_key) + [
+                    keys.reference_samples(batch, rule.column, found, ref, rule.reference_column, self.row_key).select(
+                        F.lit(f"dataset.reference_exists.{name}").alias("rule_id"), F.lit(rule.column).alias("column"), "sample_rows")
+                    for name, rule, ref, found in missing]
                 if parts:
                     write(reduce(DataFrame.unionByName, parts), "samples")
         finally:
             batch.unpersist()
 
+    def _key_rows(self, batch: DataFrame, rule_id: str, column: str | None, columns: list[str]) -> DataFrame:
+        """The smallest rows of every key: later rows may make any key a duplicate."""
+        names = [f"k{i}" for i in range(len(columns))]
+        rows = keys.with_keys(batch, columns, [self.row_key]).select(*names, named(self.row_key).cast("bigint").alias("_row"))
+        few = samples.smallest_per_group(rows.where("_row IS NOT NULL"), names, "_row", SAMPLE_LIMIT)
+        return _digested(_key_id(rule_id, column), few.select(*names, F.col("_row").alias("row")), "row")
+
     def _merged(self, table: str) -> DataFrame:
         return self.stream.sparkSession.read.parquet(f"{self.folder}/{table}")
 
@@ -112,12 +124,19 @@ class StreamValidation:
         scan.load(summed, texts)
 
         found = [schema_findings(empty, self.contract), scan.findings()]
+        examples = []
+        if self.row_key is not None and (scan.broken() or self.references):
+            examples.append(self._merged("samples").select("rule_id", "column", F.explode("sample_rows").alias("row")))
         if self.key_rules:
             per_key = self._merged("keys").groupBy("rule_id", "key").agg(F.sum("n").alias("n")).where("n > 1")
             affected = per_key.groupBy("rule_id").agg(F.sum("n").alias("affected"))
             for rule_id, column, _, texts_of in self.key_rules:
                 one = affected.where(F.col("rule_id") == _key_id(rule_id, column)).select("affected")
                 found.append(keys.count_findings(one, rule_id=rule_id, column=column, **texts_of))
+                if self.row_key is not None:
+                    same = F.col("rule_id") == _key_id(rule_id, column)
+                    rows = self._merged("key_rows").where(same).join(per_key.where(same).select("key"), "key", "left_semi")
+                    examples.append(rows.select(F.lit(rule_id).alias("rule_id"), F.lit(column).cast("string").alias("column"), "row"))
         for name, rule, _, _ in self.references:
             one = self._merged("absent").where(F.col("rule") == name).agg(F.sum("n").alias("affected"))
             found.append(keys.count_findings(one, **keys.reference_texts(name, rule)))
@@ -125,9 +144,9 @@ class StreamValidation:
             found.append(pii.privacy_findings(scan.signals(), self.contract))
         found = [f for f in found if f is not None]
         merged = reduce(DataFrame.unionByName, found) if found else no_findings(self.stream)
-        if self.row_key is None or not scan.broken():
+        if not examples:
             return merged
-        rows = self._merged("samples").select("rule_id", "column", F.explode("sample_rows").alias("row"))
+        rows = reduce(DataFrame.unionByName, examples)
         return samples.attach_samples(merged, samples.sample_rows(rows, "row", limit=SAMPLE_LIMIT))
 
 
@@ -135,6 +154,12 @@ def _key_id(rule_id: str, column: str | None) -> str:
     return f"{rule_id}:{column or ''}"
 
 
+def _digested(key_id: str, keyed: DataFrame, value: str) -> DataFrame:
+    """(rule_id, key, value), keys by their digest."""
+    parts = [F.col(c).cast("string") for c in keyed.columns if c != value]
+    return keyed.select(F.lit(key_id).alias("rule_id"), key_digest(*parts).alias("key"), value)
+
+
 def _sums(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts and first row keys over all batches."""
     counts = [c for c in df.columns if c not in (BATCH, *(by or []))]

@@ -186,3 +186,44 @@ def test_csv_stream(spark, tmp_path):
     run.start().awaitTermination()
     assert {(r["rule_id"], r["affected_rows"]) for r in run.findings().collect()} == {
         ("column.nullable", 1), ("column.type", 1)}
+
+
+def test_key_examples_on_a_stream(spark, batches):
+    stream, path = batches
+    contract = {
+        "dataset": {"name": "o"}, "rules": {"order_id": {"unique": True}},
+        "dataset_rules": [
+            {"name": "pair", "type": "unique_combination", "columns": ["order_id"]},
+            {"name": "fk", "type": "reference_exists", "column": "order_id", "reference_dataset": "known", "reference_column": "id"}]}
+    known = {"known": spark.createDataFrame([(1,), (3,)], "id long")}
+    run = StreamValidation(stream(), contract, shared_dir(spark, "t"), references=known, row_key="row")
+    run.start().awaitTermination()
+    whole = validate(spark.read.parquet(path), contract, references=known, row_key="row").findings
+    assert sorted(run.findings().collect()) == sorted(whole.collect())
+    assert {r["rule_id"]: len(r["sample_rows"]) for r in run.findings().collect()} == {
+        "column.unique": 4, "dataset.unique_combination.pair": 4, "dataset.reference_exists.fk": 3}
+
+
+@pytest.mark.parametrize("change", ["row bigint, order_id bigint", "row bigint, order_id bigint, amount bigint, more bigint"])
+def test_streams_stop_at_changed_columns(spark, batches, change):
+    stream, path = batches
+    folders = [shared_dir(spark, "t") for _ in range(2)]
+    contract = {"dataset": {"name": "o"}, "rules": {"amount": {"minimum": 0}}}
+    starts = [lambda: StreamValidation(stream(), contract, folders[0]).start(),
+              lambda: checks.run_batches(checks.running_totals(stream().select("amount")), f"{folders[1]}/out",
+                                         f"{folders[1]}/checkpoint", mode="complete")]
+    for start in starts:
+        start().awaitTermination()
+    names = [c.split()[0] for c in change.split(", ")]
+    spark.createDataFrame([tuple(range(7, 7 + len(names)))], change).write.mode("append").parquet(path)
+    for start in starts:
+        with pytest.raises(Exception, match="Columns changed between files"):
+            start().awaitTermination()
+
+
+def test_csv_streams_stop_at_changed_columns(spark, tmp_path):
+    for i, body in enumerate(("id,v\n1,2\n", "id\n3\n")):
+        (tmp_path / f"{i}.csv").write_text(body)
+    stream = checks.read_stream(spark, str(tmp_path), flat_schema("id string, v string"), "csv", 1, header=True)
+    with pytest.raises(Exception, match="Columns changed between files"):
+        checks.drain(stream, shared_dir(spark, "t"))
