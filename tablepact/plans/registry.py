@@ -330,8 +330,13 @@ def class_rank(classification: Column) -> Column:
     return ranks[classification]
 
 
-def diff_summary(changes: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Per contract: the heaviest class of its changes, or 'none'."""
+def diff_summary(changes: DataFrame, contracts: DataFrame, *more: DataFrame) -> DataFrame:
+    """Per contract: the heaviest class of its changes, or 'none'.
+
+    Contracts are those of the given headers; give both registries' for a row per contract of either.
+    """
+    for headers in more:
+        contracts = contracts.select("contract").union(headers.select("contract"))
     heaviest = F.max_by("classification", class_rank(F.col("classification")))
     counted = changes.groupBy("contract").agg(
         heaviest.alias("classification"), F.count(F.lit(1)).alias("change_count"))

@@ -27,6 +27,14 @@ def test_contract_pair_is_breaking(spark):
     assert (same["classification"], same["change_count"]) == ("none", 0)
 
 
+def test_summary_of_both_registries(spark):
+    made = [registry.registry_tables(spark, {n: Contract.from_dict({"dataset": {"name": n}, "rules": {"v": {"minimum": 1}}}) for n in names})
+            for names in (("kept", "gone"), ("kept", "new"))]
+    rows = registry.diff_summary(registry.diff_contracts(*made), made[1][0], made[0][0]).collect()
+    assert {r["contract"]: r["classification"] for r in rows} == {"kept": "none", "gone": "nonbreaking", "new": "breaking"}
+    assert len(rows) == 3
+
+
 @pytest.mark.parametrize("before,after,classification", [
     ({"minimum": 1}, {"minimum": 2}, "breaking"), ({"minimum": 1}, {"minimum": 0}, "nonbreaking"),
     ({}, {"minimum": 0}, "breaking"), ({"minimum": 1}, {}, "nonbreaking"),
