@@ -4,6 +4,10 @@ Every signal is a built-in expression over the words and lines of one text: no s
 no user function. The rules are data (``THRESHOLDS``): a numerator, a denominator and
 bounds in hundredths, compared in whole numbers, so results do not depend on rounding.
 
+Stop words are those of ``LISTED`` languages. Where the table has a language column, documents of
+any other language pass the rule on stop words; documents without a language, and tables without
+such a column, are judged by all lists.
+
 Defined results: a null text counts as empty (no words, base rule failed, not kept); texts
 of any length are read whole; repeated rows are judged alike, each on its own; an empty
 table gives an empty result; other columns, also of clashing names, pass through
@@ -30,6 +34,7 @@ STOP_WORDS = (
     "der die und den von zu das mit auf sich für ist im dem nicht ein eine als es "
     "el y los se del las por no con su para al lo como más"
 ).split()
+LISTED = ("en", "fr", "de", "es")
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -56,15 +61,19 @@ THRESHOLDS = (
 )
 
 
-def compiled(thresholds: Iterable[Threshold]) -> Column:
-    """One boolean expression for the whole table."""
+def compiled(thresholds: Iterable[Threshold], unlisted: Column | None = None) -> Column:
+    """One boolean expression for the whole table; rules on stop words hold where ``unlisted`` does."""
     verdict = F.lit(True)
     for rule in thresholds:
         share, base = F.lit(100) * F.col(rule.numerator), F.col(rule.denominator)
+        passes = F.lit(True)
         if rule.low is not None:
-            verdict = verdict & (share >= F.lit(rule.low) * base)
+            passes = passes & (share >= F.lit(rule.low) * base)
         if rule.high is not None:
-            verdict = verdict & (share <= F.lit(rule.high) * base)
+            passes = passes & (share <= F.lit(rule.high) * base)
+        if unlisted is not None and rule.numerator == "n_stop_words":
+            passes = unlisted | passes
+        verdict = verdict & passes
     return verdict
 
 
@@ -118,24 +127,34 @@ def with_signals(df: DataFrame, text: Column) -> DataFrame:
     return repeated.select(*base, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def judged(signals: DataFrame, thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
+def _unlisted(df: DataFrame, lang_col: str) -> Column | None:
+    """Whether a row of ``df`` is of a language without stop words; regions (``en-GB``, ``pt_BR``) do not count."""
+    if lang_col not in df.columns or df.schema[lang_col].dataType.typeName() != "string":
+        return None
+    language = F.lower(F.substring_index(F.translate(F.trim(F.col("row")[lang_col]), "_", "-"), "-", 1))
+    return F.coalesce((language != "") & ~language.isin(*LISTED), F.lit(False))
+
+
+def judged(signals: DataFrame, thresholds: Iterable[Threshold] = THRESHOLDS, unlisted: Column | None = None) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     with_base = signals.withColumn("base_failed", failed)
-    return with_base.withColumn("kept", ~F.col("base_failed") & compiled(thresholds))
+    return with_base.withColumn("kept", ~F.col("base_failed") & compiled(thresholds, unlisted))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
+            thresholds: Iterable[Threshold] = THRESHOLDS, lang_col: str = "lang") -> DataFrame:
     """Signals and verdict per row of ``df``, in whatever order Spark reads them."""
-    narrow = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("t"))
-    made = judged(with_signals(narrow, F.col("t")), thresholds)
+    language = [F.col(f"`{lang_col}`")] if lang_col in df.columns else []
+    narrow = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("t"), *language)
+    made = judged(with_signals(narrow, F.col("t")), thresholds, _unlisted(narrow, lang_col))
     return made.select("row.doc_id", *[c for c in made.columns if c != "row"])
 
 
-def keep_good(df: DataFrame, text_col: str = "text", thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", thresholds: Iterable[Threshold] = THRESHOLDS,
+              lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` whose text is kept, with all their columns."""
     # the optimizer would move the filter below the steps above, writing each array out wherever it is
     # used; a condition on a row number, which is never negative, keeps it here
-    made = judged(with_signals(df, text_of(text_col)), thresholds).withColumn("nth", F.monotonically_increasing_id())
+    made = judged(with_signals(df, text_of(text_col)), thresholds, _unlisted(df, lang_col)).withColumn("nth", F.monotonically_increasing_id())
     return made.filter(F.col("kept") & (F.col("nth") >= 0)).select("row.*")
