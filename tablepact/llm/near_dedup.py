@@ -14,9 +14,9 @@ shingles that two texts share are their shingles in common, repeats counted: no
 of them, so counts of labelled shingles bound the similarity.
 
 No bucket is expanded into its pairs. Equal texts are one node. Every bucket links its members
-to one head; counts of what members have and the head lacks then say which further pairs can
-still be links (see ``links``), and those that only a common addition could make similar meet
-in the buckets of the next round. Classes are connected components by alternating stars, so a
+to one head; the members that stay apart from it meet in cells of bounded size by what tells them
+from the head (see ``_members_of_cells``), where lengths and parities of the shingles leave few pairs to align. The number of
+steps does not depend on the data. Classes are connected components by alternating stars, so a
 class of any size is a matter of rounds, not of one task.
 
 Words are lower case without sentence marks. Defined results: null texts, empty ones and others
@@ -49,7 +49,9 @@ THRESHOLD = 0.8
 BLOCK_WORDS = 1 << 18
 MEETINGS = 4  # equal shingles of two texts to each of their shingles, above which they are aligned by bits
 WIDE = 1 << 13
-TOGETHER = 24  # members of a later round's bucket up to which they are compared with one another at once
+CELL_ROWS = 1 << 12  # members of a head that a task compares at once by their parities; it decides the plan only
+BITS = 1 << 11
+PARTNERS = 1 << 11
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
 SEED = 0x5EED
@@ -210,33 +212,71 @@ def fetched(packed: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(take, "node long, codes array<long>"), "near-texts", compression="zstd")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity; how many shingles a and b have; and the labelled ones that b has and a lacks.
+def _pairs_with_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and others) with of_a and of_b, the codes of both.
 
-    Texts join their pairs and are never grouped by node.
+    Texts are never grouped by node: a text with many partners is sent to as many parts of them as
+    it takes for none to hold more than ``PARTNERS``.
     """
-    both = (pairs.join(texts.select(F.col("node").alias("b"), F.col("codes").alias("of_b")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("codes").alias("of_a")), "a"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    of_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("codes").alias("of_b")), "b").join(parts, "a")
+    of_a = texts.select(F.col("node").alias("a"), F.col("codes").alias("of_a")).join(parts, "a").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return of_b.withColumn("part", F.pmod(F.hash("b"), "parts")).drop("parts").join(of_a.drop("parts"), ["a", "part"])
+
+
+def parity(labels: np.ndarray) -> bytes:
+    """``BITS`` parities of the labelled shingles by their hashes: what two of them differ in, their shingles do, too."""
+    counts = np.bincount((_mixed(labels) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def against_heads(texts: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """Every member b with its head a: similarity, shingles of both, the parities of b's labelled shingles, how many of
+    them only one of both has, and (where ``crowded``) which."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, added, held, head, labels = [], [], [], None, None, None
-            for x, y in zip(lists_of(batch.column("of_a")), lists_of(batch.column("of_b"))):
+            found, sizes, bits, differ, differing, held, head, labels = [], [], [], [], [], None, None, None
+            wanted = batch.column("crowded").to_pylist()
+            for x, y, listed in zip(lists_of(batch.column("of_a")), lists_of(batch.column("of_b")), wanted):
                 if held is None or not np.array_equal(held, x):
                     held, head = x, shingles(x)
                     labels = labelled(head)
                 own = shingles(y)
+                marks = labelled(own)
+                apart = np.setxor1d(marks, labels, assume_unique=True)
                 found.append(aligned(head, own, threshold))
                 sizes.append((len(head), len(own)))
-                added.append(np.setdiff1d(labelled(own), labels, assume_unique=True).view(np.int64))
+                bits.append(parity(marks))
+                differ.append(len(apart))
+                differing.append(apart.view(np.int64) if listed else None)
             n, m = zip(*sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(found, pa.float64()), pa.array(n, pa.int64()),
-                 pa.array(m, pa.int64()), pa.array(added, pa.list_(pa.int64()))],
-                names=["a", "b", "similarity", "n_a", "n_b", "added"])
+                 pa.array(m, pa.int64()), pa.array(bits, pa.binary()), pa.array(differ, pa.int64()),
+                 pa.array(differing, pa.list_(pa.int64()))],
+                names=["a", "b", "similarity", "n_a", "n_b", "bits", "n_apart", "apart"])
+
+    schema = "a long, b long, similarity double, n_a long, n_b long, bits binary, n_apart long, apart array<long>"
+    both = _pairs_with_texts(texts, tested).select("a", "b", "crowded", "of_a", "of_b")
+    return stored(both.mapInArrow(align, schema), "near-scores", compression="zstd")
+
+
+def similar(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose alignment reaches the threshold."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, head, good = None, None, []
+            for x, y in zip(lists_of(batch.column("of_a")), lists_of(batch.column("of_b"))):
+                if held is None or not np.array_equal(held, x):
+                    held, head = x, shingles(x)
+                good.append(aligned(head, shingles(y), threshold) >= threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    schema = "a long, b long, similarity double, n_a long, n_b long, added array<long>"
-    return stored(both.select("a", "b", "of_a", "of_b").mapInArrow(align, schema), "near-scores", compression="zstd")
+    both = _pairs_with_texts(texts, pairs).select("a", "b", "of_a", "of_b")
+    return stored(both.mapInArrow(align, "a long, b long"), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,6 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(),
                    "near-edges")
+    before = _sameness(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -256,9 +297,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))) \
             .filter("u <> v").distinct()
         made = stored(small, "near-edges")
-        if _sameness(made) == _sameness(edges):
+        after = _sameness(made)
+        if after == before:
             return made.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = made
+        edges, before = made, after
 
 
 def _sameness(edges: DataFrame) -> tuple:
@@ -270,77 +312,159 @@ def _with_roots(rows: DataFrame, roots: DataFrame, node: str, name: str) -> Data
         .withColumn(name, F.coalesce(name, node))
 
 
-def links(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
-    """Verified (a, b) whose components are those of all similar pairs that share a bucket.
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The roots after further links: only roots are joined anew, members follow theirs."""
+    met = _with_roots(_with_roots(more, roots, "a", "root_a"), roots, "b", "root_b")
+    made = components(met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    moved = roots.join(made.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+    moved = moved.select("node", F.coalesce("above", "root").alias("root"))
+    return stored(moved.unionByName(made), "near-roots")
+
 
-    ``keyed``: node, keys, one row per distinct text with words. Each round links the members of
-    a bucket to its head, the member that shares most buckets with others. Let a member have
-    ``plus`` labelled shingles that the head lacks and lack ``minus`` of the head's. Two members without a
-    common plus differ by at least ``plus + plus' + |minus - minus'|``; where that is too much for
-    a link, only a shared plus can make them similar. So the pairs still to be tested are those
-    the sum allows, and those that meet in a bucket of a shared plus: the next round's buckets,
-    which no longer hold the head. Pairs of one component are never tested.
+def _members_of_cells(scored: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """cell, node, n, class, of_class, bits, left, right: every pair of members of one head that may still be similar has a
+    cell in which one of both is left and the other right, and no cell has more than a few times ``cell_rows`` rows.
+
+    Similar texts are in the same class of lengths or in neighbouring ones, so a member is in the
+    groups of its own class and of the next. Small groups are one cell. In larger ones, let a member be
+    ``apart`` from the head by the labelled shingles that only one of both has. Two members differ by what only one
+    of them is apart by. Of ``n`` shingles at most ``n * (1 - threshold) / threshold`` may differ, so (prefix filtering)
+    similar members share one of so many and one of those they are apart by, rarest first: a cell for each of these.
+    That fails only where nothing need be shared, for members that have nearly all of the head's
+    shingles in another order: these few meet all members close to the head.
+    """
+    share = (1 - threshold) / (1 + threshold)
+    base = -float(np.log(threshold)) * (1 + 1e-9)
+    scored = scored.withColumn("class", F.floor(F.log("n") / base)).withColumn("of_class", F.explode(F.array("class", F.col("class") + 1)))
+    groups = scored.groupBy("head", "of_class").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = stored(groups.filter("low <> high").select("head", "of_class", "rows"), "near-groups")
+    columns = ["cell", "node", "n", "class", "of_class", "bits", "left", "right"]
+    both = (F.lit(True).alias("left"), F.lit(True).alias("right"))
+    small = scored.join(groups.filter(F.col("rows") <= cell_rows), ["head", "of_class"]).select(
+        F.xxhash64("head", "of_class").alias("cell"), *columns[1:6], *both)
+    if groups.filter(F.col("rows") > cell_rows).isEmpty():
+        return small
+
+    large = stored(scored.join(groups.filter(F.col("rows") > cell_rows), ["head", "of_class"]), "near-large", compression="zstd")
+    most = F.col("n") * ((1 - threshold) / threshold) + 1e-6  # what a similar text may differ by
+    own = ["head", "of_class", "node"]
+    single = large.select(*own, F.explode("apart").alias("label")).withColumn("cell", F.xxhash64("head", "of_class", "label"))
+    often = single.groupBy("cell").agg(F.count("*").alias("times")).filter("times > 1")
+    common = single.join(often, "cell").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("times", "cell"))).alias("common"))
+    taken = F.floor(most) + 1 - (F.col("n_apart") - F.size("common"))  # those that no other member has come first
+    prefix = large.join(common, own).withColumn("at", F.explode(F.slice("common", 1, F.greatest(taken, F.lit(0)).cast("int"))))
+    parts = F.ceil(F.col("at.times") / cell_rows).cast("int")
+    dealt = prefix.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select(F.xxhash64("at.cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), *columns[1:6],
+                         (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"))
+
+    is_open = (F.col("similarity") < threshold) & (F.col("root") != F.col("head_root"))
+    moved = large.filter(is_open & (F.col("n_apart") <= share * (F.col("n_head") + F.col("n")) + 1e-6))
+    close = large.filter(F.col("n_apart") <= most)
+    blocks_of = lambda rows, name: rows.groupBy("head", "of_class").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+    of_both = blocks_of(moved, "x").join(blocks_of(close, "y"), ["head", "of_class"])
+    sides = []
+    for rows, mine, other in ((moved, "x", "y"), (close, "y", "x")):
+        side = rows.join(of_both, ["head", "of_class"]).withColumn(mine, F.pmod(F.xxhash64("node"), mine).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        sides.append(side.select(F.xxhash64("head", "of_class", F.lit("moved"), "x", "y").alias("cell"), *columns[1:6],
+                                 F.lit(mine == "x").alias("left"), F.lit(mine == "y").alias("right")))
+    return small.unionByName(cells).unionByName(sides[0]).unionByName(sides[1])
+
+
+def _of_a_cell(rows: pa.Table, threshold: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell that lengths and parities allow and that have different roots; or one for each right row."""
+    node, root, n, cls = (rows.column(c).to_numpy() for c in ("node", "root", "n", "class"))
+    left, right = (np.asarray(rows.column(c)) for c in ("left", "right"))
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+    of_class, share = rows.column("of_class")[0].as_py(), (1 - threshold) / (1 + threshold)
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    may = np.zeros((len(x), len(y)), dtype=bool)
+    step = max(1, (1 << 20) // max(1, len(y)))
+    for low in range(0, len(x), step):
+        u = x[low:low + step, None]
+        fits = (root[u] != root[y]) & (np.maximum(cls[u], cls[y]) == of_class)
+        fits &= np.minimum(n[u], n[y]) >= threshold * np.maximum(n[u], n[y]) - 1e-6
+        i, j = np.nonzero(fits)
+        for k in range(0, len(i), 1 << 16):
+            p, q = x[low + i[k:k + (1 << 16)]], y[j[k:k + (1 << 16)]]
+            good = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= share * (n[p] + n[q]) + 1e-6
+            may[low + i[k:k + (1 << 16)][good], j[k:k + (1 << 16)][good]] = True
+    if nearest and len(x):  # the left row that most right rows may be similar to
+        many = may.sum(axis=1)
+        best = np.where(may, many[:, None], 0).argmax(axis=0)
+        j = np.flatnonzero(may[best, np.arange(len(y))])
+        i = best[j]
+    else:
+        i, j = np.nonzero(may)
+    a, b = node[x[i]], node[y[j]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _pairs_of_cells(cells: DataFrame, roots: DataFrame, threshold: float, nearest: bool) -> DataFrame:
+    """Distinct (a, b) found in the cells; rows come sorted by cell, one cell is held at a time."""
+    rows = _with_roots(cells, roots, "node", "root").repartition("cell").sortWithinPartitions("cell")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+            if cell.num_rows > 1:
+                a, b = _of_a_cell(cell.combine_chunks(), threshold, nearest)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the last cell so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and held[0].column("cell")[0].as_py() != ids[low]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return stored(rows.mapInArrow(find, "a long, b long").filter("a <> b").distinct(), "near-pairs")
+
+
+def roots_of(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(node, root) of the components of all similar pairs that share a bucket; nodes with a link only.
+
+    ``keyed``: node, keys, one row per distinct text with words. First every member of a bucket is
+    aligned with the bucket's head, the member that shares most buckets with others. Members of
+    one head that are still apart then meet in cells (see ``_members_of_cells``), twice: each with the one that
+    most may be similar to, which joins dense groups by few links, and then all that are left.
     """
-    share = (1 - threshold) / (1 + threshold)  # similar texts differ by at most this part of their joint size
     bands = keyed.select(F.explode("keys").alias("bucket"), "node")
-    texts = found = None
-    while True:
-        # buckets with one node have no pair
-        sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        crowded = stored(bands.join(sizes, "bucket"), "near-crowded")
-        popular = crowded.groupBy("node").agg(F.sum("n").alias("company"))
-        members = stored(crowded.join(popular, "node").select("bucket", "node", F.struct("company", -F.col("node")).alias("rank")), "near-members")
-        heads = members.groupBy("bucket").agg((-F.max("rank")["col2"]).alias("head"))
-        tested = members.join(heads, "bucket").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        if texts is None:
-            texts = fetched(packed, members.select("node").distinct())
-        scores = verified(texts, tested, threshold)
-        good = scores.filter(F.col("similarity") >= threshold).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        roots = components(found)
-
-        common = F.col("n_b") - F.size("added")
-        scored = scores.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity", F.col("n_b").alias("n"),
-                               F.size("added").cast("long").alias("plus"), (F.col("n_a") - common).alias("minus"), "added")
-        scored = _with_roots(_with_roots(scored, roots, "node", "root"), roots, "head", "head_root")
-        scored = stored(scored, "near-scored", compression="zstd")
-        # not similar to the head, and not joined to it by other links either
-        failed = scored.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root")))
-        if failed.isEmpty():
-            return found
-        rest = scored.join(failed.select("head").distinct(), "head", "left_semi")
-
-        x = failed.select("head", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"),
-                          F.col("plus").alias("plus_a"), F.col("minus").alias("minus_a"))
-        y = rest.select(F.col("head").alias("head_b"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
-                        F.col("plus").alias("plus_b"), F.col("minus").alias("minus_b"))
-        least = F.col("plus_a") + F.col("plus_b") + F.abs(F.col("minus_a") - F.col("minus_b"))
-        may = (F.col("root_a") != F.col("root_b")) & (least <= share * (F.col("n_a") + F.col("n_b")) + 1e-6)
-        near = x.join(y, (F.col("head") == F.col("head_b")) & may)
-        pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        if not pairs.isEmpty():
-            again = verified(texts, pairs, threshold)
-            found = found.unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
-
-        is_open = (F.col("similarity") < threshold) & (F.col("root") != F.col("head_root"))
-        finer = rest.select("head", "node", "root", is_open.alias("open"), F.explode("added").alias("plus_one"))
-        finer = finer.withColumn("bucket", F.xxhash64("head", "plus_one"))
-        live = finer.groupBy("bucket").agg(F.max("open").alias("any_open"), F.count("*").alias("n")).filter("any_open AND n > 1")
-        met = stored(finer.join(live.select("bucket", "n"), "bucket").select("bucket", "node", "root", "open", "n"), "near-finer")
-        # a handful of members are compared at once, each with at most ``together`` others
-        few = met.filter(F.col("n") <= together)
-        other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("open").alias("open_b"))
-        direct = few.join(other, "bucket").filter("node < b AND root <> root_b AND (open OR open_b)")
-        direct = stored(direct.select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
-        if not direct.isEmpty():
-            again = verified(texts, direct, threshold)
-            found = found.unionByName(again.filter(F.col("similarity") >= threshold).select("a", "b"))
-        bands = met.filter(F.col("n") > together).select("bucket", "node")
-        if bands.isEmpty():
-            return found
-
-
-def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")  # buckets with one node have no pair
+    crowded = stored(bands.join(sizes, "bucket"), "near-crowded")
+    popular = crowded.groupBy("node").agg(F.sum("n").alias("company"))
+    members = stored(crowded.join(popular, "node").select("bucket", "node", F.struct("company", -F.col("node")).alias("rank")), "near-members")
+    heads = members.groupBy("bucket").agg((-F.max("rank")["col2"]).alias("head"))
+    tested = stored(members.join(heads, "bucket").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(),
+                    "near-tested")
+    followers = tested.groupBy("a").agg((F.count("*") > cell_rows).alias("crowded"))
+    texts = fetched(packed, members.select("node").distinct())
+    scores = against_heads(texts, tested.join(followers, "a"), threshold)
+    roots = components(scores.filter(F.col("similarity") >= threshold).select("a", "b"))
+
+    scored = scores.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity", F.col("n_a").alias("n_head"),
+                           F.col("n_b").alias("n"), "bits", "n_apart", "apart")
+    scored = stored(_with_roots(_with_roots(scored, roots, "node", "root"), roots, "head", "head_root"), "near-scored", compression="zstd")
+    # not similar to the head, and not joined to it by other links either
+    failed = scored.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head_root")))
+    rest = scored.join(failed.select("head").distinct(), "head", "left_semi")
+    cells = stored(_members_of_cells(rest, threshold, cell_rows), "near-cells", compression="zstd")
+    for nearest in (True, False):
+        pairs = _pairs_of_cells(cells, roots, threshold, nearest)
+        roots = _joined(roots, similar(texts, pairs, threshold))
+    return roots
+
+
+def _classed(docs: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, mark (hash of the text as it is), node, root of every row."""
     packed = stored(blocks(docs), "near-blocks", compression="uncompressed")
     narrow = packed.select("block", F.posexplode(F.arrays_zip("doc_ids", "marks", "digests")).alias("i", "row")).select(
@@ -349,7 +473,7 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     rows = stored(narrow.join(firsts, "digest").select("doc_id", "mark", "own", "node"), "near-rows")
     keyed = packed.select("block", F.posexplode("keys").alias("i", "keys")).select(_node("block", "i").alias("node"), "keys")
     keyed = stored(keyed.join(rows.filter("own = node").select("node"), "node", "left_semi"), "near-keys", compression="zstd")
-    roots = components(links(packed, keyed, threshold))
+    roots = roots_of(packed, keyed, threshold, cell_rows)
     return _with_roots(rows, roots, "node", "root")
 
 
@@ -357,9 +481,11 @@ def _node(block: str, i: str):
     return F.shiftleft(F.col(block), ROW_BITS) + F.col(i)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_rows per row of ``df``."""
-    rows = stored(_classed(ids_and_texts(df, id_col, text_col), threshold), "near-classed")
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+            cell_rows: int = CELL_ROWS) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), class_rows per row of ``df``. ``cell_rows`` bounds what a task
+    compares at once, it does not change the result."""
+    rows = stored(_classed(ids_and_texts(df, id_col, text_col), threshold, cell_rows), "near-classed")
     named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return rows.join(named, "root").select("doc_id", "class_id", "class_rows")
 

@@ -181,14 +181,20 @@ def near_copies(seed: int) -> list[str]:
         made.append(" ".join(text[:100 - 3 * (k % 7)]))
     for _ in range(25):
         made.append(" ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)]))
+    # one text with its halves, and its thirds, the other way round: apart from it, similar to one another
+    for cut in (50, 33):
+        for k in range(6):
+            text = base[cut:] + base[:cut]
+            text[rng.randrange(len(text))] = word()
+            made.append(" ".join(text))
     return made
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_classes_of_chains(spark, seed):
+@pytest.mark.parametrize("seed,cell_rows", [(5, near_dedup.CELL_ROWS), (6, near_dedup.CELL_ROWS), (5, 3), (6, 3), (7, 2)])
+def test_classes_of_chains(spark, seed, cell_rows):
     rows = list(enumerate(near_copies(seed)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_dedup.classes(df).collect()
+    found = near_dedup.classes(df, cell_rows=cell_rows).collect()
     want = brute.classes([d for d, _ in rows], [t for _, t in rows])
     assert {r["doc_id"]: r["class_id"] for r in found} == want
     assert all(r["class_rows"] == list(want.values()).count(r["class_id"]) for r in found)
