@@ -18,12 +18,12 @@ import base64
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 
 from tablepact.llm.common import ids_and_texts, small_batches
@@ -62,15 +62,22 @@ def transitions() -> tuple[np.ndarray, np.ndarray]:
     return to, starts
 
 
+def _of_category(category: str, characters: str) -> np.ndarray:
+    """The code points of a Unicode category in the library's edition: with a pattern of one character and a token for
+    every byte, encoding all characters gives the bytes of those that match."""
+    probe = tiktoken.Encoding("category", pat_str=category, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
+    found = bytes(probe.encode_ordinary(characters)).decode()
+    return np.frombuffer(found.encode("utf-32-le"), dtype=np.uint32)
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """Symbol of every code point, before its neighbours are looked at."""
+    """Symbol of every code point, before its neighbours are looked at; what is a letter or a number differs between
+    editions of Unicode, and Python's own may be older than the library's."""
     kinds = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-    letter_number = {"L": LETTER, "N": NUMBER}
-    for code in range(sys.maxunicode + 1):
-        kind = letter_number.get(unicodedata.category(chr(code))[0])
-        if kind is not None:
-            kinds[code] = kind
+    characters = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    for category, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        kinds[_of_category(category, characters)] = kind
     kinds[list(WHITE)] = WHITE_RUN
     return kinds
 

@@ -144,6 +144,38 @@ def test_byte_bpe_as_the_library(made):
     assert all(own.pairs.offsets(c)[-1] == len(t.encode()) for c, t in zip(coded, made))
 
 
+def test_every_code_point_as_the_library():
+    """Each code point beside a letter, a digit and a blank, and doubled; the blocks that editions of Unicode disagree on, and every 5th of the rest."""
+    import sys
+    import unicodedata
+
+    import tiktoken
+
+    pairs = byte_bpe.BytePairs.load(RANKS)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kinds, python = byte_bpe.classes(), {"L": byte_bpe.LETTER, "N": byte_bpe.NUMBER}
+    differs = lambda c: kinds[c] != byte_bpe.WHITE_RUN and kinds[c] != python.get(unicodedata.category(chr(c))[0], byte_bpe.OTHER)
+    codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (
+        c % 5 == 0 or c < 0x3000 or differs(c))]
+    assert any(map(differs, codes)) or unicodedata.unidata_version >= "16"
+    for low in range(0, len(codes), 20_000):
+        made = [f"a{c}1{c}{c} {c}b {c}{c}" for c in map(chr, codes[low:low + 20_000])]
+        coded = pairs.encode(made)
+        assert [c for t, c in zip(made, coded) if np.frombuffer(c, dtype="<u4").tolist() != library.encode_ordinary(t)] == []
+
+
+def test_ids_of_documents(documents, texts):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = byte_bpe.encode_documents(documents, RANKS).collect()
+    want = {d: np.asarray(library.encode_ordinary(t), dtype="<u4").tobytes() for d, t in texts.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in rows} == {
+        d: (len(ids) // 4, hashlib.sha256(ids).hexdigest()) for d, ids in want.items()}
+
+
 def test_long_pieces_merge_alike():
     pairs = byte_bpe.BytePairs.load(RANKS)
     rng = random.Random(2)
