@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepact.llm import byte_bpe, merkle, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, tool_calls, wavelet
+from tablepact.llm import (byte_bpe, merkle, near_dedup, packing, quality, secrets, sharding, suffix_dedup, token_counts, tool_calls, variants,
+                           wavelet, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +178,18 @@ OP7_SQL = """
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = tool_calls.messages_of_turns(table(spark, sf_dir, "conversations"))
     return tool_calls.link_tool_calls(messages, {"ask": tool_calls.ASK}).drop("uses")
+
+
+@query("op11_secret_scans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
