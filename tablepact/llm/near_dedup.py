@@ -219,10 +219,12 @@ def _pairs_with_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     it takes for none to hold more than ``PARTNERS``.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    of_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("codes").alias("of_b")), "b").join(parts, "a")
+    # dealt to its parts while it is narrow: no task gets all texts that one text is compared with
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), "parts")).drop("parts")
+    of_b = dealt.join(texts.select(F.col("node").alias("b"), F.col("codes").alias("of_b")), "b")
     of_a = texts.select(F.col("node").alias("a"), F.col("codes").alias("of_a")).join(parts, "a").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return of_b.withColumn("part", F.pmod(F.hash("b"), "parts")).drop("parts").join(of_a.drop("parts"), ["a", "part"])
+    return of_b.join(of_a.drop("parts"), ["a", "part"])
 
 
 def parity(labels: np.ndarray) -> bytes:

@@ -83,8 +83,14 @@ def test_shards(documents, texts):
 def test_wavelet_matrix(values):
     ids = np.asarray(values, dtype=np.uint32)
     made = wavelet.WaveletMatrix.build(ids, 10)
-    made = wavelet.WaveletMatrix.from_bytes(made.to_bytes(), made.n, 10, made.zeros.tolist())
+    row = {"n": made.n, "bits": 10, "zeros": made.zeros.tolist()} | made.columns()
+    made = wavelet.WaveletMatrix.of_columns(row)
     assert made.decode().tolist() == values
+    ends = list(range(0, len(values) + 1, 13))
+    for v in [*values[:3], 0, 700]:
+        assert made.ranks(v, ends).tolist() == [values[:e].count(v) for e in ends]
+    upper = wavelet.WaveletMatrix.of_columns({k: x for k, x in row.items() if k.partition("_")[2] in ("", "0", "1", "2")})
+    assert upper.ranks(640, ends, 3).tolist() == [sum(640 <= v < 768 for v in values[:e]) for e in ends]
     for i in range(0, len(values), 97):
         v = values[i]
         assert made.access(i) == v and made.rank(v, i) == values[:i].count(v)
@@ -105,6 +111,17 @@ def test_files_read_back(spark, documents, texts, library, tmp_path):
         total.update(ids.tolist())
     found = wavelet.occurrences(made, [2, 267, 49407]).groupBy("token_id").sum("n").collect()
     assert {r[0]: r[1] for r in found} == {t: total[t] for t in (2, 267, 49407)}
+    # ids of a range of the vocabulary: 4 of 16 planes are read
+    upper = wavelet.occurrences(made, [267], levels=4)
+    assert sum(r["n"] for r in upper.collect()) == sum(n for t, n in total.items() if t < 4096)
+    scans = upper._jdf.queryExecution().executedPlan().toString()
+    assert "plane_3" in scans and "plane_4" not in scans and "ones_4" not in scans
+    some = sorted(texts)[3:60:11]
+    got = collections.defaultdict(list)
+    for r in wavelet.ids_of(made, some).orderBy("doc_id", "place").collect():
+        got[r["doc_id"]].append(r["id"])
+    assert got == {d: [*library.encode(texts[d], add_special_tokens=False).ids, 2] for d in some}
+    assert all(r["n_end_ids"] == [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2].count(2) for r in rows)
 
 
 @settings(max_examples=150, deadline=None)
