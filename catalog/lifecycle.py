@@ -74,21 +74,32 @@ FACTS = """SELECT 'cust-' || o_custkey AS contract, min(o_totalprice) AS low, ma
     FROM orders WHERE o_orderdate {op} TIMESTAMP '""" + SPLIT + """' GROUP BY o_custkey"""
 
 
-@query("contract_rule_inventory", f"""
-    WITH f AS ({FACTS.format(op='>=')})
-    SELECT contract, '2.0' AS version, unnest(list_filter([
+def _inventory_sql(op: str, version: str) -> str:
+    return f"""
+    WITH f AS ({FACTS.format(op=op)})
+    SELECT contract, '{version}' AS version, unnest(list_filter([
         CASE WHEN n % 2 = 1 THEN 'column.nullable:price' END, 'column.type:price',
         CASE WHEN n > 6 THEN 'column.unique:price' END, 'column.minimum:price',
         CASE WHEN n > 3 THEN 'column.maximum:price' END,
         CASE WHEN n > 4 THEN 'column.maximum_age_hours:price' END,
         CASE WHEN n >= 5 THEN 'column.allowed_values:status' END, 'dataset.row_count:volume',
         CASE WHEN n > 5 THEN 'dataset.null_ratio:dataset_rule_2' END], lambda x: x IS NOT NULL)) AS rule_id
-    FROM f""")
+    FROM f"""
+
+
+@query("contract_rule_inventory", _inventory_sql(">=", "2.0"))
 def contract_rule_inventory(spark, sf_dir):
     _, columns, rules = customer_registry(spark, sf_dir, newer=True)
     return registry.rule_inventory(columns, rules)
 
 
+@query("contract_rule_inventory_all", f"SELECT * FROM ({_inventory_sql('<', '1.0')}) UNION ALL SELECT * FROM ({_inventory_sql('>=', '2.0')})")
+def contract_rule_inventory_all(spark, sf_dir):
+    """The rules of both registries: every order takes part."""
+    older, newer = customer_registry(spark, sf_dir, False), customer_registry(spark, sf_dir, True)
+    return registry.rule_inventory(older[1].unionByName(newer[1]), older[2].unionByName(newer[2]))
+
+
 CHANGES = f"""
     WITH o AS ({FACTS.format(op='<')}), n AS ({FACTS.format(op='>=')}),
     b AS (SELECT contract, o.low AS ol, n.low AS nl, o.high AS oh, n.high AS nh, o.statuses AS os, n.statuses AS ns,
@@ -147,6 +158,19 @@ def contract_diff_summary(spark, sf_dir):
     return registry.diff_summary(registry.diff_contracts(older, newer), newer[0])
 
 
+@query("contract_diff_summary_all", CHANGES + """,
+    r AS (SELECT contract, max(CASE classification WHEN 'documentation_only' THEN 10 WHEN 'nonbreaking' THEN 20
+                 WHEN 'potentially_breaking' THEN 30 ELSE 40 END) AS heaviest, count(*) AS k FROM c GROUP BY 1)
+    SELECT contract, coalesce(CASE heaviest WHEN 10 THEN 'documentation_only' WHEN 20 THEN 'nonbreaking'
+           WHEN 30 THEN 'potentially_breaking' WHEN 40 THEN 'breaking' END, 'none') AS classification,
+           CAST(coalesce(r.k, 0) AS BIGINT) AS change_count
+    FROM every LEFT JOIN r USING (contract)""")
+def contract_diff_summary_all(spark, sf_dir):
+    """A row for every contract of either registry."""
+    older, newer = customer_registry(spark, sf_dir, False), customer_registry(spark, sf_dir, True)
+    return registry.diff_summary(registry.diff_contracts(older, newer), older[0], newer[0])
+
+
 def document_registry(spark, sf_dir):
     """One contract per document, with texts as patterns and lengths as bounds."""
     docs = table(spark, sf_dir, "documents")

@@ -252,19 +252,19 @@ def diff_headers(older: DataFrame, newer: DataFrame) -> DataFrame:
         "description": ("dataset.description", "documentation_only"),
         "owner": ("dataset.owner", "documentation_only"),
     }
-    metadata = _exploded(both, [
-        _change(_differs(f), F.lit(path), cls, F.col(f"o.{f}"), F.col(f"n.{f}"))
-        for f, (path, cls) in fields.items()])
+    metadata = [_change(_differs(f), F.lit(path), cls, F.col(f"o.{f}"), F.col(f"n.{f}")) for f, (path, cls) in fields.items()]
 
     def required(frm, to, cls, before, after):
         gone = F.array_except(F.coalesce(F.col(f"{frm}.required_columns"), F.array().cast("array<string>")),
                               F.coalesce(F.col(f"{to}.required_columns"), F.array().cast("array<string>")))
-        return both.select("contract", F.explode(gone).alias("column")).select(
-            "contract", F.concat(F.lit("dataset.required_columns."), "column").alias("path"),
-            F.lit(cls).alias("classification"), F.lit(before).alias("before"), F.lit(after).alias("after"))
+        return F.transform(gone, lambda c: F.struct(
+            F.concat(F.lit("dataset.required_columns."), c).alias("path"), F.lit(cls).alias("classification"),
+            F.lit(before).alias("before"), F.lit(after).alias("after")))
 
-    return metadata.unionByName(required("n", "o", "breaking", "false", "true")) \
-        .unionByName(required("o", "n", "nonbreaking", "true", "false"))
+    # one explode: the joined headers are read once
+    changes = F.concat(F.array_compact(F.array(*metadata)), required("n", "o", "breaking", "false", "true"),
+                       required("o", "n", "nonbreaking", "true", "false"))
+    return both.select("contract", F.explode(changes).alias("c")).select("contract", "c.*")
 
 
 def diff_columns(older: DataFrame, newer: DataFrame) -> DataFrame:
@@ -272,10 +272,10 @@ def diff_columns(older: DataFrame, newer: DataFrame) -> DataFrame:
     both = _sides(older, newer, ["contract", "column"], kept, "full_outer")
     o, n = F.col("o"), F.col("n")
     path = F.concat(F.lit("rules."), "column")
-    whole = _exploded(both.where(o.isNull() | n.isNull()), [
+    whole = [
         # a column with a rule is always required, so a new rule can reject old data
         _change(o.isNull(), path, "breaking", F.lit(None), F.to_json(n)),
-        _change(n.isNull(), path, "nonbreaking", F.to_json(o), F.lit(None))])
+        _change(n.isNull(), path, "nonbreaking", F.to_json(o), F.lit(None))]
     ov, nv = F.array_distinct("o.allowed_values"), F.array_distinct("n.allowed_values")
     added = F.size(F.array_except(nv, ov)) > 0
     dropped = F.size(F.array_except(ov, nv)) > 0
@@ -284,7 +284,7 @@ def diff_columns(older: DataFrame, newer: DataFrame) -> DataFrame:
     allowed = (
         F.when(ov.isNull(), "breaking").when(nv.isNull(), "nonbreaking")
         .when(dropped & ~added, "breaking").otherwise("potentially_breaking"))
-    settings = _exploded(both.where(o.isNotNull() & n.isNotNull()), [
+    settings = [
         _change(_differs("type"), F.concat(path, F.lit(".type")), "breaking",
                 F.col("o.type"), F.col("n.type")),
         _flag("nullable", False),
@@ -296,8 +296,9 @@ def diff_columns(older: DataFrame, newer: DataFrame) -> DataFrame:
         _bound("maximum_age_hours", F.col("n.maximum_age_hours") < F.col("o.maximum_age_hours")),
         _change(_differs("description"), F.concat(path, F.lit(".description")),
                 "documentation_only", F.col("o.description"), F.col("n.description")),
-    ])
-    return whole.unionByName(settings)
+    ]
+    kept_rule = o.isNotNull() & n.isNotNull()
+    return _exploded(both, [*whole, *(F.when(kept_rule, change) for change in settings)])
 
 
 def diff_dataset_rules(older: DataFrame, newer: DataFrame) -> DataFrame:
