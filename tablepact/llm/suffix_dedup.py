@@ -15,11 +15,12 @@ cover), equal ones of a block already combined. Then
   Larsson-Sadakane refinement (ranks of 8 bytes, doubled, groups still tied only), and takes
   common prefixes by Kasai's rule side by side over all contexts; neighbours with a common
   prefix of ``length`` bytes are repeated windows;
-* an anchor with more contexts than a shard holds is dealt over several; the shards' sorted
-  window digests are then merged: each digest is looked up by binary search in the others'.
+* an anchor with more contexts than a shard holds is dealt over several; each shard sends the BLAKE2 digests (128 bits) of
+  its distinct windows, which are sorted and looked up in one another by binary search. So the bytes decide there, too,
+  and how many contexts a shard holds does not change the result.
 
 The block keeps its rows compressed, so texts move twice in all, once to hand out contexts and
-once to be cut. Digests are 128 bits (anchor and context).
+once to be cut. Contexts that repeat as a whole are told by 128 bits (the hash of the anchor and that of the context).
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing;
 texts of any length are read whole; repeated rows of at least ``length`` bytes lose everything;
@@ -178,9 +179,15 @@ def blocks(df: DataFrame, text_col: str, length: int, block_bytes: int) -> DataF
 
 
 def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First run of each distinct context, the distinct number of every run, and their counts."""
-    _, pair, back, counts = np.unique(runs.context, return_index=True, return_inverse=True, return_counts=True)
-    return pair, back, counts.astype(np.int32)
+    """First run of each distinct pair of anchor and context, the distinct number of every run, and their counts."""
+    order = np.lexsort((runs.anchor, runs.context))
+    anchor, context = runs.anchor[order], runs.context[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (context[1:] != context[:-1]) | (anchor[1:] != anchor[:-1])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], back, np.diff(np.append(first, len(order))).astype(np.int32)
 
 
 def marked(packed: DataFrame) -> DataFrame:
@@ -307,37 +314,62 @@ def _runs_of(flags: np.ndarray) -> list[int]:
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1]).reshape(-1).tolist()
 
 
-FOUND = "block long, k int, hits array<int>, digests array<long>, firsts array<int>"
+FOUND = "block long, k int, hits array<int>, digests array<binary>, firsts array<int>, single array<boolean>"
 
 
 def _shard(length: int):
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         strings = frame["bytes"].tolist()
         flags = repeated_windows(strings, length)
-        digests, firsts = [], []
+        digests, firsts, single, seen = [], [], [], set()
         for text, flag, dealt in zip(strings, flags, frame["dealt"]):
-            open_ = np.flatnonzero(~flag) if dealt else np.empty(0, dtype=np.int64)
-            if dealt:
-                # every window of a dealt anchor: another shard may hold its only equal
-                open_ = np.arange(len(flag))
-                code = _mixed(Rolling(np.frombuffer(text, dtype=np.uint8), SECOND_BASE).of(open_, open_ + length))
-                digests.append(code.view(np.int64))
-            else:
-                digests.append(np.empty(0, dtype=np.int64))
-            firsts.append(open_.astype(np.int32))
+            # another shard may hold the only equal of a dealt anchor's window; equal ones are sent once
+            sent, at, alone = [], [], []
+            for i in range(len(flag)) if dealt else ():
+                digest = hashlib.blake2b(text[i:i + length], digest_size=16).digest()
+                if flag[i]:
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
+                sent.append(digest)
+                at.append(i)
+                alone.append(not flag[i])
+            digests.append(sent)
+            firsts.append(np.asarray(at, dtype=np.int32))
+            single.append(np.asarray(alone, dtype=bool))
         return pd.DataFrame({"block": frame["block"], "k": frame["k"], "hits": [_runs_of(f) for f in flags],
-                             "digests": digests, "firsts": firsts})
+                             "digests": digests, "firsts": firsts, "single": single})
     return search
 
 
+def _found_twice(rows: pa.Table) -> pa.Table:
+    """Of windows sorted by digest, those that stand once in their shard and have an equal: looked up by binary search."""
+    halves = np.frombuffer(b"".join(rows.column("digest").to_pylist()), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+    high, low = halves.T
+    near = np.flatnonzero(np.searchsorted(high, high, side="right") - np.searchsorted(high, high, side="left") > 1)
+    twice = np.zeros(len(high), dtype=bool)
+    same = (high[near[1:]] == high[near[:-1]]) & (low[near[1:]] == low[near[:-1]])
+    twice[near[1:][same]] = twice[near[:-1][same]] = True
+    return rows.filter(pa.array(twice & np.asarray(rows.column("single")))).select(["block", "k", "at"])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of dealt anchors, all equal digests in this task: looked up by binary search."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("k", pa.int32()),
-                                                           ("at", pa.int32()), ("digest", pa.int64())]))
-    digest = table.column("digest").to_numpy()
-    ordered = np.sort(digest)
-    twice = np.searchsorted(ordered, digest, side="right") - np.searchsorted(ordered, digest, side="left") > 1
-    yield from table.select(["block", "k", "at"]).filter(pa.array(twice)).to_batches()
+    """The sorted windows of all shards, batch by batch; the last digest so far waits for its equals."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digests = batch.column("digest").to_pylist()
+        at = next((i for i in range(len(digests) - 1, -1, -1) if digests[i] != digests[-1]), -1) + 1
+        if held and at == 0 and held[-1].column("digest")[0].as_py() == digests[0]:
+            held.append(batch)
+            continue
+        done = [*held, batch.slice(0, at)]
+        if sum(b.num_rows for b in done):
+            yield from _found_twice(pa.Table.from_batches(done).combine_chunks()).to_batches()
+        held = [batch.slice(at)]
+    if held:
+        yield from _found_twice(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
 
 def shard_hits(packed: DataFrame, may: DataFrame, text_col: str, length: int, shard_contexts: int) -> DataFrame:
@@ -354,10 +386,11 @@ def shard_hits(packed: DataFrame, may: DataFrame, text_col: str, length: int, sh
         _contexts(text_col, length), "block long, k int, shard long, dealt boolean, bytes binary")
     found = stored(contexts.groupBy("shard").applyInPandas(_shard(length), FOUND), "suffix-hits")
     own = found.filter(F.size("hits") > 0).select("block", "k", "hits")
-    windows = found.filter(F.size("digests") > 0).select(
-        "block", "k", F.explode(F.arrays_zip(F.col("firsts").alias("at"), F.col("digests").alias("digest"))).alias("w")) \
-        .select("block", "k", F.col("w.at").alias("at"), F.col("w.digest").alias("digest"))
-    across = windows.repartition("digest").mapInArrow(_merged, "block long, k int, at int")
+    # what a shard has found repeated needs no other; what stands there once does. A digest has a row per shard at most
+    windows = found.filter(F.size("digests") > 0).select("block", "k", F.explode(F.arrays_zip(
+        F.col("firsts").alias("at"), F.col("digests").alias("digest"), F.col("single").alias("single"))).alias("w"))
+    across = windows.select("block", "k", "w.*").repartition("digest").sortWithinPartitions("digest").mapInArrow(
+        _merged, "block long, k int, at int")
     across = across.groupBy("block", "k").agg(F.collect_list("at").alias("at")).select(
         "block", "k", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("hits"))
     return own.unionByName(across)

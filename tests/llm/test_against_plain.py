@@ -305,7 +305,34 @@ def test_repeated_windows(strings, length):
     assert [f.tolist() for f in suffix_dedup.repeated_windows(strings, length)] == want
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 1 << 14, "shard_contexts": 20}])
+def test_equal_rolling_hashes_of_different_bytes():
+    """A Thue-Morse word and its complement have one rolling hash modulo 2**64; the windows of dealt anchors are told apart."""
+    import pandas as pd
+
+    word = b"a"
+    while len(word) < 2048:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    hashes = [suffix_dedup.Rolling(np.frombuffer(w, dtype=np.uint8), suffix_dedup.SECOND_BASE).of(np.array([0]), np.array([2048]))[0] for w in (word, other)]
+    assert hashes[0] == hashes[1] and word != other
+    frame = pd.DataFrame({"block": [1, 2, 3], "k": [0, 0, 0], "dealt": True, "bytes": [word, other, word]})
+    made = suffix_dedup._shard(2048)(frame)
+    assert [len(d) for d in made["digests"]] == [1, 1, 0] and made["digests"][0][0] != made["digests"][1][0]
+    assert [x.tolist() for x in made["single"]] == [[False], [True], []]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_merging_of_sorted_windows(size):
+    rng = random.Random(size)
+    rows = sorted((bytes([rng.choice([0, 7])]) * 8 + bytes(7) + bytes([rng.randrange(9)]), rng.random() < 0.7, i) for i in range(40))
+    batch = pa.table({"block": [i for _, _, i in rows], "k": pa.array([0] * 40, pa.int32()), "at": pa.array([1] * 40, pa.int32()),
+                      "digest": [d for d, _, _ in rows], "single": [x for _, x, _ in rows]}).to_batches(size)
+    found = [b for out in suffix_dedup._merged(iter(batch)) for b in out.column("block").to_pylist()]
+    count = collections.Counter(d for d, _, _ in rows)
+    assert found == [i for d, single, i in rows if single and count[d] > 1]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 1 << 14, "shard_contexts": 20}, {"block_bytes": 1 << 13, "shard_contexts": 2}])
 def test_repeats(documents, texts, options):
     order = sorted(texts)
     want = dict(zip(order, brute.digests([texts[d] for d in order])))
