@@ -201,41 +201,24 @@ def reference_of(references: dict[str, DataFrame], rule) -> DataFrame:
     return references[rule.reference_dataset]
 
 
-def key_findings(df: DataFrame, contract: Contract, references: dict[str, DataFrame] | None = None,
-                 row_key: str | None = None, counted: DataFrame | None = None
-                 ) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Findings of all key rules and, with a row key, their example rows.
+def found_findings(df: DataFrame, described: list[tuple], totals: list) -> list[DataFrame]:
+    """Findings of key rules from their counts; ``described`` has rule_id, column and texts by the rule's number."""
+    spark = df.sparkSession
+    return [finding_rows(spark.createDataFrame([(r["affected"],)], "affected bigint"), finding_sql(affected="affected", **described[r["rule"]][2]))
+            for r in sorted(totals, key=lambda r: r["rule"])]
 
-    ``counted`` holds duplicate counts per column where a profile has them already.
 
-    One lazy DataFrame per rule: each reads only its own key columns, so a columnar
-    source is scanned once in total. Count and examples share one aggregate.
-    """
-    found, samples = [], []
-
-    def tagged(rows, rule_id, column):
-        return rows.select(F.lit(rule_id).alias("rule_id"),
-                           F.lit(column).cast("string").alias("column"), "sample_rows")
-
-    for rule_id, column, keys, texts in key_rules(df, contract):
-        if counted is not None and column is not None:
-            rows = counted.where(F.col("column") == column) \
-                .select(F.col("duplicate_count").alias("affected"))
-        else:
-            rows = duplicate_rows(df, keys, row_key)
-        found.append(count_findings(rows, rule_id=rule_id, column=column, **texts))
-        if row_key:
-            samples.append(tagged(duplicate_samples(df, keys, row_key), rule_id, column))
-    for name, rule in reference_rules(df, contract):
-        rule_id = f"dataset.reference_exists.{name}"
-        ref = reference_of(references or {}, rule)
-        absent = missing_references(df, rule.column, ref, rule.reference_column, row_key)
-        count = absent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("affected"))
-        found.append(count_findings(count, **reference_texts(name, rule)))
-        if row_key:
-            rows = reference_samples(df, rule.column, absent, ref, rule.reference_column, row_key)
-            samples.append(tagged(rows, rule_id, rule.column))
-    return found, samples
+def counted_findings(df: DataFrame, contract: Contract, counted: DataFrame) -> list[DataFrame]:
+    """Findings of single-column uniqueness from a profile's duplicate counts."""
+    return [count_findings(counted.where(F.col("column") == column).select(F.col("duplicate_count").alias("affected")),
+                           rule_id=rule_id, column=column, **texts)
+            for rule_id, column, _, texts in key_rules(df, contract) if column is not None]
+
+
+def named_examples(examples: DataFrame, described: list[tuple]) -> DataFrame:
+    """rule_id, column, sample_rows of examples that carry the rule's number."""
+    names = F.array(*[F.struct(F.lit(rule_id).alias("rule_id"), F.lit(column).cast("string").alias("column")) for rule_id, column, _ in described])
+    return examples.select(F.get(names, F.col("rule")).alias("r"), "sample_rows").select("r.rule_id", "r.column", "sample_rows")
 
 
 def reference_texts(name: str, rule: DatasetRule) -> dict:

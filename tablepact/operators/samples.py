@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablepact.functions.coercion import named
 from tablepact.operators.findings import SAMPLE_LIMIT
-from tablepact.operators.predicates import RowCheck, violating_rows
+from tablepact.operators.predicates import RowCheck
 
 
 def smallest_per_group(rows: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
@@ -30,17 +34,41 @@ def sample_rows(violations: DataFrame, row_key: str, keys: list[str] | None = No
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("sample_rows"))
 
 
+def smallest_rows(rows: DataFrame, group: str, limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """group (a whole number), sample_rows: the ``limit`` smallest ``_row`` of each group, sorted.
+
+    Tasks keep the smallest rows of each group batch by batch and send only those: nothing is sorted as a whole, however many
+    rows break a rule.
+    """
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for g in np.unique(of).tolist():
+                mine = np.concatenate([held.get(g, row[:0]), row[of == g]])
+                held[g] = np.sort(np.partition(mine, limit - 1)[:limit] if len(mine) > limit else mine)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g for g, r in held.items() for _ in r], pa.int32()), pa.array([k for r in held.values() for k in r.tolist()], pa.int64())],
+            names=["group", "_row"])
+
+    few = rows.select(F.col(group).cast("int").alias("group"), "_row").mapInArrow(keep, "group int, _row bigint")
+    return few.groupBy(F.col("group").alias(group)).agg(F.slice(F.array_sort(F.collect_list("_row")), 1, limit).alias("sample_rows"))
+
+
 def check_samples(df: DataFrame, broken: list[RowCheck], row_key: str, limit: int = SAMPLE_LIMIT) -> list[DataFrame]:
     """Example rows of the broken row checks, all looked up in one pass.
 
     Rows without a row key cannot be named and are left out. What a rule's examples are does
-    not depend on how often it is broken or on the size of the table: every task keeps
-    ``limit`` rows per rule before the exchange.
+    not depend on how often it is broken or on the size of the table.
     """
     if not broken:
         return []
-    keyed = df.where(named(row_key).isNotNull())
-    return [sample_rows(violating_rows(keyed, broken, [row_key]), row_key, limit=limit)]
+    marks = [F.when(check.violated, F.lit(i)) for i, check in enumerate(broken)]
+    row = named(row_key).cast("bigint")
+    rows = df.where(row.isNotNull()).select(row.alias("_row"), F.explode(F.array_compact(F.array(*marks))).alias("check"))
+    rules = F.array(*[F.struct(F.lit(c.rule_id).alias("rule_id"), F.lit(c.column).cast("string").alias("column")) for c in broken])
+    return [smallest_rows(rows, "check", limit).select(F.get(rules, F.col("check")).alias("r"), "sample_rows").select(
+        "r.rule_id", "r.column", "sample_rows")]
 
 
 def attach_samples(findings: DataFrame, samples: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Validation of one dataset against one contract.
 
 ``validate`` makes one pass over the data for all row rules, personal-data tests and
-column statistics. Key rules and references add one aggregate of their key columns
-each, and example rows are looked up only for rules that were found broken, so clean
-data is scanned once.
+column statistics, and one for all key rules and references, side by side. Example rows are looked up only for
+rules that were found broken. All of it is done when ``validate`` returns: findings, signals and profile
+are small local tables, and reading them starts no job on the data.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from tablepact.contract import Contract, ContractError
+from tablepact.functions.local import taken
 from tablepact.operators import drift, findings, keys, pii, predicates, profile, samples
+from tablepact.operators.key_scan import KeyScan
 from tablepact.operators.schema_checks import schema_findings
 from tablepact.plans.scan import Scan
 from tablepact.sources.readers import shape_budget
@@ -87,12 +89,15 @@ def validate(
         scan.add_statistics(approx_distinct=distinct == "approx")
     exact = [profile.distinct_counts(df)] if distinct == "exact" else []
     hits = [pii.sampled_counts(df, row_key, pii_sample)] if sampled else []
-    more = scan.run(also=exact + hits)
+    # an exact profile has counted the duplicates of every column; naming rows still takes the keys
+    key_scan = KeyScan(df, contract, references, row_key, counted_unique=bool(exact) and row_key is None)
+    more = scan.run(also=exact + hits + ([key_scan.totals()] if key_scan else []))
     counted = more[0] if exact else None
+    key_totals = more.pop().collect() if key_scan else []
 
-    families = [schema_findings(df, contract), scan.findings()]
-    key_found, key_samples = keys.key_findings(df, contract, references, row_key, counted)
-    families += key_found
+    families = [schema_findings(df, contract), scan.findings(), *keys.found_findings(df, key_scan.described(), key_totals)]
+    if exact and row_key is None:
+        families += keys.counted_findings(df, contract, counted)
 
     columns, signals, changes = None, None, None
     if want_profile:
@@ -107,9 +112,13 @@ def validate(
     families = [f for f in families if f is not None]
     found = reduce(DataFrame.unionByName, families) if families else findings.no_findings(df)
     if row_key is not None:
-        key_samples += samples.check_samples(df, scan.broken(), row_key)
-        if key_samples:
-            found = samples.attach_samples(found, reduce(DataFrame.unionByName, key_samples))
+        rows = samples.check_samples(df, scan.broken(), row_key)
+        of_keys = key_scan.examples(key_totals)
+        named_rows = taken(rows + ([of_keys] if of_keys is not None else []))
+        if of_keys is not None:
+            named_rows.append(keys.named_examples(named_rows.pop(), key_scan.described()))
+        if named_rows:
+            found = samples.attach_samples(found, reduce(DataFrame.unionByName, named_rows))
     return Validation(contract, df, run_id or uuid.uuid4().hex, found, fail_on,
                       columns, signals, changes, sampled)
 

@@ -96,8 +96,8 @@ def batch_findings(contract: Contract, row_key: str | None = None,
         ]
         found = predicates.row_findings(batch, checks)
         if row_key is not None and checks:
-            broken = predicates.violating_rows(batch, checks, [row_key])
-            found = samples.attach_samples(found, samples.sample_rows(broken, row_key))
+            decided = [c for c in checks if c.violated is not None]
+            found = samples.attach_samples(found, samples.check_samples(batch, decided, row_key)[0])
         return found
     return check
 
