@@ -4,7 +4,7 @@ A fingerprint is the whole tree in one string: the root, then per section its no
 brackets its paragraphs, each with its node and the leaves of its sentences. Roots test
 equality; where they differ, comparing nodes from the top shows the sections and paragraphs
 that were edited; the share of common leaves is the likeness of two fingerprints. Everything
-is built-in expressions.
+is built-in expressions. Nodes are SHA-256 all the way up; the string shows the first ``SHOWN_DIGITS`` digits of those below the root.
 
 ``with_next`` sets every document beside its successor in ascending doc_id, without one task
 seeing all rows: ranges of doc_id between sampled values (percentiles of all ids) are windows
@@ -13,27 +13,35 @@ of their own, and the row on a bound also stands at the end of the range before.
 Defined results: a null text counts as empty, an empty text is one empty leaf; texts of any
 length are read whole; null doc_ids come first, equal ones are ordered by text digest; the
 only row follows itself; an empty table gives an empty result; other columns are ignored.
-doc_id must be a number.
+doc_id is a number, a date or a string (in the order of its bytes).
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepact.llm.common import ids_and_texts, partitions
 
-NODE_DIGITS = 12
+SHOWN_DIGITS = 12
 SENTENCE_ENDS = (". ", "! ", "? ")
-CUT = "\x01"
+CUT, ESCAPE = "\x01", "\x02"
+PLACE_BYTES = 6  # of a string id after what all ids begin with; decides the ranges only
 
 
 def _node(text: Column) -> Column:
-    return F.substring(F.md5(text.cast("binary")), 1, NODE_DIGITS)
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _shown(node: Column) -> Column:
+    return F.substring(node, 1, SHOWN_DIGITS)
 
 
 def tree(text: Column) -> Column:
-    """Leaves by section, paragraph and sentence."""
+    """Leaves by section, paragraph and sentence. A text's own control characters are escaped, so none can pass for a cut."""
+    text = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(CUT), F.lit(ESCAPE + "a"))
     for end in SENTENCE_ENDS:
         text = F.replace(text, F.lit(end), F.lit(end[0] + CUT))
     return F.transform(F.split(text, "\n\n"), lambda section: F.transform(
@@ -47,14 +55,14 @@ def leaves(of: Column) -> Column:
 def fingerprint(of: Column) -> Column:
     """The string of a tree."""
     def paragraph(p: Column) -> Column:
-        return F.concat(_node(F.array_join(p, "")), F.lit("("), F.array_join(p, "."), F.lit(")"))
+        return F.concat(_shown(_node(F.array_join(p, ""))), F.lit("("), F.array_join(F.transform(p, _shown), "."), F.lit(")"))
 
     def section_node(s: Column) -> Column:
         return _node(F.array_join(F.transform(s, lambda p: _node(F.array_join(p, ""))), ""))
 
     root = F.sha2(F.array_join(F.transform(of, section_node), ""), 256)
     sections = F.transform(of, lambda s: F.concat(
-        section_node(s), F.lit("["), F.array_join(F.transform(s, paragraph), ","), F.lit("]")))
+        _shown(section_node(s)), F.lit("["), F.array_join(F.transform(s, paragraph), ","), F.lit("]")))
     return F.concat(root, F.lit("|"), F.array_join(sections, "|"))
 
 
@@ -91,13 +99,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text: the text of the following document, of the first one after the last."""
     ranges = 4 * partitions(docs.sparkSession)
     shares = [k / ranges for k in range(1, ranges)]
-    # one row: at most ``ranges`` ids
-    low, bounds, nulls = docs.agg(
-        F.min("doc_id"), F.percentile_approx("doc_id", shares, 100 * ranges), F.max(F.col("doc_id").isNull())).first()
-    bounds = sorted({b for b in bounds or [] if b > low})
+    # percentiles are doubles: ids are placed by numbers in their order that doubles hold exactly; several ids may share one
+    place, of = F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString()
+    if of in ("string", "bigint"):
+        ends = [x for x in docs.agg(F.min("doc_id"), F.max("doc_id")).first() if x is not None]
+    if of == "string":
+        digits = F.hex(F.substring(F.encode("doc_id", "utf-8"), len(os.path.commonprefix([x.encode() for x in ends])) + 1, PLACE_BYTES))
+        place = F.conv(F.rpad(digits, 2 * PLACE_BYTES, "0"), 16, 10).cast("bigint")
+    elif of == "bigint" and any(abs(x) >= 1 << 53 for x in ends):
+        place = F.shiftright("doc_id", 11)
+    elif of.startswith("decimal"):
+        place = place.cast("double")
+    docs = docs.withColumn("place", place)
+    # one row: at most ``ranges`` places
+    low, lowest, bounds, nulls = docs.agg(
+        F.min("doc_id"), F.min("place"), F.percentile_approx("place", shares, 100 * ranges), F.max(F.col("doc_id").isNull())).first()
+    bounds = sorted({b for b in bounds or [] if b > lowest})
     width = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[k:k + width] for k in range(0, len(bounds), width)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["place"].dataType.simpleString()
     coarse = F.array(*[F.lit(r[0]) for r in rows]).cast(f"array<{kind}>")
     fine = F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows]).cast(f"array<array<{kind}>>")
 
@@ -105,11 +125,11 @@ def with_next(docs: DataFrame) -> DataFrame:
         return F.size(F.filter(bounds_, lambda b: b <= id_))
 
     # the range of an id: bounds up to it, looked up in two steps
-    line = reached(coarse, F.col("doc_id"))
-    part = F.when(F.col("doc_id").isNull() | (line == 0), 0).otherwise(
-        (line - 1) * width + reached(F.get(fine, line - 1), F.col("doc_id")))
+    line = reached(coarse, F.col("place"))
+    part = F.when(F.col("place").isNull() | (line == 0), 0).otherwise(
+        (line - 1) * width + reached(F.get(fine, line - 1), F.col("place")))
     placed = docs.withColumn("part", part.cast("int"))
-    on_bound = (F.col("part") > 0) & F.array_contains(F.get(fine, F.floor((F.col("part") - 1) / width).cast("int")), F.col("doc_id")) \
+    on_bound = (F.col("part") > 0) & F.array_contains(F.get(fine, F.floor((F.col("part") - 1) / width).cast("int")), F.col("place")) \
         if bounds else F.lit(False)
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))

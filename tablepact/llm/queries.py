@@ -109,19 +109,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _print_sql(tree: str) -> str:
-    node = "substr(md5({}), 1, 12)".format
+    node, shown = "sha256({})".format, "substr({}, 1, 12)".format
     joined = lambda x: f"array_to_string({x}, '')"
     section = node(joined(f"list_transform(s, lambda q: {node(joined('q'))})"))
     section_2 = section.replace("(s,", "(z,").replace("lambda q", "lambda y").replace("'q'", "'y'").replace("(q,", "(y,")
-    paragraph = f"{node(joined('p'))} || '(' || array_to_string(p, '.') || ')'"
+    paragraph = f"{shown(node(joined('p')))} || '(' || array_to_string(list_transform(p, lambda l: {shown('l')}), '.') || ')'"
     return (f"sha256({joined(f'list_transform({tree}, lambda z: {section_2})')}) || '|' || array_to_string(list_transform({tree}, "
-            f"lambda s: {section} || '[' || array_to_string(list_transform(s, lambda p: {paragraph}), ',') || ']'), '|')")
+            f"lambda s: {shown(section)} || '[' || array_to_string(list_transform(s, lambda p: {paragraph}), ',') || ']'), '|')")
 
 
 def _tree_sql(text: str) -> str:
-    marked = f"replace(replace(replace({text}, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1))"
+    escaped = f"replace(replace({text}, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a')"
+    marked = f"replace(replace(replace({escaped}, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1))"
     return (f"list_transform(string_split({marked}, chr(10) || chr(10)), lambda a: list_transform(string_split(a, chr(10)), "
-            f"lambda b: list_transform(string_split(b, chr(1)), lambda c: substr(md5(c), 1, 12))))")
+            f"lambda b: list_transform(string_split(b, chr(1)), lambda c: sha256(c))))")
 
 
 OP10_SQL = f"""

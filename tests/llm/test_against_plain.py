@@ -60,6 +60,34 @@ def test_differencing_is_balanced():
     assert more.max() - more.min() < 10**5 and {tuple(sorted(x)) for x in again} == {tuple(range(8))}
 
 
+def plain_differencing(sizes: list[int], shards: int) -> list[int]:
+    """Karmarkar-Karp with a heap of partial partitions, each a list of shard sums."""
+    import heapq
+
+    heap = [(-size, i, [0] * (shards - 1) + [size]) for i, size in enumerate(sizes)]
+    heapq.heapify(heap)
+    serial = len(heap)
+    while len(heap) > 1:
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        made = sorted(x + y for x, y in zip(sorted(a), sorted(b, reverse=True)))
+        heapq.heappush(heap, (made[0] - made[-1], serial, made))
+        serial += 1
+    return heap[0][2]
+
+
+def test_spread_of_the_registered_shards(documents, texts):
+    """Equal texts stay together; the spread is no wider than plain differencing leaves it, but for the largest group."""
+    group = collections.Counter()
+    for t in texts.values():
+        group[t] += len(t.encode()) + 16
+    plain = plain_differencing(list(group.values()), 40)
+    total = collections.Counter()
+    for r in sharding.shard_documents(documents).collect():
+        total[r["shard"]] += r["size"]
+    assert set(total) == set(range(40)) and sum(total.values()) == sum(plain)
+    assert max(total.values()) - min(total.values()) <= max(40, 2 * (max(plain) - min(plain)))
+
+
 def test_shards(documents, texts):
     for buckets in (10**6, 60):
         groups = documents.selectExpr("unhex(sha2(text, 256)) AS key", "octet_length(text) + 16L AS bytes").groupBy("key").agg({"bytes": "sum"}) \
@@ -379,6 +407,37 @@ def test_fingerprints(spark):
     assert same == [] and edit == [(1, 0)]
 
 
+def test_roots_and_control_characters(spark):
+    texts = ["One. two", "One.\x01two", "One.\x02atwo", "One.\x02two", "One.", "One. "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [r["fingerprint"] for r in merkle.fingerprints(df).orderBy("doc_id").collect()]
+    assert len(set(prints)) == len(texts)
+    node = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaf = [node("One."), node("two")]
+    paragraph = node("".join(leaf))
+    section = node(paragraph)
+    assert prints[0] == f"{node(section)}|{section[:12]}[{paragraph[:12]}({leaf[0][:12]}.{leaf[1][:12]})]"
+
+
+@pytest.mark.parametrize("name", ["doc-%06d", "%d", "é%03d-tail"])
+def test_next_documents_by_string_ids(documents, texts, name):
+    from pyspark.sql import functions as F
+
+    df = documents.select(F.format_string(name, "doc_id").alias("doc_id"), "text")
+    ids = {name % d: t for d, t in texts.items()}
+    order = sorted(ids, key=str.encode)
+    got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(df).collect()}
+    assert got == {d: ids[n] for d, n in zip(order, [*order[1:], order[0]])}
+
+
+def test_next_documents_by_large_ids(documents, texts):
+    large = lambda d: (d * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+    rows = documents.sparkSession.createDataFrame([(large(d), t) for d, t in texts.items()], "doc_id long, text string")
+    order = sorted(texts, key=large)
+    got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(rows).collect()}
+    assert got == {large(d): texts[n] for d, n in zip(order, [*order[1:], order[0]])}
+
+
 def test_next_documents(documents, texts):
     order = sorted(texts)
     got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(documents.select("doc_id", "text")).collect()}
