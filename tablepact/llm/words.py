@@ -77,35 +77,44 @@ class WordTokenizer:
         ids = self.stems[low] = array("I", [t.id for t in self.library.model.tokenize(seen)]).tobytes()
         return ids
 
-    def _distinct(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each asked of the library at most once while it is remembered."""
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._ids([mark])[0]
+        return self.marks[mark]
+
+    def _distinct(self, words: pa.Array) -> list[bytes]:
+        """Ids of words, each stem and each other word asked of the library at most once while it is remembered."""
         if len(self.stems) + len(self.others) > self.limit:
             self.stems.clear()
             self.others.clear()
-        found: list[bytes | None] = []
-        stems, marks, others, rest = self.stems, self.marks, self.others, []
-        for w in words:
+        found: list[bytes | None] = [None] * len(words)
+        left = range(len(words))
+        if self.by_stem:
+            # words of plain letters, and marks after them, all at once; the pattern splits marks off, so ids stand side by side
+            body = pc.utf8_rtrim(words, characters=MARKS)
+            plain = pc.and_(pc.string_is_ascii(body), pc.utf8_is_alpha(body)).to_numpy(zero_copy_only=False)
+            at, left = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+            low = pc.utf8_lower(body.take(pa.array(at))).dictionary_encode()
+            ids = [self.stems.get(s) or self._stem(s) for s in low.dictionary.to_pylist()]
+            for k, stem in zip(at.tolist(), low.indices.to_pylist()):
+                found[k] = ids[stem]
+            size = pc.binary_length(body).to_numpy(zero_copy_only=False)
+            marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy(zero_copy_only=False) > size))
+            for k, w, n in zip(marked.tolist(), words.take(pa.array(marked)).to_pylist(), size[marked].tolist()):
+                found[k] += self._mark(w[n:])
+        rest = []
+        for k, w in zip(left, words.take(pa.array(left, pa.int64())).to_pylist()):
             body = w.rstrip(MARKS)
-            # letters and the marks after them are split by the pattern, so their ids stand side by side
-            if self.by_stem and body.isalpha() and (body.isascii() or (
-                    max(body) < "\u0250" and "\u0130" not in body and unicodedata.is_normalized("NFC", body))):
+            if self.by_stem and body.isalpha() and max(body) < "\u0250" and "\u0130" not in body and unicodedata.is_normalized("NFC", body):
                 low = body.lower()
-                ids = stems.get(low)
-                if ids is None:
-                    ids = self._stem(low)
-                mark = w[len(body):]
-                if mark:
-                    if mark not in marks:
-                        marks[mark] = self._ids([mark])[0]
-                    ids += marks[mark]
+                found[k] = (self.stems.get(low) or self._stem(low)) + self._mark(w[len(body):])
             else:
-                ids = others.get(w)
-                if ids is None:
-                    rest.append(w)
-            found.append(ids)
-        asked = dict(zip(rest, self._ids(rest)))
-        others.update(asked)
-        return [asked[w] if ids is None else ids for w, ids in zip(words, found)]
+                found[k] = self.others.get(w)
+                if found[k] is None:
+                    rest.append((k, w))
+        for (k, w), ids in zip(rest, self._ids([w for _, w in rest])):
+            found[k] = self.others[w] = ids
+        return found
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where those of each text end."""
@@ -115,13 +124,14 @@ class WordTokenizer:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = split.values.dictionary_encode()
         which = words.indices.to_numpy()
-        distinct = self._distinct(words.dictionary.to_pylist())
+        distinct = self._distinct(words.dictionary)
         size = np.asarray([len(ids) // 4 for ids in distinct], dtype=np.int64)
         first = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(distinct), dtype="<u4")
         sizes = size[which]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], sizes)
+        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        at = np.arange(ends[-1], dtype=kind) + np.repeat((first[which] - ends[:-1]).astype(kind), sizes)
         return flat[at], ends[split.offsets.to_numpy()[1:]]
 
     def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:

@@ -162,6 +162,17 @@ def test_words_as_the_library(library, made):
         [*e.ids, 9] for e in library.encode_batch(made, add_special_tokens=False)]
 
 
+def test_every_code_point_in_a_word_as_the_library(library):
+    """Each code point alone, inside and after a word, with marks; every 7th beyond the common planes' first part."""
+    words = WordTokenizer(WORDS)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x2000 or c % 7 == 0)]
+    for low in range(0, len(codes), 20_000):
+        made = [f"{c} Ab{c} {c}cd, x{c}y.) {c}." for c in map(chr, codes[low:low + 20_000])]
+        coded = words.encode(pa.array(made), 9)
+        want = [np.asarray([*e.ids, 9], dtype="<u4").tobytes() for e in library.encode_batch(made, add_special_tokens=False)]
+        assert [m for m, x, y in zip(made, coded, want) if x != y] == []
+
+
 # ---- 4
 
 def test_quality(documents, texts):
