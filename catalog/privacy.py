@@ -198,3 +198,20 @@ def redact_nested(spark, sf_dir):
         .when(F.col("event_id") % 4 == 1, F.concat(F.lit('[{"token": 5}, "at 10.0.0.7", '), n, F.lit(", null]"))) \
         .when(F.col("event_id") % 4 == 2, F.lit("password: hunter2")).otherwise(n)
     return table(spark, sf_dir, "events").select("event_id", redact_json(made).alias("props"))
+
+
+@query("redact_json_cut", """
+    SELECT event_id, CASE event_id % 5
+        WHEN 0 THEN '{"n":' || user_id || ',"password":"[REDACTED]"'
+        WHEN 1 THEN '[{"Token":"[REDACTED]", "host":"[IP_REDACTED]", "n": ' || user_id
+        WHEN 2 THEN '{"n":' || user_id || ',"secret":"[REDACTED]"'
+        WHEN 3 THEN '{"api_key":"[REDACTED]"' ELSE '{"n":' || user_id || ',"passwords":"kept"' END AS props FROM events""")
+def redact_cut(spark, sf_dir):
+    """Objects and arrays that were cut off: what their secret-named entries hold is masked all the same."""
+    n, kind = F.col("user_id").cast("string"), F.col("event_id") % 5
+    made = F.when(kind == 0, F.concat(F.lit('{"n":'), n, F.lit(',"password": "p-\\"'), n)) \
+        .when(kind == 1, F.concat(F.lit('[{"Token" : 12.5e, "host":"10.0.0.7", "n": '), n)) \
+        .when(kind == 2, F.concat(F.lit('{"n":'), n, F.lit(',"secret":{"a":["x", "'), n)) \
+        .when(kind == 3, F.concat(F.lit('{"api_key":"k'), n, F.lit("\\"))) \
+        .otherwise(F.concat(F.lit('{"n":'), n, F.lit(',"passwords":"kept"')))
+    return table(spark, sf_dir, "events").select("event_id", redact_json(made).alias("props"))

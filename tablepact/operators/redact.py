@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 # the first pattern only turns other text away sooner.
 SECRET_TEXT = r"(?iU)(?=[apts])(api[_-]?key|token|password|secret|authorization)\s*[:=]\s*[^\s,;]+"
 SECRET_NAME = r"(?i)^(api[_-]?key|token|password|secret|authorization)$"
+CUT_ENTRY = r"(?isU)\"(api[_-]?key|token|password|secret|authorization)\"\s*:\s*(\"(?:[^\"\\]|\\.)*+(?:\"|\\?$)|[\[{].*$|[^\s,}\]]+)"
 IPV4_TEXT = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 # the same two for Python: its classes are Unicode already
 _SECRET, _IPV4 = re.compile(SECRET_TEXT.replace("(?iU)", "(?i)")), re.compile(IPV4_TEXT.replace("(?U)", ""))
@@ -42,13 +43,15 @@ def redact_map(values: Column, limit: int | None = None) -> Column:
 def redact_json(json_text: Column, limit: int | None = None) -> Column:
     """JSON text with secret-named entries masked at any depth and all other strings redacted as text.
 
-    Numbers, booleans and nulls keep their type; what does not parse is redacted as text. JSON
+    Numbers, booleans and nulls keep their type. An object or array that does not parse (cut off, say) has its secret-named
+    entries masked by their quoted names, a nested value to the end of the cell, and the rest redacted as text. JSON
     nests to any depth, which built-in expressions cannot follow, so cells that hold an object
     or array go through one vectorised function; other cells never leave the JVM.
     """
     nested = json_text.rlike(r"^\s*[\[{]")
     walked = F.when(nested, _walked(F.when(nested, json_text)))
-    text = F.coalesce(walked, redact_text(json_text))
+    broken = F.when(nested, redact_text(F.regexp_replace(json_text, CUT_ENTRY, '"$1":"' + SECRET_MASK + '"')))
+    text = F.coalesce(walked, broken, redact_text(json_text))
     return text if limit is None else F.substring(text, 1, limit)
 
 
