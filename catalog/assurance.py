@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import AS_OF, query, table
-from catalog.rules import ORDERS, ROW_SQL, contract_of
+from catalog.base import AS_OF, compact, query, table
+from catalog.privacy import CONTACTS, _signals_sql, contacts
+from catalog.rules import ALL_SQL, KEY_SQL, ORDERS, ROW_SQL, SCHEMA_SQL, column_rule, contract_of, orders_validation
 from catalog.streams import stream_of
-from tablepact import Contract
-from tablepact.operators import distinct_state, predicates, range_fingerprints
+from tablepact import Contract, validate
+from tablepact.operators import distinct_state, findings, predicates, range_fingerprints
 from tablepact.plans.observed import ObservedStream, ObservedValidation
 from tablepact.session import shared_dir
+from tablepact.sources import readers
 from tablepact.streaming import checks, keystate
 from tablepact.streaming.late import LateAwareWindows
+from tablepact.streaming.validate import StreamValidation
 
 ROW_RULES_SQL = " UNION ALL ".join(f"SELECT * EXCLUDE (sample_rows) FROM ({sql})" for sql in ROW_SQL)
 SHOWN = ("rule_id", "severity", "category", "column", "affected_rows")
@@ -111,3 +114,73 @@ def fingerprint_changed_parts(spark, sf_dir):
     rows = range_fingerprints.changed_rows(old, new, changed, part, "o_orderkey")
     per_part = rows.groupBy("part").agg(F.count_if(F.col("change") == "edited").alias("edited"), F.count_if(F.col("change") == "removed").alias("removed"))
     return changed.join(per_part, "part").select("part", "rows_old", "rows_new", "edited", "removed")
+
+
+@query("summary_rollup", f"""
+    SELECT category, severity, CAST(grouping_id(category, severity) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS findings,
+           CAST(sum(affected_rows) AS BIGINT) AS affected_rows FROM ({ALL_SQL}) GROUP BY ROLLUP (category, severity)""")
+def summary_rollup(spark, sf_dir):
+    """Findings by category and severity with subtotals."""
+    return findings.summarize_levels(orders_validation(spark, sf_dir).findings, ["category", "severity"])
+
+
+@query("stream_validation_examples", " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in [*ROW_SQL, *KEY_SQL, SCHEMA_SQL]))
+def stream_validation_examples(spark, sf_dir):
+    """A whole contract on three micro-batches, with the example rows a batch run names."""
+    run = StreamValidation(stream_of(spark, sf_dir, "orders"), ORDERS, shared_dir(spark, "stream"), as_of=AS_OF, row_key="o_orderkey",
+                           references={"lineitem": table(spark, sf_dir, "lineitem")})
+    run.start().awaitTermination()
+    return compact(run.findings())
+
+
+@query("stream_pii_sampled", _signals_sql(f"(SELECT * FROM {CONTACTS} ORDER BY customer_id LIMIT 200)", "true"))
+def stream_pii_sampled(spark, sf_dir):
+    """The first 200 filled values of each column over three micro-batches, in key order."""
+    source, df = shared_dir(spark, "stream-source"), contacts(spark, sf_dir)
+    df.repartition(3).write.parquet(source)
+    stream = checks.read_stream(spark, source + "/", df.schema, files_per_batch=1)
+    return checks.stream_pii_signals(stream, "customer_id", 200, shared_dir(spark, "stream"))
+
+
+@query("src_unreadable_files", """
+    SELECT 'read' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders
+    UNION ALL SELECT 'set aside', 2, NULL""")
+def src_unreadable_files(spark, sf_dir):
+    """A folder of the orders with a file of text and an empty file that only claim to be Parquet."""
+    folder = shared_dir(spark, "unreadable")
+    table(spark, sf_dir, "orders").repartition(4).write.parquet(folder)
+    for name, text in (("broken", "PAR1 no footer"), ("short", "PA")):
+        made = shared_dir(spark, "not-parquet")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(made)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(path(made)) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, path(f"{folder}/{name}.parquet"))
+    good = readers.readable_parquet(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    bad = readers.unreadable_files(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("key_sum"))
+    return good.select(F.lit("read").alias("part"), "*").unionByName(bad.select(F.lit("set aside").alias("part"), "*"))
+
+
+column_rule("rule_string_strict", "column.type", "validity", "orders", "o_orderkey", "o_totalprice",
+            {"type": "string", "strict_type": True}, "o_totalprice IS NOT NULL")
+
+
+@query("rule_absent_column", """
+    SELECT 'schema.required_column' AS rule_id, 'critical' AS severity, 'schema' AS category, 'gone' AS "column",
+           CAST(0 AS BIGINT) AS affected_rows, '' AS sample_rows FROM (SELECT count(*) FROM orders)""")
+def rule_absent_column(spark, sf_dir):
+    """Rules on a column that is not there count nothing; its absence is the finding."""
+    contract = contract_of("orders", {"gone": {"nullable": False, "minimum": 1, "pattern": "x"}, "o_orderkey": {"nullable": False}})
+    return compact(validate(table(spark, sf_dir, "orders"), contract, row_key="o_orderkey").findings)
+
+
+@query("src_json_document", """
+    SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1""")
+def src_json_document(spark, sf_dir):
+    """Files that each hold one array of objects, read by their suffix."""
+    folder = shared_dir(spark, "documents") + ".json"
+    rows = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 5000).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("value"))  # a file of at most 5000 rows each
+    rows.repartition("part").select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
+    read = readers.read_dataset(spark, folder, schema="o_orderkey bigint, o_orderstatus string")
+    return read.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))

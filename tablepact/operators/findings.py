@@ -155,6 +155,16 @@ def summarize_by_category(findings: DataFrame, by: list[str] | None = None) -> D
         F.count(F.lit(1)).alias("findings"), F.sum("affected_rows").alias("affected_rows"))
 
 
+def summarize_levels(findings: DataFrame, levels: list[str]) -> DataFrame:
+    """Findings and affected rows by all ``levels``, with the subtotals of every prefix and the total.
+
+    ``level`` says how many of the levels a row sums over (as bits, the last level lowest): a NULL of a subtotal is
+    not a NULL of the data.
+    """
+    return findings.rollup(*levels).agg(
+        F.count(F.lit(1)).alias("findings"), F.sum("affected_rows").alias("affected_rows"), F.grouping_id().alias("level"))
+
+
 def merge_findings(batches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Findings of many batches as one per rule, column and title.
 

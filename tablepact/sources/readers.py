@@ -6,9 +6,11 @@ contract expects becomes a finding instead of a failed or silently nulled read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from importlib.metadata import entry_points
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,6 +147,41 @@ def reject_counts(df: DataFrame, schema: T.StructType) -> DataFrame:
                   F.coalesce(F.sum(filled), F.lit(0)).alias("filled_cells"))
 
 
+UNREADABLE = "path string, reason string"
+
+
+def _parquet_faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            try:
+                pq.ParquetFile(pa.BufferReader(content.as_buffer())).read()
+            except Exception as exc:  # whatever a broken file brings up is its reason
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([type(exc).__name__])], names=["path", "reason"])
+
+
+def unreadable_files(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """(path, reason) of the files below ``path`` that cannot be read; the others are not in the way.
+
+    Text formats: files with a line that is not UTF-8. Parquet: one scan of no column says which files give rows; only the
+    others (broken or empty) are opened whole, in tasks. Files of no bytes hold nothing and are passed over.
+    """
+    file = F.col("_metadata.file_path").alias("path")
+    if format != "parquet":
+        lines = spark.read.text(path).select(file, F.is_valid_utf8("value").alias("valid"))
+        return lines.groupBy("path").agg(F.bool_and("valid").alias("valid")).where("NOT valid").select("path", F.lit("not UTF-8").alias("reason"))
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    with_rows = readable_parquet(spark, path).select(file).distinct()
+    suspicious = every.join(with_rows.select(F.col("path").alias("good")), F.expr("replace(path, 'file:/', 'file:///') = good OR path = good"), "left_anti")
+    return suspicious.select("path", "content").mapInArrow(_parquet_faults, UNREADABLE)
+
+
+def readable_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of all Parquet files that can be read."""
+    reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    # without a schema every footer that can be read gives its part: the first file may be a broken one
+    return (reader.option("mergeSchema", True) if schema is None else reader.schema(schema)).parquet(path)
+
+
 def shape_budget(df: DataFrame, budget: dict[str, int]) -> DataFrame:
     """(measure, observed, allowed, within) for the measures that ``budget`` names; one scan."""
     unknown = sorted(set(budget) - set(BUDGET_MEASURES))

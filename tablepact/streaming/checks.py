@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablepact.contract import Contract
-from tablepact.functions.coercion import missing, named
+from tablepact.functions.coercion import as_text, missing, named
 from tablepact.functions.sizing import fits_broadcast
 from tablepact.functions.schemas import flat_schema
-from tablepact.operators import predicates, profile, samples
+from tablepact.operators import pii, predicates, profile, samples
 from tablepact.operators.findings import FINDING_SCHEMA, merge_findings
 from tablepact.operators.keys import missing_references, reference_is_small, with_keys
 from tablepact.plans.history import PROFILE_SCHEMA
@@ -213,6 +213,34 @@ def stream_profile(stream: DataFrame, folder: str) -> DataFrame:
         .withColumn("duplicate_count_exact", F.lit(False)).select(*PROFILE_SCHEMA.names)
 
 
+def stream_pii_signals(stream: DataFrame, row_key: str, limit: int, folder: str) -> DataFrame:
+    """Personal-data signals from the first ``limit`` filled values of each column in row-key order, over all micro-batches.
+
+    A micro-batch leaves which categories its first values match, never the values; the first of all micro-batches are among the
+    first of each, so batch borders make no difference.
+    """
+    fields = {f.name: f.dataType for f in stream.schema.fields}
+    fits = {c: [n for n, t in fields.items() if c in pii.possible_categories(t)] for c in pii.VALUE_CATEGORIES}
+    cells = F.array_compact(F.array(*[
+        F.when(~missing(named(n), t), F.struct(F.lit(n).alias("column"), as_text(named(n), t).alias("value"))) for n, t in fields.items()]))
+
+    def first_hits(batch: DataFrame) -> DataFrame:
+        rows = batch.select(named(row_key).cast("bigint").alias("_row"), F.explode(cells).alias("c")).select("_row", "c.*")
+        few = samples.smallest_per_group(rows, ["column"], "_row", limit)
+        hits = pii.value_detectors(F.col("value"))
+        return few.select("column", "_row", *[
+            (F.col("column").isin(*fits[c]) & F.coalesce(hits[c], F.lit(False)) if fits[c] else F.lit(False)).alias(c) for c in pii.VALUE_CATEGORIES])
+
+    sink = drain(stream, folder, each=first_hits)
+    schema = flat_schema(", ".join(["column string, _row bigint", *(f"{c} boolean" for c in pii.VALUE_CATEGORIES)]))
+    first = samples.smallest_per_group(batch_results(stream.sparkSession, sink, schema), ["column"], "_row", limit)
+    counted = first.groupBy(F.col("column").alias("_of")).agg(F.count(F.lit(1)).alias("sampled_values"), *[F.count_if(c).alias(c) for c in pii.VALUE_CATEGORIES])
+    names = stream.sparkSession.createDataFrame([(n,) for n in fields], "column string")
+    every = names.join(counted, F.col("column") == F.col("_of"), "left").select(
+        "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sampled_values", *pii.VALUE_CATEGORIES)])
+    return pii.signals_of_counts(every, True)
+
+
 def unseen_within(stream: DataFrame, columns: list[str], event_time: str, delay: str) -> DataFrame:
     """First rows per key with bounded state: repeats are caught within the watermark only."""
     at: Column = named(event_time).cast("timestamp")

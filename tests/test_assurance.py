@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tablepact import validate
 from tablepact.contract import Contract
-from tablepact.operators import distinct_state, predicates, range_fingerprints
+from tablepact.operators import distinct_state, findings, predicates, range_fingerprints
 from tablepact.plans.observed import ObservedStream, ObservedValidation
+from tablepact.sources import readers
 from tablepact.streaming import checks, keystate
 from tablepact.streaming.late import LateAwareWindows
 
@@ -175,3 +176,32 @@ def test_range_fingerprints(spark):
     found = range_fingerprints.changed_rows(old, new, changed, part, "id").collect()
     assert sorted(map(tuple, found)) == [(0, 7, "added"), (12, 1234, "edited"), (25, 2500, "removed"), (91, 9100, "added")]
     assert range_fingerprints.table_fingerprint(sums.limit(0)).first()["row_count"] == 0
+
+
+def test_unreadable_files(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(20).repartition(2).write.parquet(folder)
+    spark.range(0).coalesce(1).write.mode("append").parquet(folder)  # an empty file is a readable one
+    whole = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    with open(f"{folder}/{whole}", "rb") as f:
+        content = f.read()
+    for name, data in (("cut", content[:-20]), ("text", b"PAR1 no footer PAR1"), ("nothing", b"")):
+        with open(f"{folder}/{name}.parquet", "wb") as f:
+            f.write(data)
+    found = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in readers.unreadable_files(spark, folder).collect()}
+    assert set(found) == {"cut.parquet", "text.parquet"} and all(found.values())  # Spark passes over files of no bytes
+    assert readers.readable_parquet(spark, folder).count() == 20
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "good.csv").write_bytes("a,é\n1,�\n".encode())
+    (lines / "bad.csv").write_bytes("a,b\n1,é\n".encode("latin-1"))
+    rows = readers.unreadable_files(spark, str(lines), "csv").collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in rows] == [("bad.csv", "not UTF-8")]
+
+
+def test_rollup_levels(spark):
+    rows = [("validity", "error", 3), ("validity", "error", 4), ("validity", "info", 1), ("schema", None, 0)]
+    df = spark.createDataFrame(rows, "category string, severity string, affected_rows long")
+    got = {(r["category"], r["severity"], r["level"]): (r["findings"], r["affected_rows"]) for r in findings.summarize_levels(df, ["category", "severity"]).collect()}
+    assert got == {("validity", "error", 0): (2, 7), ("validity", "info", 0): (1, 1), ("schema", None, 0): (1, 0), ("validity", None, 1): (3, 8),
+                   ("schema", None, 1): (1, 0), (None, None, 3): (4, 8)}
