@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, compact, query, table
-from catalog.privacy import CONTACTS, _signals_sql, contacts
+from catalog.privacy import CONTACTS, _signals_sql, contacts, test_sql
 from catalog.rules import ALL_SQL, KEY_SQL, ORDERS, ROW_SQL, SCHEMA_SQL, column_rule, contract_of, orders_validation
 from catalog.streams import stream_of
 from tablepact import Contract, validate
-from tablepact.operators import distinct_state, findings, predicates, range_fingerprints
+from tablepact.operators import distinct_state, findings, mentions, predicates, range_fingerprints
 from tablepact.plans.observed import ObservedStream, ObservedValidation
 from tablepact.session import shared_dir
 from tablepact.sources import readers
@@ -184,3 +184,31 @@ def src_json_document(spark, sf_dir):
     rows.repartition("part").select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
     read = readers.read_dataset(spark, folder, schema="o_orderkey bigint, o_orderstatus string")
     return read.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def _mentions_sql(source: str) -> str:
+    spans = " UNION ALL ".join(f"""
+        SELECT id, '{c}' AS category, {rank} AS rank, v, ahead + coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) AS start
+        FROM (SELECT id, gaps, unnest(found) AS v, generate_subscripts(found, 1) AS i,
+                     unnest(list_transform(range(1, len(found) + 1), lambda k: coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0))) AS ahead
+              FROM (SELECT id, regexp_extract_all(text, '{p}') AS found, regexp_split_to_array(text, '{p}') AS gaps FROM ({source}))
+              WHERE len(found) > 0)
+        WHERE {test_sql(c, 'v')}""" for rank, (c, p) in enumerate(mentions.CANDIDATES.items()))
+    return f"""
+        WITH spans AS (SELECT id, category, rank, length(v) AS n, start, start + length(v) AS stop FROM ({spans})),
+        opened AS (SELECT *, coalesce(start >= max(stop) OVER (PARTITION BY id ORDER BY start, stop DESC, rank
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM spans),
+        placed AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY id ORDER BY start, stop DESC, rank ROWS UNBOUNDED PRECEDING) AS place FROM opened)
+        SELECT id, CAST(min(start) AS BIGINT) AS "start", CAST(max(stop) AS BIGINT) AS "end",
+               arg_max(category, n * 10 - rank) AS category, CAST(count(*) AS BIGINT) AS "values" FROM placed GROUP BY id, place"""
+
+
+_TEXTS = "SELECT 'document-' || doc_id AS id, text FROM documents UNION ALL SELECT 'page-' || page_id, html FROM pages"
+
+
+@query("pii_text_mentions", _mentions_sql(_TEXTS))
+def pii_text_mentions(spark, sf_dir):
+    """Personal data inside the texts of documents and pages."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    return mentions.mentions(docs.unionByName(pages), "id", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablepact import validate
 from tablepact.contract import Contract
-from tablepact.operators import distinct_state, findings, predicates, range_fingerprints
+from tablepact.operators import distinct_state, findings, mentions, predicates, range_fingerprints
 from tablepact.plans.observed import ObservedStream, ObservedValidation
 from tablepact.sources import readers
 from tablepact.streaming import checks, keystate
@@ -205,3 +205,18 @@ def test_rollup_levels(spark):
     got = {(r["category"], r["severity"], r["level"]): (r["findings"], r["affected_rows"]) for r in findings.summarize_levels(df, ["category", "severity"]).collect()}
     assert got == {("validity", "error", 0): (2, 7), ("validity", "info", 0): (1, 1), ("schema", None, 0): (1, 0), ("validity", None, 1): (3, 8),
                    ("schema", None, 1): (1, 0), (None, None, 3): (4, 8)}
+
+
+def test_mentions_in_running_text(spark):
+    texts = ["Write to é.o@x.org, ann.b+c@mail.example.com or 10.0.0.7; not 10.0.0.700.", "card 4111-1111-1111-1111, call +1 (555) 010-2345 🙂 id 123-45-6789.",
+             "nothing 2023 here", "", None, "a@b.co", "a@b.coa@b.co 999.1.1.1"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(5, "a@b.co", "again")], "id int, text string, m string").repartition(3)
+    rows = mentions.mentions(df, "id", "text").collect()
+    got = sorted((r["id"], texts[r["id"]][r["start"]:r["end"]], r["category"], r["values"]) for r in rows)
+    assert got == [(0, ".o@x.org", "email", 1), (0, "10.0.0.7", "ip_address", 1), (0, "ann.b+c@mail.example.com", "email", 1),
+                   (1, "+1 (555) 010-2345", "phone", 1), (1, "123-45-6789", "government_id", 1), (1, "4111-1111-1111-1111", "payment_card", 2),
+                   (5, "a@b.co", "email", 1), (6, "a@b.coa", "email", 1)]
+    masked = {r["id"]: r["text"] for r in mentions.redact_mentions(df.where("m = 'x'"), "id", "text").collect()}
+    assert masked[1] == "card [PAYMENT_CARD], call [PHONE] 🙂 id [GOVERNMENT_ID]."
+    assert masked[2] == texts[2] and masked[3] == "" and masked[4] is None and masked[5] == "[EMAIL]"
+    assert mentions.mentions(df.limit(0), "id", "text").collect() == []
