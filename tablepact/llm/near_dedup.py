@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import ids_and_texts, lists_of, packed_rows, small_batches, stored, text_of, unpacked_rows
+from tablepact.llm.common import arrow_rows, ids_and_texts, lists_of, packed_rows, small_batches, stored, text_of, unpacked_rows
 
 SHINGLE_WORDS = 5
 PICKED = 3
@@ -51,6 +51,8 @@ MEETINGS = 4  # equal shingles of two texts to each of their shingles, above whi
 WIDE = 1 << 13
 CELL_ROWS = 1 << 12  # members of a head that a task compares at once by their parities; it decides the plan only
 BITS = 1 << 11
+SKETCHED = 1 << 18  # hashes computed at once
+BATCH_TEXTS = 1 << 10
 PARTNERS = 1 << 11
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 MARKS = ".,;:!?\"()"
@@ -100,7 +102,7 @@ def order_sketches(labels: np.ndarray) -> np.ndarray:
     factors = _mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) + np.uint64(SEED)) | np.uint64(1)
     picked = min(PICKED, len(labels))
     keys = np.empty(SKETCHES, dtype=np.uint64)
-    step = max(1, 4_000_000 // len(labels))  # bounded memory for very long texts
+    step = max(1, SKETCHED // len(labels))  # bounded memory for very long texts
     for low in range(0, SKETCHES, step):
         some = factors[low:low + step, None]
         hashed = _mixed(labels[None, :] * some)
@@ -468,6 +470,11 @@ def roots_of(packed: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD,
 
 def _classed(docs: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, mark (hash of the text as it is), node, root of every row."""
+    with arrow_rows(docs.sparkSession, BATCH_TEXTS):
+        return _rooted(docs, threshold, cell_rows)
+
+
+def _rooted(docs: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     packed = stored(blocks(docs), "near-blocks", compression="uncompressed")
     narrow = packed.select("block", F.posexplode(F.arrays_zip("doc_ids", "marks", "digests")).alias("i", "row")).select(
         F.col("row.doc_ids").alias("doc_id"), F.col("row.marks").alias("mark"), F.col("row.digests").alias("digest"), _node("block", "i").alias("own"))
