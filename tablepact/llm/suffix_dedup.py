@@ -40,11 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import packed_rows, small_batches, stored, text_of, unpacked_rows
+from tablepact.llm.common import arrow_rows, packed_rows, small_batches, stored, text_of, unpacked_rows
 
 LENGTH = 200
 GRAM = 40
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+BATCH_ROWS = 1 << 10
 SHARD_CONTEXTS = 5_000
 BASE, SECOND_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,7 +67,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         factors = np.full(n + 1, base, dtype=np.uint64)
         factors[0] = 1
         held = np.cumprod(factors, dtype=np.uint64)
-        if n <= 2 * BLOCK_BYTES:
+        if n <= 2 * PIECE_BYTES:
             _POWERS[base] = held
     return held
 
@@ -96,7 +98,37 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows that share an anchor in the texts of a block: first, last, anchor and hashes."""
+    """Runs of windows that share an anchor in the texts of a block: first, last, anchor and hashes.
+
+    Hashing holds some hundred bytes per byte of text, so a block is hashed piece by piece. A run that
+    is cut between two pieces is two contexts of its anchor, so its bytes are compared.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, length: int, piece_bytes: int = PIECE_BYTES) -> None:
+        found: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] * 2 + [np.empty(0, dtype=np.uint64)] * 2]
+        for low, high in _pieces(ends, length, piece_bytes):
+            inner = ends[np.searchsorted(ends, low, side="right"):np.searchsorted(ends, high)]
+            piece = PieceRuns(data[low:high], np.append(inner, high) - low, length)
+            found.append([piece.first + low, piece.last + low, piece.anchor, piece.context])
+        self.first, self.last, self.anchor, self.context = (np.concatenate(x) for x in zip(*found))
+
+
+def _pieces(ends: np.ndarray, length: int, piece_bytes: int) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of whole texts; of a longer text, pieces that share all but one byte of a window."""
+    low, stop = 0, int(ends[-1]) if len(ends) else 0
+    while low < stop:
+        fit = int(np.searchsorted(ends, low + piece_bytes, side="right"))
+        high = int(ends[fit - 1]) if fit else 0
+        if high > low:
+            yield low, high
+            low = high
+            continue
+        yield low, min(low + piece_bytes + length - 1, int(ends[fit]))
+        low += piece_bytes
+
+
+class PieceRuns:
+    """The runs of one piece."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, length: int) -> None:
         gram = min(GRAM, length)
@@ -230,36 +262,53 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     through the rank ``h`` further on, in groups that are not yet singletons.
     """
     n = len(data)
+    kind = _positions(n)
     if not n:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=kind)
     key = np.zeros(n, dtype=np.uint64)
-    left = np.minimum(ends - np.arange(n), 8)
+    left = np.minimum(ends - np.arange(n, dtype=kind), 8).astype(np.uint8)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     for k in range(8):
-        key = key << np.uint64(8) | np.where(left > k, padded[k:k + n], 0).astype(np.uint64)
-    order = np.lexsort((left, key))  # an ended suffix stands before one that goes on with a zero byte
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])])
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank: its first place
+        key <<= np.uint64(8)
+        key |= np.where(left > k, padded[k:k + n], np.uint8(0))
+    order = np.lexsort((left, key)).astype(kind)  # an ended suffix stands before one that goes on with a zero byte
+    key, left = key[order], left[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1])])
+    del key, left
+    rank = np.empty(n, dtype=kind)
+    rank[order] = _first_places(new, np.arange(n, dtype=kind))  # a group's rank: its first place
     h = 8
     while h < 2 * depth:
-        size = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(size[rank[order]] > 1)  # places in the order
+        placed = rank[order]
+        same = placed[1:] == placed[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same)).astype(kind)  # places in the order
+        del placed, same
         if not len(tied):
             break
         at = order[tied]
-        follow = at + h
-        inside = follow < ends[at]
-        second = np.where(inside, rank[np.minimum(follow, n - 1)] + 1, -1 - at)
-        resort = np.lexsort((second, rank[at]))
-        at, second, first = at[resort], second[resort], rank[at][resort]
+        follow = np.minimum(at, n - 1 - min(h, n - 1)) + min(h, n - 1)
+        second = np.where(h < ends[at] - at, rank[follow] + 1, -1 - at)
+        first = rank[at]
+        resort = np.lexsort((second, first))
+        at, second, first = at[resort], second[resort], first[resort]
+        del follow, resort
         order[tied] = at
         fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        rank[at] = _first_places(fresh, tied)
         h *= 2
     return order
 
 
+def _positions(n: int) -> type:
+    """The narrow type of positions in ``n`` bytes: a shard holds a dozen arrays of them."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
+def _first_places(new: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The place where each one's group begins."""
+    return np.maximum.accumulate(np.where(new, places, places.dtype.type(0)))
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray,
                     windows: np.ndarray, limit: int) -> np.ndarray:
     """Kasai's rule over all strings side by side: common prefix of each position with its
@@ -268,10 +317,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     Moving one position on, at least all but one of the common bytes remain.
     """
     n = len(data)
-    stop = np.repeat(ends, ends - starts)
-    before = np.full(n, -1, dtype=np.int64)
+    kind = _positions(n)
+    stop = np.repeat(ends.astype(kind), ends - starts)
+    before = np.full(n, -1, dtype=kind)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, dtype=np.int64)
+    shared = np.zeros(n, dtype=kind)
     held = np.zeros(len(starts), dtype=np.int64)
     alive = np.arange(len(starts))
     for step in range(int(windows.max(initial=0))):
@@ -299,12 +349,12 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     starts = ends - sizes
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    order = suffix_array(data, np.repeat(ends, sizes), length)
+    order = suffix_array(data, np.repeat(ends.astype(_positions(len(data))), sizes), length)
     windows = np.maximum(sizes - length + 1, 0)
     shared = common_prefixes(data, order, starts, ends, windows, length)
-    hit = shared >= length
+    hit = (shared >= length)[order]
     found = np.zeros(len(data), dtype=bool)
-    found[order] = hit[order] | np.concatenate([hit[order][1:], [False]])
+    found[order] = hit | np.concatenate([hit[1:], [False]])
     return [found[s:s + w] for s, w in zip(starts, windows)]
 
 
@@ -375,11 +425,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_hits(packed: DataFrame, may: DataFrame, text_col: str, length: int, shard_contexts: int) -> DataFrame:
     """block, k, hits: repeated windows of contexts that occur once, beside rivals of the same anchor."""
     wanted = may.filter("rivals > 1 AND nth = 1")
-    shards = max(1, -(-wanted.count() // shard_contexts))
-    dealt = F.col("rivals") > shard_contexts
-    # a hot anchor's contexts go to as many shards as they fill
-    shard = F.when(dealt, F.pmod(F.xxhash64("anchor", F.pmod("context", F.ceil(F.col("rivals") / shard_contexts))), F.lit(shards))) \
-        .otherwise(F.pmod("anchor", F.lit(shards)))
+    dealt, large = F.col("rivals") > shard_contexts, F.col("rivals") * 4 > shard_contexts
+    shards = max(1, -(-wanted.filter(~large).count() // shard_contexts))
+    # large anchors share no shard, a hot one is dealt over as many as it needs: chance fills no shard several times over
+    part = F.when(dealt, F.pmod("context", F.ceil(F.col("rivals") * 4 / shard_contexts))).otherwise(F.lit(0))
+    shard = F.when(large, F.xxhash64("anchor", part)).otherwise(F.pmod("anchor", F.lit(shards)))
     requests = wanted.select("block", F.struct("k", shard.cast("long").alias("shard"), dealt.alias("dealt")).alias("w")) \
         .groupBy("block").agg(F.collect_list("w").alias("wanted"))  # no more than a block has runs
     contexts = packed.select("block", "rows", "runs").join(requests, "block").mapInArrow(
@@ -451,7 +501,8 @@ def _texts(rows: pa.RecordBatch, text_col: str, data: np.ndarray, ends: np.ndarr
 
 def _searched(df: DataFrame, text_col: str, length: int, block_bytes: int, shard_contexts: int,
               schema, as_rows: bool) -> DataFrame:
-    packed = stored(blocks(df, text_col, length, block_bytes), "suffix-blocks", compression="uncompressed")
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        packed = stored(blocks(df, text_col, length, block_bytes), "suffix-blocks", compression="uncompressed")
     may = stored(marked(packed), "suffix-marked", compression="zstd")
     whole = may.filter("copies > 1").groupBy("block").agg(F.collect_list("k").alias("whole"))
     parts = shard_hits(packed, may.filter("rivals > 1"), text_col, length, shard_contexts) \
