@@ -17,11 +17,19 @@ BATCHES = 3
 
 
 def stream_of(spark, sf_dir, name):
-    """The table as a stream of several micro-batches, one file each."""
-    df = table(spark, sf_dir, name)
-    folder = shared_dir(spark, "stream-source")
-    df.repartition(BATCHES).write.parquet(folder)
-    return checks.read_stream(spark, folder + "/", df.schema, files_per_batch=1)
+    return in_batches(table(spark, sf_dir, name))
+
+
+def in_batches(df):
+    """The rows as a stream of several micro-batches.
+
+    Files grow in number with the partitions of ``df``, not in size: a task deals out and writes no more than
+    about a partition, and a micro-batch takes its share of the files.
+    """
+    files = max(BATCHES, df.rdd.getNumPartitions())
+    folder = shared_dir(df.sparkSession, "stream-source")
+    df.repartition(files).write.parquet(folder)
+    return checks.read_stream(df.sparkSession, folder + "/", df.schema, files_per_batch=-(-files // BATCHES))
 
 
 def stream_at_once(spark, sf_dir, name):

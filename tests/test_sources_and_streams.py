@@ -227,3 +227,29 @@ def test_csv_streams_stop_at_changed_columns(spark, tmp_path):
     stream = checks.read_stream(spark, str(tmp_path), flat_schema("id string, v string"), "csv", 1, header=True)
     with pytest.raises(Exception, match="Columns changed between files"):
         checks.drain(stream, shared_dir(spark, "t"))
+
+
+def test_stream_files_grow_in_number_with_the_table(spark, tmp_path):
+    """A table that is read in many parts is no three files, whatever the number of micro-batches."""
+    from catalog.streams import stream_of
+
+    spark.range(0, 4000, 1, 40).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "t.parquet"))
+    settings = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        parts = spark.read.parquet(str(tmp_path / "t.parquet")).rdd.getNumPartitions()
+        stream = stream_of(spark, str(tmp_path), "t")
+        seen = []
+
+        def each(batch):
+            seen.append([r["n"] for r in batch.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()])
+            return batch
+        sink = checks.drain(stream, str(tmp_path / "out"), each=each)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts >= 12 and len(seen) == 3 and sum(map(len, seen)) >= 12  # before: three files in all
+    assert max(map(max, seen)) <= 4000 / 3 / 2
+    assert sorted(r["k"] for r in spark.read.parquet(sink).collect()) == list(range(4000))
